@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,5 +44,7 @@ class Scratch:
 
     def release(self) -> None:
         """Let Spark delete the shuffle files of plans that are no longer referenced."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # plans are let go by listeners a moment after their job
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.3)
