@@ -150,18 +150,33 @@ def repeated_windows(own: DataFrame, scratch: Scratch, window: int, group_limit:
             first = np.flatnonzero(new)
             low = np.repeat(np.minimum.reduceat(d, first), np.diff(np.append(first, len(h))))
             hit = order[d > low]
-            if len(hit):
-                d, f, at = np.concatenate(docs)[hit], f[hit], at[hit]
-                by = np.lexsort((at, f, d))
-                d, f, at = d[by], f[by], at[by]
-                cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (f[1:] != f[:-1])))
-                for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True):
-                    for got, x in zip(ready, (int(d[a]), int(f[a]), at[a:b].tobytes()), strict=True):
-                        got.append(x)
-        return pa.Table.from_arrays([pa.array(ready[0], pa.int64()), pa.array(ready[1], pa.int64()), pa.array(ready[2], pa.binary())], ["id", "print", "starts"])
+            docs, f, at = np.concatenate(docs)[hit], f[hit], at[hit]
+        else:
+            docs, f, at = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint32)
+        # answers go back packed by document bucket: a row for each pair of partition and bucket at most
+        sizes = [len(x) // 4 for x in ready[2]]
+        docs = np.concatenate([docs, np.repeat(np.array(ready[0], np.int64), sizes)])
+        f = np.concatenate([f, np.repeat(np.array(ready[1], np.int64), sizes)])
+        at = np.concatenate([at, np.frombuffer(b"".join(ready[2]), np.uint32)])
+        bucket = (mix(docs.view(np.uint64)) % U(parts)).astype(np.int64)
+        by = np.argsort(bucket, kind="stable")
+        cuts = np.searchsorted(bucket[by], np.arange(parts + 1))
+        used = [b for b in range(parts) if cuts[b + 1] > cuts[b]]
+        packs = [[x[by[cuts[b] : cuts[b + 1]]].tobytes() for b in used] for x in (docs, f, at)]
+        return pa.Table.from_arrays([pa.array(used, pa.int32()), *(pa.array(x, pa.binary()) for x in packs)], ["bucket", "ids", "prints", "starts"])
+
+    def collect(table: pa.Table) -> pa.Table:
+        d, f, at = (np.frombuffer(b"".join(table.column(c).to_pylist()), k) for c, k in (("ids", np.int64), ("prints", np.int64), ("starts", np.uint32)))
+        by = np.lexsort((at, f, d))
+        d, f, at = d[by], f[by], at[by]
+        cut = np.flatnonzero(np.append(True, (d[1:] != d[:-1]) | (f[1:] != f[:-1])))
+        starts = [at[a:b].tobytes() for a, b in zip(cut, np.append(cut[1:], len(d)), strict=True)]
+        return pa.Table.from_arrays([pa.array(d[cut]), pa.array(f[cut]), pa.array(starts, pa.binary())], ["id", "print", "starts"])
 
     rows = own.mapInArrow(spread, "part int, hashes binary, places binary, wide boolean, ids binary, prints binary, ends binary")
-    hits = scratch.put(rows.groupBy("part").applyInArrow(trees, "id long, print long, starts binary"), "hits")
+    rows = rows.groupBy("part").applyInArrow(trees, "bucket int, ids binary, prints binary, starts binary")
+    rows = rows.groupBy("bucket").applyInArrow(collect, "id long, print long, starts binary")
+    hits = scratch.put(rows, "hits")
     del rows
     scratch.release()
     return hits
