@@ -7,10 +7,10 @@ is lost, and pairs are never all written out.
 
 * Texts with equal sets are one *node* (a 64-bit fingerprint of the set), so exact
   copies cost one row each.
-* A global order ranks shingles by the magnitude of their corpus count (from a
-  sketch of fixed size) and then by a hash; each order has a hash of its own.  Two
-  sets that link share a shingle in their prefixes of ``|A| - ceil(t|A|) + 1``
-  under every order.  The first order proposes pairs; a pair that shares no prefix
+* A global order ranks shingles by an estimate of their corpus count, rare ones first,
+  then by a hash.  Each order has its own row of a count sketch of fixed size, whose
+  errors are independent, and so puts rare shingles in another order.  Two sets that
+  link share a shingle in their prefixes of ``|A| - ceil(t|A|) + 1`` under every order.  The first order proposes pairs; a pair that shares no prefix
   shingle under one of the others is dropped before its sets are compared.
 * Nodes that share a prefix shingle are first compared with a few pivots each (the
   nodes of lowest priority); linked nodes merge.  A shingle whose nodes are all in
@@ -53,13 +53,15 @@ def node_of(shingles: np.ndarray) -> int:
     return int((np.add.reduce(mix(shingles ^ U(0x5851F42D4C957F2D))) ^ U(len(shingles))).astype(np.int64))
 
 
-def prefix(shingles: np.ndarray, counts: np.ndarray, order: int, percent: int) -> np.ndarray:
-    """The first shingles of a set under one global order: rarest magnitude first, then by the order's hash."""
+def prefix(shingles: np.ndarray, sketch, order: int, percent: int) -> np.ndarray:
+    """The first shingles of a set under one global order: by the estimate of the order's sketch row, then by a hash."""
     m = len(shingles)
     length = m - -(-percent * m // 100) + 1
+    if length >= m:
+        return shingles
     hashed = mix(shingles ^ U(0xA0761D6478BD642F * (order + 1) & 0xFFFF_FFFF_FFFF_FFFF))
-    rank = (np.floor(np.log2(counts + 1.0)).astype(np.uint64) << U(58)) | (hashed >> U(6))
-    return shingles[np.argpartition(rank, length - 1)[:length]] if length < m else shingles
+    rank = (np.minimum(sketch.row(shingles, order), (1 << 26) - 1).astype(np.uint64) << U(38)) | (hashed >> U(26))
+    return shingles[np.argpartition(rank, length - 1)[:length]]
 
 
 def jaccard_links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -71,7 +73,7 @@ def _own(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
 
-def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 4, percent: int = 85, lower: bool = True, sketch_bits: int = 19) -> DataFrame:
+def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 4, percent: int = 85, lower: bool = True, sketch_bits: int = 20) -> DataFrame:
     """Returns (id_col, n_shingles, component_id), one row per input row.
 
     A null or blank text has an empty set and links with nothing.  A text of fewer
@@ -82,7 +84,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     spark = docs.sparkSession
     scratch = Scratch(spark, "ngram")
     own = _own(docs, id_col, text_col)
-    sketch = corpus_sketch(own.select("text"), _maker(n, lower), sketch_bits)
+    sketch = corpus_sketch(own.select("text"), _maker(n, lower), sketch_bits, ORDERS)
     shared = spark.sparkContext.broadcast(sketch)
     # a shingle far above the mean load of the sketch is in many texts: its list is dealt over many tasks
     hot = int(max(4096, 64 * (int(sketch.table[0].sum(dtype=np.uint64)) >> sketch_bits)))
@@ -107,8 +109,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(node)
-                counts = shared.value.of(s)
-                p = prefix(s, counts, 0, percent)
+                p = prefix(s, shared.value, 0, percent)
                 wide = shared.value.of(p) >= hot
                 out.append((p.view(np.int64), np.full(len(p), node, np.int64), np.full(len(p), len(s), np.int32), np.where(wide, node & 0xFFF, -1).astype(np.int32)))
             if out:
@@ -159,22 +160,24 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     first = base.groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node", "left_semi")
 
     def sets(batches):
+        last = None
         for batch in batches:
             ids, raw, more = [], [], []
-            for h in word_hashes(texts_of(batch, 1), lower):
+            for node, h in zip(batch.column(1).to_pylist(), word_hashes(texts_of(batch, 0), lower), strict=True):
                 s = shingle_set(h, n)
-                counts = shared.value.of(s)
+                if node == last or node_of(s) != node:  # another text, or a copy, under a repeated id
+                    continue
+                last = node
                 raw.append(s.tobytes())
-                more.append([(np.sort(prefix(s, counts, o, percent)) >> U(32)).astype(np.uint32).view(np.int32) for o in range(1, ORDERS)])
-                ids.append(node_of(s))
+                more.append([(np.sort(prefix(s, shared.value, o, percent)) >> U(32)).astype(np.uint32).view(np.int32) for o in range(1, ORDERS)])
+                ids.append(node)
             cols = [pa.array(ids, pa.int64()), pa.array(raw, pa.binary())]
             cols += [pa.array([x[o] for x in more], pa.list_(pa.int32())) for o in range(ORDERS - 1)]
             yield pa.RecordBatch.from_arrays(cols, ["node", "items", *(f"prefix{o}" for o in range(1, ORDERS))])
 
     schema = "node long, items binary, " + ", ".join(f"prefix{o} array<int>" for o in range(1, ORDERS))
-    # a repeated id with different texts yields its nodes through each of its rows, hence the distinct by node below
-    texts = own.join(first.select("id"), "id", "left_semi").select("id", "text")
-    nodes = scratch.put(texts.mapInArrow(sets, schema).dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "nodes")
+    texts = own.join(first, "id").select("text", "node")
+    nodes = scratch.put(texts.mapInArrow(sets, schema), "nodes")
     del texts
     scratch.release()
     items = nodes.select("node", "items")

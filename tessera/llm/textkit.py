@@ -146,6 +146,10 @@ class CountSketch:
             more = np.bincount(self._slots(items, r), minlength=1 << self.bits)
             np.add(self.table[r], np.minimum(more, 0xFFFF_FFFF - self.table[r]), out=self.table[r], casting="unsafe")
 
+    def row(self, items: np.ndarray, r: int) -> np.ndarray:
+        """The estimates of one row alone; the errors of different rows are independent."""
+        return self.table[r][self._slots(items, r)]
+
     def of(self, items: np.ndarray) -> np.ndarray:
         return np.min([self.table[r][self._slots(items, r)] for r in range(self.rows)], axis=0)
 
