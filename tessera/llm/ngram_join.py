@@ -69,6 +69,17 @@ def jaccard_links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def packed(shingles: np.ndarray) -> bytes:
+    """The leading 40 bits of each hash: two different shingles of two sets of 1,000 agree with probability 1e-6."""
+    v = shingles >> U(24)
+    return (v & U(0xFFFFFFFF)).astype("<u4").tobytes() + (v >> U(32)).astype(np.uint8).tobytes()
+
+
+def unpacked(raw) -> np.ndarray:
+    n = len(raw) // 5
+    return np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.uint64) << U(32)
+
+
 def _own(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -150,34 +161,39 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     listed = scratch.put(rows.mapInArrow(shared_only, "token long, node long, m int"), "listed")
     # copies of one text that came from different tasks may have left a token with a single node
     several = listed.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
-    lists = scratch.put(listed.distinct().join(several, "token", "left_semi"), "lists")
+    listed = listed.distinct().join(several, "token", "left_semi")
+    # from here on a node goes by the smallest id that has its text
+    rep = scratch.put(base.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id")), "rep")
+    lists = scratch.put(listed.join(rep, "node").select("token", F.col("id").alias("node"), "m"), "lists")
     scratch.drop("listed")
     del rows, listed, several
     scratch.release()
 
-    # the sets and the further prefixes of the nodes on the lists
-    wanted = lists.select("node").distinct()
-    first = base.groupBy("node").agg(F.min("id").alias("id")).join(wanted, "node", "left_semi")
+    # the sets and the further prefixes of the nodes on the lists, bucketed so that later joins do not move them
+    wanted = scratch.put(lists.select("node").distinct(), "wanted")
+    first = rep.join(wanted.select(F.col("node").alias("id")), "id", "left_semi")
 
     def sets(batches):
         last = None
         for batch in batches:
             ids, raw, more = [], [], []
-            for node, h in zip(batch.column(1).to_pylist(), word_hashes(texts_of(batch, 0), lower), strict=True):
+            for i, node, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), word_hashes(texts_of(batch, 1), lower), strict=True):
                 s = shingle_set(h, n)
-                if node == last or node_of(s) != node:  # another text, or a copy, under a repeated id
+                if (i, node) == last or node_of(s) != node:  # a copy, or another text, under a repeated id
                     continue
-                last = node
-                raw.append(s.tobytes())
+                last = (i, node)
+                raw.append(packed(s))
                 more.append([(np.sort(prefix(s, shared.value, o, percent)) >> U(32)).astype(np.uint32).view(np.int32) for o in range(1, ORDERS)])
-                ids.append(node)
+                ids.append(i)
             cols = [pa.array(ids, pa.int64()), pa.array(raw, pa.binary())]
             cols += [pa.array([x[o] for x in more], pa.list_(pa.int32())) for o in range(ORDERS - 1)]
             yield pa.RecordBatch.from_arrays(cols, ["node", "items", *(f"prefix{o}" for o in range(1, ORDERS))])
 
     schema = "node long, items binary, " + ", ".join(f"prefix{o} array<int>" for o in range(1, ORDERS))
-    texts = own.join(first, "id").select("text", "node")
-    nodes = scratch.put(texts.mapInArrow(sets, schema), "nodes")
+    texts = own.join(first, "id").select("id", "text", "node")
+    name = f"tessera_sets_{scratch.root.rpartition('-')[2]}"
+    texts.mapInArrow(sets, schema).write.option("path", f"{scratch.root}/sets").bucketBy(parts, "node").sortBy("node").saveAsTable(name)
+    nodes = spark.table(name)
     del texts
     scratch.release()
     items = nodes.select("node", "items")
@@ -187,7 +203,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         for batch in batches:
             a, b = batch.column(0), batch.column(1)
             x, y = batch.column(2), batch.column(3)
-            ok = [jaccard_links(np.frombuffer(p.as_buffer(), np.uint64), np.frombuffer(q.as_buffer(), np.uint64), percent) for p, q in zip(x, y, strict=True)]
+            ok = [jaccard_links(unpacked(p.as_buffer()), unpacked(q.as_buffer()), percent) for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([a, b], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -198,7 +214,7 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
         p = p.join(a, "u").join(b, "v")
         for o in range(1, ORDERS):
             p = p.where(F.arrays_overlap(f"a{o}", f"b{o}"))
-        p = p.select("u", "v")
+        p = scratch.put(p.select("u", "v"), f"pairs{r}")
         p = p.join(items.withColumnRenamed("node", "u").withColumnRenamed("items", "x"), "u")
         p = p.join(items.withColumnRenamed("node", "v").withColumnRenamed("items", "y"), "v")
         return p.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long")
@@ -236,10 +252,13 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             open_ = scratch.put(lists.join(live, "token", "left_semi"), f"open{r}")
         scratch.release()
 
-    # back to ids: the smallest id of a component; an id that repeats joins its texts
-    held = base.join(component, "node", "left").select("id", "n_shingles", F.coalesce("component", "node").alias("component"))
-    low = held.where("component is not null").groupBy("component").agg(F.min("id").alias("component_id"))
-    out = held.join(low, "component", "left").select("id", "n_shingles", F.coalesce("component_id", "id").alias("c"))
+    spark.sql(f"DROP TABLE IF EXISTS {name}")
+    scratch.drop("sets")
+
+    # back to rows; an id that repeats joins its texts
+    own_rep = rep.select("node", F.col("id").alias("rep"))
+    held = base.join(own_rep, "node", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
+    out = held.select("id", "n_shingles", F.coalesce("component", "rep", "id").alias("c"))
     repeated = out.groupBy("id").agg(F.min("c").alias("component_id"))
     return out.join(repeated, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.col("component_id"))
 
@@ -260,13 +279,13 @@ def _in_blocks(strays: DataFrame, component: DataFrame, items: DataFrame, percen
         for pdf in frames:
             out = []
             for strays_, rows in zip(pdf["strays"], pdf["rows"], strict=True):
-                sets = [np.frombuffer(r["items"], np.uint64) for r in rows]
+                sets = [unpacked(r["items"]) for r in rows]
                 size = np.array([len(s) for s in sets])
                 tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
                 order = np.argsort(tokens, kind="stable")
                 tokens, owner = tokens[order], owner[order]
                 for x in strays_:
-                    s = np.frombuffer(x["items"], np.uint64)
+                    s = unpacked(x["items"])
                     lo, hi = np.searchsorted(tokens, s), np.searchsorted(tokens, s, "right")
                     got = [owner[a:b] for a, b in zip(lo, hi, strict=True) if b > a]
                     if got:
