@@ -15,8 +15,9 @@ is lost, and pairs are never all written out.
 * Nodes that share a prefix shingle are first compared with a few pivots each (the
   nodes of lowest priority); linked nodes merge.  A shingle whose nodes are all in
   one component is finished.  What is left is compared exactly: all pairs across
-  components for short lists; for long lists, the nodes outside the list's largest
-  component against the whole list, in blocks.
+  components for short lists.  The nodes outside a long list's largest component are
+  compared with that whole component and with each other once, in blocks, and not
+  list by list.
 """
 
 from __future__ import annotations
@@ -236,11 +237,11 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             size = held.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
             main = size.groupBy("token").agg(F.sum("c").alias("many"), F.max_by("component", F.struct("c", "component")).alias("main"))
             held = held.join(main, "token")
-            # of a long list, the largest component is left to the blocks
-            loose = held.where(F.expr(f"many <= {SHORT} or component != main")).select("token", "node", "m", "component")
+            # long lists are left to the blocks
+            loose = held.where(F.expr(f"many <= {SHORT}")).select("token", "node", "m", "component")
             other = loose.select("token", F.col("node").alias("other"), F.col("m").alias("n"), F.col("component").alias("c"))
             pairs = loose.join(other, "token").where("node < other and component != c").where(fits).select(*ordered)
-            strays = held.where(F.expr(f"many > {SHORT} and component != main")).select("node", "main").distinct()
+            strays = held.where(F.expr(f"many > {SHORT} and component != main")).select("node", "component", "main").distinct()
             found = links(pairs).union(_in_blocks(strays, component, items, percent))
         found = scratch.put(found, f"found{r}")
         edges = found if edges is None else edges.union(found)
@@ -264,23 +265,23 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
 
 
 def _in_blocks(strays: DataFrame, component: DataFrame, items: DataFrame, percent: int) -> DataFrame:
-    """Links between a node and a large component (node, main), compared block by block; one for each block at most."""
-    few = strays.groupBy("main").agg(F.count(F.lit(1)).alias("strays"))
+    """Links of the strays (node, component, main) with the component ``main`` and with its other strays, compared in
+    blocks; for a node and a block, one for each component that it reaches."""
+    few = strays.groupBy("main").agg(F.count(F.lit(1)).alias("many"))
     blocks = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / BLOCK))
-    packed = F.collect_list(F.struct("node", "items")).alias("rows")
-    member = component.join(few.withColumnRenamed("main", "component"), "component", "left_semi")
-    many = member.groupBy("component").agg(F.count(F.lit(1)).alias("many"))
-    whole = member.join(many, "component").withColumn("block", blocks).join(items, "node").groupBy(F.col("component").alias("main"), "block").agg(packed)
-    lone = strays.join(few.withColumnRenamed("strays", "many"), "main").withColumn("sblock", blocks).join(items, "node")
-    lone = lone.groupBy("main", "sblock").agg(packed).select("main", F.col("rows").alias("strays"))
-    units = lone.join(whole, "main").select("strays", "rows")
+    rows = F.collect_list(F.struct("node", "component", "items")).alias("rows")
+    member = component.join(few.select(F.col("main").alias("component")), "component", "left_semi").select("node", "component", F.col("component").alias("main")).union(strays)
+    size = member.groupBy("main").agg(F.count(F.lit(1)).alias("many"))
+    whole = member.join(size, "main").withColumn("block", blocks).join(items, "node").groupBy("main", "block").agg(rows)
+    lone = strays.join(few, "main").withColumn("block", blocks).join(items, "node").groupBy("main", "block").agg(rows)
+    units = lone.select("main", F.col("rows").alias("strays")).join(whole, "main").select("strays", "rows")
 
     def compare(frames):
         for pdf in frames:
             out = []
             for strays_, rows in zip(pdf["strays"], pdf["rows"], strict=True):
                 sets = [unpacked(r["items"]) for r in rows]
-                size = np.array([len(s) for s in sets])
+                size, comp = np.array([len(s) for s in sets]), np.array([r["component"] for r in rows])
                 tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
                 order = np.argsort(tokens, kind="stable")
                 tokens, owner = tokens[order], owner[order]
@@ -290,9 +291,8 @@ def _in_blocks(strays: DataFrame, component: DataFrame, items: DataFrame, percen
                     got = [owner[a:b] for a, b in zip(lo, hi, strict=True) if b > a]
                     if got:
                         both = np.bincount(np.concatenate(got), minlength=len(sets))
-                        ok = np.flatnonzero(100 * both >= percent * (size + len(s) - both))
-                        if len(ok):
-                            out.append((x["node"], rows[int(ok[0])]["node"]))
+                        ok = np.flatnonzero((100 * both >= percent * (size + len(s) - both)) & (comp != x["component"]))
+                        out += [(x["node"], rows[int(ok[i])]["node"]) for i in np.unique(comp[ok], return_index=True)[1]]
             yield pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 
     return units.mapInPandas(compare, "u long, v long")

@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, html_text, langid, licenses, packing, queries, sharding, suffix_dedup, vectors
+from tessera.llm import bpe, html_text, langid, licenses, ngram_join, packing, queries, sharding, suffix_dedup, vectors
 from tessera.llm.ngram_join import ngram_jaccard_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,7 +57,10 @@ def closed(ids, linked):
     return low
 
 
-def test_ngram_join(spark):
+@pytest.mark.parametrize("short", [24, 1])
+def test_ngram_join(spark, monkeypatch, short):
+    monkeypatch.setattr(ngram_join, "SHORT", short)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
     rows = corpus()
     sets = {i: shingles(t) for i, t in rows}
     linked = [(a, b) for a in sets for b in sets if a < b and sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
