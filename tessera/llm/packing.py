@@ -1,9 +1,10 @@
 """Variable-capacity best-fit packing of texts into training sequences.
 
-Items are packed longest first.  An item goes to the open bin it leaves least room in;
-if none holds it, a bin is opened of the permitted length that costs least for each token
-(``(length + overhead) / length``) among those that hold it.  At the end each bin is
-cut down to the smallest permitted length that holds its contents.
+Items are packed longest first.  An item goes to the open bin it leaves least room in
+(of equal ones, the bin that came to that room last); if none holds it, a bin is opened
+of the permitted length that costs least for each token (``(length + overhead) / length``)
+among those that hold it.  At the end each bin is cut down to the smallest permitted
+length that holds its contents.
 
 Items are dealt at random over groups of bounded size, which are packed separately, so
 no task holds more than one group; the loss is at most one partly filled bin of a kind

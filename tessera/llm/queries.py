@@ -99,9 +99,5 @@ WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, CAST(concat('0x'
 s AS (SELECT doc_id, n_bytes, h, depth, sum(n_bytes) OVER (PARTITION BY depth, h >> (28 - depth)) AS b FROM d, (SELECT unnest(range(0, 29)) AS depth)),
 l AS (SELECT doc_id, any_value(n_bytes) AS n_bytes, any_value(h) AS h, min(depth) AS depth FROM s WHERE b <= {SHARD_BYTES} GROUP BY doc_id)
 SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, substr(lpad(CAST(bin(h) AS VARCHAR), 28, '0'), 1, depth) AS shard, false AS oversize FROM l""",
-    "op9_vp_search": """
-WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE list_aggregate(list_transform(embedding, lambda x: CASE WHEN isfinite(x) THEN 0 ELSE 1 END), 'sum') = 0 AND list_aggregate(list_transform(embedding, lambda x: abs(x)), 'max') > 0),
-p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v) AS score FROM e q JOIN e c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
-SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, round(score, 9) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM p) WHERE rank <= 20""",
 }
-del SQL["op9_vp_search"]  # sums in another order: tested against brute force instead
+#: op9 has no SQL: it would sum in another order; it is tested against brute force.
