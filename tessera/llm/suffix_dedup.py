@@ -69,7 +69,7 @@ def repeated_windows(own: DataFrame, scratch: Scratch, window: int, group_limit:
     columns = ["part", "hashes", "places", "wide", "ids", "prints", "ends"]
 
     def rows_of(held):
-        """The rows of one batch of texts [(id, words)], for the partitions and, with part -1, what is settled."""
+        """The rows of one batch of texts [(id, words)], for the partitions, and what is settled already."""
         counts = np.array([len(h) - window + 1 for _, h in held])
         full = np.concatenate([sequences(h, window) for _, h in held])
         keys = np.concatenate([route(h, window, shared.value, group_limit) for _, h in held])
@@ -95,7 +95,8 @@ def repeated_windows(own: DataFrame, scratch: Scratch, window: int, group_limit:
                 yield [p, full[own_].tobytes(), *_deltas(own_), *table]
         for i in np.unique(np.searchsorted(ends, np.flatnonzero(known), "right")):
             at = np.flatnonzero(known[ends[i] - counts[i] : ends[i]])
-            yield [int(prints[i]) % parts, b"", at.astype(np.uint32).tobytes(), True, ids[i : i + 1].tobytes(), prints[i : i + 1].tobytes(), b""]
+            # these are only passed on: dealt by id, so that copies do not meet in one task
+            yield [int(mix(ids[i : i + 1].view(np.uint64))[0] % U(parts)), b"", at.astype(np.uint32).tobytes(), True, ids[i : i + 1].tobytes(), prints[i : i + 1].tobytes(), b""]
 
     def spread(batches):
         held, size = [], 0
