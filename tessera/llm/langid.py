@@ -3,7 +3,8 @@
 A text becomes a vector of byte n-gram counts, hashed into DIMS slots, weighted by
 TF-IDF and scaled to unit length.  The vectors of each language are clustered by
 spherical k-means; a text gets the language of the centroid of largest cosine, and is
-rejected if that cosine is below what the centroid's own texts reach, by a margin.
+rejected if that cosine is below what texts of that language and of its length reach, by
+a margin.
 
 Fitting uses at most ``sample`` texts of each language (a documented bound); every
 text is scored whole, in one pass without a shuffle.
@@ -23,6 +24,11 @@ from .textkit import SLICE, texts_of
 
 DIMS = 4096
 UNKNOWN = "und"
+#: Share of a language's rows that a centroid has at least.
+LEAST = 0.05
+#: Numbers of n-grams for which floors are set, and the quantile of cosines they are set from.
+SIZES = 2 ** np.arange(3, 15)
+QUANTILE = 0.01
 _LETTER = re.compile(r"[^\W\d_]")
 _PLAIN = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -47,53 +53,84 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12, seed: int = 7) -> np.ndarray:
-    """Unit centroids of unit rows; starts from rows far from those already taken."""
+    """At most ``k`` unit centroids of unit rows, each of a ``LEAST`` share of the rows.
+
+    Starts as k-means++ does; the smallest cluster below the share goes, and its rows move
+    to the others, until none is.
+    """
     rng = np.random.default_rng(seed)
     picked = [int(rng.integers(len(x)))]
     near = x @ x[picked[0]]
     for _ in range(min(k, len(x)) - 1):
-        picked.append(int(np.argmin(near)))
+        weight = np.maximum(1 - near.astype(np.float64), 0) ** 2
+        if weight.sum() <= 0:
+            break
+        picked.append(int(rng.choice(len(x), p=weight / weight.sum())))
         near = np.maximum(near, x @ x[picked[-1]])
     c = x[picked]
-    for _ in range(rounds):
-        best = np.argmax(x @ c.T, axis=1)
-        sums = np.zeros_like(c)
-        np.add.at(sums, best, x)
-        moved = unit(sums)
-        c = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, moved, c)
-    return c
+    while True:
+        for _ in range(rounds):
+            best = np.argmax(x @ c.T, axis=1)
+            sums = np.zeros_like(c)
+            np.add.at(sums, best, x)
+            moved = unit(sums)
+            c = np.where(np.linalg.norm(sums, axis=1, keepdims=True) > 0, moved, c)
+        own = np.bincount(np.argmax(x @ c.T, axis=1), minlength=len(c))
+        if len(c) == 1 or own.min() >= LEAST * len(x):
+            return c
+        c = np.delete(c, own.argmin(), axis=0)
+
+
+def length_floors(counts: np.ndarray, idf: np.ndarray, centroids: np.ndarray, slack: float, seed: int = 7) -> np.ndarray:
+    """Of each of ``SIZES``, ``slack`` times a low quantile of the best cosines of texts of that size.
+
+    Texts of a size are those that have as many n-grams, thinned to it at random.
+    """
+    rng = np.random.default_rng(seed)
+    total = counts.sum(1, dtype=np.int64)
+    out = []
+    for size in SIZES:
+        some = np.flatnonzero(total >= size)[:200]
+        if not len(some):
+            break
+        thin = rng.binomial(counts[some], (size / total[some])[:, None])
+        cosine = (unit(np.log1p(thin.astype(np.float32)) * idf) @ centroids.T).max(1)
+        out.append(slack * float(np.quantile(cosine, QUANTILE)))
+    # no text is as long: as for the longest there are, and none at all rejects nothing
+    return np.array(out + [out[-1] if out else 0.0] * (len(SIZES) - len(out)))
 
 
 @dataclass
 class LanguageModel:
     languages: list[str]  # of each centroid
     centroids: np.ndarray
-    floors: np.ndarray  # cosine below which a text is rejected
+    floors: np.ndarray  # of each centroid and each of SIZES: cosine below which a text is rejected
     idf: np.ndarray
 
-    def vectors(self, texts: list[str]) -> np.ndarray:
-        return unit(np.log1p(count_matrix(texts)) * self.idf)
-
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
         if not self.languages:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
-        cosine = self.vectors(texts) @ self.centroids.T
+        counts = count_matrix(texts)
+        cosine = unit(np.log1p(counts) * self.idf) @ self.centroids.T
         best = np.argmax(cosine, axis=1)
         score = cosine[np.arange(len(texts)), best].astype(np.float64)
-        return [self.languages[i] for i in best], np.clip(score, 0.0, 1.0), score < self.floors[best]
+        size = np.log2(np.maximum(counts.sum(1), 1))
+        floor = np.array([np.interp(n, np.log2(SIZES), self.floors[i]) for n, i in zip(size, best, strict=True)])
+        return [self.languages[i] for i in best], np.clip(score, 0.0, 1.0), score < floor
 
 
-def fit_language_model(labelled: DataFrame, text_col: str, lang_col: str, key: Column, *, sample: int = 1000, centroids: int = 3, slack: float = 0.35) -> LanguageModel:
+def fit_language_model(labelled: DataFrame, text_col: str, lang_col: str, key: Column, *, sample: int = 1000, centroids: int = 3, slack: float = 0.5) -> LanguageModel:
     """``labelled``: rows to learn from; ``key`` picks the sample and is no feature.
 
     About ``sample`` rows of each language, those of the smallest key hashes, are taken as
-    count vectors.  A centroid's floor is ``slack`` times the lowest cosine of its own rows.
+    count vectors.  A text's floor is ``slack`` times the hundredth of the cosines that texts of
+    the language have at its length.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key).alias("key"))
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return LanguageModel([], np.zeros((0, DIMS)), np.zeros(0), np.ones(DIMS))
+        return LanguageModel([], np.zeros((0, DIMS)), np.zeros((0, len(SIZES))), np.ones(DIMS))
     share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, 1.3 * sample / n))])
     rows = rows.where(F.pmod("key", F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000)
 
@@ -108,7 +145,8 @@ def fit_language_model(labelled: DataFrame, text_col: str, lang_col: str, key: C
     for r in got:
         if len(own := by.setdefault(r.lang, [])) < sample:
             own.append(np.frombuffer(r.counts, np.uint16))
-    counts = {lang: np.log1p(np.array(x, np.float32)) for lang, x in by.items()}
+    raw = {lang: np.array(x) for lang, x in by.items()}
+    counts = {lang: np.log1p(x.astype(np.float32)) for lang, x in raw.items()}
     df = sum((x > 0).sum(0) for x in counts.values())
     n = sum(map(len, counts.values()))
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
@@ -116,14 +154,9 @@ def fit_language_model(labelled: DataFrame, text_col: str, lang_col: str, key: C
     for lang, x in sorted(counts.items()):
         v = unit(x * idf)
         c = spherical_kmeans(v, centroids)
-        cosine = v @ c.T
-        best = np.argmax(cosine, axis=1)
-        for i in range(len(c)):
-            own = cosine[best == i, i]
-            if len(own):
-                names.append(lang)
-                places.append(c[i])
-                floors.append(slack * float(own.min()))
+        names += [lang] * len(c)
+        places.extend(c)
+        floors += [length_floors(raw[lang], idf, c, slack)] * len(c)
     return LanguageModel(names, np.array(places, np.float32), np.array(floors), idf)
 
 

@@ -1,5 +1,6 @@
 """The operators against brute force on small tables with nulls, empty texts, ties, repeated rows and clashing columns."""
 
+import base64
 import hashlib
 import random
 import re
@@ -103,6 +104,25 @@ def test_language_id(spark):
     assert none.lang_pred == "und" and none.rejected
 
 
+def test_language_id_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    model = queries.language_model(docs)
+    rng = np.random.default_rng(1)
+    words = lambda letters, n: " ".join("".join(rng.choice(list(letters), rng.integers(2, 10))) for _ in range(n))
+    odd = [words("bcdfghjklmnpqrstvwxz", n) for n in (20, 300)] + [base64.b64encode(rng.bytes(n)).decode() for n in (90, 900)] + [rng.bytes(n).hex() for n in (90, 900)]
+    odd += ["Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli, jota puhuvat pääosin suomalaiset.", "Język polski jest językiem z grupy zachodniosłowiańskiej, do której należą również czeski, kaszubski i słowacki."]
+    assert model.predict(odd)[2].all()
+    # held-out texts stay, whole and cut
+    clean = [r.text for r in docs.where(queries.held_out(F.col("doc_id"))).collect() if r.text and len(r.text) > 400]
+    for n in (100, 400, 10**6):
+        assert model.predict([t[:n] for t in clean])[2].mean() < 0.02
+    # an odd row neither is a centroid nor sets a floor
+    rows = [r for r in docs.where("lang = 'de'").collect() if r.text] + [(-1, "Zzqx", "de")]
+    one = langid.fit_language_model(spark.createDataFrame(rows, docs.schema), "text", "lang", F.col("doc_id"))
+    best = np.bincount([int(np.argmax(langid.unit(np.log1p(langid.count_matrix([r[1]])) * one.idf) @ one.centroids.T)) for r in rows], minlength=len(one.centroids))
+    assert best.min() > 0.02 * len(rows) and one.predict([odd[1]])[2].all()
+
+
 def test_bpe_matches_the_library():
     import tiktoken
 
