@@ -256,6 +256,42 @@ def test_licenses(spark):
     assert got[1] == got[2] == got[5] == (None, 0) and got[3] == ("Apache-2.0", 1) and got[4][1] == 2
 
 
+def test_licenses_in_running_text():
+    scan = licenses.Matcher().scan
+    named = lambda text: [n for n, _ in scan(text)]
+    wrapped = lambda text, width: "\n".join(" * " + " ".join(text.split()[i : i + width]) for i in range(0, len(text.split()), width))
+    mit = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the 'Software'), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"
+    gpl = "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: * Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. * Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+    third = " * Neither the name of Example Inc. nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+    for text, want in ((mit, "MIT"), (gpl, "GPL-2.0"), (gpl.replace("version 2", "version 3"), "GPL-3.0"), (gpl.replace("GNU", "GNU Affero").replace("version 2", "version 3"), "AGPL-3.0"), (bsd, "BSD-2-Clause"), (bsd + third, "BSD-3-Clause")):
+        assert named(text) == named(wrapped(text, 9)) == named(f"some prose before it {text} and some prose after it") == [want]
+    assert scan("we say here: Released under the MIT License. and five more words follow") == [("MIT", 1.0)]
+    assert named("this work is licensed under no terms, and the license of the software is not known") == []
+
+
+def test_licenses_against_every_run():
+    """Every run of a text's words with every template, without bounds."""
+    rng = random.Random(4)
+    templates = licenses.TEMPLATES[:5] + licenses.TEMPLATES[6:8] + licenses.TEMPLATES[9:16]
+    matcher = licenses.Matcher(templates, 0.7)
+    vocabulary = sorted({w for _, t in templates for w in licenses._WORD.findall(t.lower())})
+    for _ in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(3)):
+            own = [w for w in licenses._WORD.findall(rng.choice(templates)[1].lower()) if rng.random() < 0.95]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = own
+        want = set()
+        for i, (_, text) in enumerate(templates):
+            t = licenses.bigrams(text)
+            dices = [2 * len(b & t) / (len(b) + len(t)) for s in range(len(words)) for e in range(s + 1, len(words) + 1) if (b := licenses.bigrams(" ".join(words[s:e])))]
+            if max(dices, default=0) >= 0.7:
+                want.add((i, max(dices)))
+        hits = {i: [k for k in range(len(words) - 1) if (words[k], words[k + 1]) in matcher.sets[i]] for i in range(len(templates))}
+        assert {(i, max(r[0] for r in runs)) for i in hits if (runs := matcher.runs(words, i, hits[i]))} == want
+
+
 def test_digest(spark):
     rows = corpus(4)
     want = {i: hashlib.sha256(x[2].encode()).hexdigest() for i, x in brute_cut(rows, 13).items()}
