@@ -19,16 +19,29 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest doc_id of each near-duplicate group, by five words and a similarity of 0.8."""
-    groups = ngram_jaccard_components(docs, n=5, percent=80, lower=True)
-    return docs.join(groups.where("component_id = doc_id").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """Keeps one row of each near-duplicate group, by five words and a similarity of 0.8.
+
+    It is the row of the smallest doc_id; a row with a null doc_id only stays if its group has
+    no other.  Different texts of one doc_id are documents of their own; a row that repeats both
+    goes.  Rows are told apart by a 64-bit hash of id and text.
+    """
+    row = F.xxhash64(F.col("doc_id").isNull(), "doc_id", F.col("text").isNull(), "text")
+    groups = ngram_jaccard_components(docs.select(row.alias("doc_id"), "text"), n=5, percent=80, lower=True)
+    groups = groups.select(F.col("doc_id").alias("row_key"), "component_id").join(docs.select(row.alias("row_key"), F.col("doc_id").alias("own_id")).distinct(), "row_key")
+    first = F.min_by("row_key", F.struct(F.col("own_id").isNull(), "own_id", "row_key"))
+    kept = groups.groupBy("component_id").agg(first.alias("row_key")).select("row_key")
+    return docs.withColumn("row_key", row).join(kept, "row_key", "left_semi").dropDuplicates(["row_key"]).select(*docs.columns)
 
 
 def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes passages of 40 words or more that an earlier document has; an emptied document goes."""
-    cut = suffix_dedup(docs.select("doc_id", "text"), window=40)
-    changed = cut.where("n_removed > 0").select("doc_id", "kept_text").dropDuplicates(["doc_id"])
-    out = docs.join(changed, "doc_id", "left").withColumn("text", F.coalesce("kept_text", "text")).where("kept_text is null or kept_text <> ''")
+    """Removes passages of 40 words or more that an earlier document has; an emptied document goes.
+
+    Earlier is of a smaller doc_id: different texts of one doc_id are each cut for themselves, and
+    a row with a null doc_id stays as it is.
+    """
+    cut = suffix_dedup(docs.select("doc_id", "text"), window=40, text_key=True)
+    changed = cut.where("n_removed > 0").select("doc_id", "text_key", "kept_text").dropDuplicates(["doc_id", "text_key"])
+    out = docs.withColumn("text_key", F.xxhash64("text")).join(changed, ["doc_id", "text_key"], "left").withColumn("text", F.coalesce("kept_text", "text")).where("kept_text is null or kept_text <> ''")
     return out.withColumn("n_chars", F.when(F.col("kept_text").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 

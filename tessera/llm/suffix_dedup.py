@@ -183,7 +183,7 @@ def repeated_windows(own: DataFrame, scratch: Scratch, window: int, group_limit:
     return hits
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, group_limit: int = 50_000) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, group_limit: int = 50_000, text_key: bool = False) -> DataFrame:
     """Returns (id_col, n_words, n_removed, kept_text, spans), one row per input row.
 
     A word is removed if it lies in ``window`` consecutive words that also start in a
@@ -191,6 +191,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     words that stay by one space; ``spans`` are the removed word ranges [start, end).
     A null text has no words.  Rows of one id never remove words from each other, and
     a row with a null id neither removes nor loses words.  Other columns are not read.
+    ``text_key`` adds a column of that name, ``xxhash64`` of the input text.
     """
     scratch = Scratch(docs.sparkSession, "suffix")
     own = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
@@ -222,7 +223,7 @@ def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 n.append(len(words))
                 kept.append(b" ".join(left).decode("utf-8", "surrogatepass"))
             span = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, span)], ["id", "n_words", "n_removed", "kept_text", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(kept, pa.string()), pa.array(spans, span), batch.column(3)], ["id", "n_words", "n_removed", "kept_text", "spans", "text_key"])
 
-    out = own.join(hits, "id", "left").select("id", "text", "hits").mapInArrow(remove, "id long, n_words long, n_removed long, kept_text string, spans array<struct<start: int, end: int>>")
-    return out.withColumnRenamed("id", id_col)
+    out = own.join(hits, "id", "left").select("id", "text", "hits", F.xxhash64("text").alias("text_key")).mapInArrow(remove, "id long, n_words long, n_removed long, kept_text string, spans array<struct<start: int, end: int>>, text_key long")
+    return (out if text_key else out.drop("text_key")).withColumnRenamed("id", id_col)

@@ -95,6 +95,22 @@ def test_pipeline(spark, tmp_path):
     assert Counter((tuple(sorted(v)), k[1]) for k, v in bins.items()) == packed(left, queries.LENGTHS, 16)
 
 
+def test_rows_without_an_id_and_repeated_ids(spark):
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    a, b, c, shared = words("a", 60), words("b", 60), words("c", 60), words("s", 50)
+    near = a.replace("a30 ", "changed ")
+    rows = [(3, a), (3, a), (5, near), (5, b), (None, c), (None, c), (None, near), (None, None), (7, f"{c} {shared}"), (8, f"{shared} p"), (8, f"q r {shared}"), (8, "clean"), (None, f"{shared} t"), (9, shared)]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long").repartition(3)
+    one = [(r.doc_id, r.text) for r in corpus_pipeline.keep_one_of_group(spark, docs, "").collect()]
+    # the texts around ``shared`` that are its near copies go with the smallest id that has one
+    want = [(3, a), (5, b), (None, c), (None, None), (7, f"{c} {shared}"), (8, "clean")]
+    of_shared = {(8, f"{shared} p"), (8, f"q r {shared}")}
+    assert Counter(x for x in one if x not in of_shared) == Counter(want) and sum(x in of_shared for x in one) == 1
+    cut = Counter((r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.cut_repeated_passages(spark, docs.where("doc_id in (7, 8, 9) or doc_id is null"), "").collect())
+    left = [(None, c), (None, c), (None, near), (None, None), (7, f"{c} {shared}"), (8, "p"), (8, "q r"), (8, "clean"), (None, f"{shared} t")]
+    assert cut == Counter((i, t, len(t or "")) for i, t in left)
+
+
 def test_stages_on_no_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     none = docs.limit(0)
