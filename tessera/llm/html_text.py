@@ -5,8 +5,10 @@ density is characters per tag, damped where a node's text is mostly links.  The
 sum of a node adds up its children's densities; the node of the largest sum is the core,
 and the smallest density on the path from it to the body is the threshold.  Subtrees at
 least that dense give the text, each through its own descendant of the largest sum.
-Parts that are never article text by their element or by a word of their class, id or
-role take no part.
+Dense runs of text and inline elements beside them give theirs too.
+Parts that are never article text by their element or role take no part.  A word of a
+class or id only marks a part: outside the text found so, and where its links or its
+density agree also inside, it takes none; a part that is mostly heading stays.
 """
 
 from __future__ import annotations
@@ -33,6 +35,8 @@ ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.it
 DROPPED = frozenset("head script style noscript template nav footer aside form button select option input textarea iframe object embed canvas svg math audio video dialog menu title noframes".split())
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist disqus consent cookie cookies copyright disclaimer footer gdpr header masthead login menu modal nav navbar navigation navigator newsletter notice notification notifications pager pagination paywall popup promo promotion promoted recommended recommendations related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription survey tags toc toolbar topbar widget widgets".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SLUGGED = HEADINGS | {"p"}
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
@@ -40,29 +44,32 @@ _SPACE = re.compile(r"\s+")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "density", "sum", "drop")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "head_chars", "density", "sum", "drop", "marked")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent, self.children, self.drop = tag, parent, [], False
-        self.chars = self.tags = self.link_chars = self.link_tags = 0
+        self.tag, self.parent, self.children, self.drop, self.marked = tag, parent, [], False, False
+        self.chars = self.tags = self.link_chars = self.link_tags = self.head_chars = 0
         self.density = self.sum = 0.0
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> bool:
+def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is dropped whatever it holds, and whether its class or id marks it."""
+    marked = False
     if tag in DROPPED or tag == "header" and not inside:
-        return True
+        return True, False
     if attributes and "=" in attributes or "hidden" in attributes:
         for name, a, b, c in _NAMED.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
             if name in ("class", "id"):
-                if tag not in ("article", "main", "body", "html") and not MARKS.isdisjoint(_WORDS.findall(value)):
-                    return True
+                # the id of a heading or paragraph is a slug of its text
+                if tag not in ("article", "main", "body", "html") and not (name == "id" and tag in SLUGGED):
+                    marked = marked or not MARKS.isdisjoint(_WORDS.findall(value))
             elif name == "role":
                 if value.strip() in ROLES:
-                    return True
+                    return True, False
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return True
-    return False
+                return True, False
+    return False, marked
 
 
 def parse(page: str) -> Node:
@@ -130,7 +137,8 @@ def parse(page: str) -> Node:
             while up is not None and not inside:
                 inside = up.tag in ("article", "main")
                 up = up.parent
-        child.drop = _unwanted(tag, m[3] or "", inside)
+        dropped, child.marked = _unwanted(tag, m[3] or "", inside)
+        child.drop = dropped or child.marked
         if tag in VOID or (m[3] or "").endswith("/") and tag not in BLOCKS and tag not in RAW and tag not in ("a", "b", "i", "span"):
             continue
         if tag in RAW:
@@ -141,6 +149,28 @@ def parse(page: str) -> Node:
     return root
 
 
+def _density(x: Node, ratio: float) -> float:
+    if not x.chars:
+        return 0.0
+    tags, plain = max(1, x.tags), max(1, x.chars - x.link_chars)
+    base = math.log(x.chars / plain * max(1, x.link_chars) + ratio * x.chars + math.e)
+    return x.chars / tags * math.log(x.chars / max(1, x.link_chars) * (tags / max(1, x.link_tags)) + 1) / base if base else 0.0
+
+
+def _count(x: Node) -> None:
+    x.chars = x.tags = x.link_chars = x.link_tags = x.head_chars = 0
+    for c in x.children:
+        if type(c) is Node:
+            if not c.drop:
+                x.head_chars += c.chars if c.tag in HEADINGS else c.head_chars
+                x.chars += c.chars
+                x.tags += c.tags + 1
+                x.link_chars += c.chars if c.tag == "a" else c.link_chars
+                x.link_tags += c.link_tags + (c.tag == "a")
+        else:
+            x.chars += len(_SPACE.sub(" ", c)) if not c.isspace() else 0
+
+
 def _measure(root: Node) -> list[Node]:
     """Sets the counts and densities; returns the kept nodes, parents first."""
     order, stack = [], [root]
@@ -149,22 +179,11 @@ def _measure(root: Node) -> list[Node]:
         order.append(x)
         stack.extend(c for c in x.children if type(c) is Node and not c.drop)
     for x in reversed(order):
-        for c in x.children:
-            if type(c) is Node:
-                if not c.drop:
-                    x.chars += c.chars
-                    x.tags += c.tags + 1
-                    x.link_chars += c.chars if c.tag == "a" else c.link_chars
-                    x.link_tags += c.link_tags + (c.tag == "a")
-            else:
-                x.chars += len(_SPACE.sub(" ", c)) if not c.isspace() else 0
+        _count(x)
     total = max(1, root.chars)
     ratio = root.link_chars / total
     for x in reversed(order):
-        if x.chars:
-            tags, plain = max(1, x.tags), max(1, x.chars - x.link_chars)
-            base = math.log(x.chars / plain * max(1, x.link_chars) + ratio * x.chars + math.e)
-            x.density = x.chars / tags * math.log(x.chars / max(1, x.link_chars) * (tags / max(1, x.link_tags)) + 1) / base if base else 0.0
+        x.density = _density(x, ratio)
         x.sum = sum(c.density for c in x.children if type(c) is Node and not c.drop)
         x.sum += sum(len(c) for c in x.children if type(c) is str and not c.isspace()) if x.tag in ("div", "td", "article", "main", "section", "body") else 0
     return order
@@ -190,10 +209,41 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
                 out.append([])
 
 
+def _unmark(node: Node) -> list[Node]:
+    """Lets the marked parts below a node in, nested ones too; returns the nodes kept so, parents first."""
+    out, stack = [], [node]
+    while stack:
+        out.append(x := stack.pop())
+        for c in x.children:
+            if type(c) is Node and (c.marked or not c.drop):
+                c.drop = False
+                stack.append(c)
+    return out
+
+
+def _keep_most(root: Node) -> None:
+    """A marked part that holds most of the page's text is no side matter."""
+    order = _unmark(root)
+    for x in reversed(order):
+        _count(x)
+    for x in order:
+        x.drop = x.marked and 2 * (x.chars - x.link_chars) <= root.chars - root.link_chars
+
+
+def _keep_dense(node: Node, threshold: float, ratio: float) -> None:
+    """Drops those marked parts whose links or density (half the threshold) agree that they are none of the text, inner ones first."""
+    for x in reversed(_unmark(node)):
+        _count(x)
+        if x.marked and x is not node:
+            heading = x.chars if x.tag in HEADINGS else x.head_chars
+            x.drop = 2 * x.link_chars >= x.chars or 2 * _density(x, ratio) < threshold and 2 * heading < x.chars
+
+
 def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _keep_most(root)
     order = _measure(root)
     body = next((x for x in order if x.tag == "body"), root)
     if not body.chars:
@@ -212,36 +262,64 @@ def main_text(page: str | None) -> str:
         if x.tag in ("article", "main") and (whole is None or whole.tag == x.tag):
             whole = x
         x = x.parent
-    picked = [whole] if whole is not None else _dense(body, core, threshold)
+    ratio = root.link_chars / max(1, root.chars)
+    picked = [whole] if whole is not None else _dense(body, core, threshold, ratio)
     out: list[list[str]] = [[]]
     for x in picked:
+        _keep_dense(x, threshold, ratio)
         _blocks(x, out)
         out.append([])
     lines = (" ".join(html.unescape("".join(b)).split()) for b in out if b)
     return "\n".join(x for x in lines if x)
 
 
-def _dense(body: Node, core: Node, threshold: float) -> list[Node]:
-    """The core, and its dense neighbours on the path to the body, in page order."""
+def _dense(body: Node, core: Node, threshold: float, ratio: float) -> list[Node]:
+    """The core, and its dense neighbours on the path to the body, in page order; text and inline elements in a row are one neighbour."""
+    if core is body:
+        return [body]
     path, x = {core}, core
     while x is not None and x is not body:
         path.add(x)
         x = x.parent
     picked = []
 
-    def visit(node: Node) -> None:
-        for c in node.children:
-            if type(c) is Node and not c.drop:
-                if c is core:
-                    picked.append(c)
-                elif c in path:
-                    visit(c)
-                elif c.chars and c.density >= threshold and c.link_chars * 2 < c.chars and c.tag in BLOCKS:
-                    picked.append(c)
+    def take(run: list) -> None:
+        if run:
+            x = Node("span", None)
+            x.children = list(run)
+            run.clear()
+            for c in x.children:
+                if type(c) is Node:
+                    x.chars, x.tags = x.chars + c.chars, x.tags + c.tags + 1
+                    x.link_chars += c.chars if c.tag == "a" else c.link_chars
+                    x.link_tags += c.link_tags + (c.tag == "a")
+                else:
+                    x.chars += len(_SPACE.sub(" ", c)) if not c.isspace() else 0
+            if x.chars and _density(x, ratio) >= threshold and x.link_chars * 2 < x.chars:
+                picked.append(x)
 
-    if core is body:
-        return [body]
-    visit(body)
+    stack: list = [(body, 0, [])]
+    while stack:
+        node, i, run = stack.pop()
+        while i < len(node.children):
+            c = node.children[i]
+            i += 1
+            if type(c) is str or c not in path and not c.drop and c.tag not in BLOCKS:
+                run.append(c)
+                continue
+            if c.drop and c.tag not in BLOCKS:
+                continue
+            take(run)
+            if c is core:
+                picked.append(c)
+            elif c in path:
+                stack.append((node, i, run))
+                stack.append((c, 0, []))
+                break
+            elif not c.drop and c.chars and c.density >= threshold and c.link_chars * 2 < c.chars:
+                picked.append(c)
+        else:
+            take(run)
     return picked
 
 

@@ -165,6 +165,29 @@ def test_html(page, want):
     assert html_text.main_text(page) == want
 
 
+LONG = " ".join(["words of a long paragraph, which go on and on,"] * 6)
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # marks inside the article: text and headings stay, links and scraps go
+        (f'<article><div class="entry-header"><h1>Title</h1></div><p>{LONG}</p><h2 id="related-work">Related work</h2><p id="share">short</p><section id="survey-results"><p>{LONG} A</p></section><div class="share">Share it</div><div class="related"><a href=x>one other page of ours</a><a href=y>another one</a></div></article>', f"Title\n{LONG}\nRelated work\nshort\n{LONG} A"),
+        # a mark within a marked part that stays
+        (f'<main><p>{LONG}</p><div id="notice-of-rights"><p>{LONG} B</p><div class="social">like</div></div></main>', f"{LONG}\n{LONG} B"),
+        # marks on nested parts that stay
+        (f'<main><p>{LONG}</p><section id="survey-results"><div class="survey"><p>{LONG} I</p></div></section></main>', f"{LONG}\n{LONG} I"),
+        (f'<body><p>menu</p><div class="widget"><div class="widget-content"><p>{LONG}</p><p>{LONG} K</p></div></div></body>', f"{LONG}\n{LONG} K"),
+        # all of the page in a marked part
+        (f'<body><p>menu</p><div class="widget"><p>{LONG}</p><p>{LONG} C</p></div></body>', f"{LONG}\n{LONG} C"),
+        # without an article: text in the parent itself, with inline elements, in page order
+        (f'<body><div>{LONG} <b>bold</b> D<div><p>{LONG} E</p><p>{LONG} F</p><p>{LONG} G</p></div><em>{LONG}</em> H</div><div><a href=x>{LONG}</a></div></body>', f"{LONG} bold D\n{LONG} E\n{LONG} F\n{LONG} G\n{LONG} H"),
+    ],
+)
+def test_html_marks_and_loose_text(page, want):
+    assert html_text.main_text(page) == want
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "<article><p>é</p></article>", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "", 0), (2, "é", 1)]
