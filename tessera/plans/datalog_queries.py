@@ -32,6 +32,12 @@ def datalog_recursive(t):
     return evaluate(t.spark, "path(X, Y) :- edge(X, Y). path(X, Z) :- path(X, Y), edge(Y, Z).", {"edge": e}, "path").toDF("a", "b")
 
 
+@query("WITH RECURSIVE e AS (SELECT p_partkey AS a, p_partkey // 2 AS b FROM part WHERE p_partkey >= 2), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a) SELECT a, b FROM r")
+def datalog_recursive_whole(t):
+    e = t.part.where("p_partkey >= 2").select("p_partkey", F.expr("p_partkey div 2"))
+    return evaluate(t.spark, "path(X, Y) :- edge(X, Y). path(X, Z) :- path(X, Y), edge(Y, Z).", {"edge": e}, "path").toDF("a", "b")
+
+
 @query("SELECT c_nationkey AS nation, count(*) AS n FROM customer GROUP BY 1")
 def datalog_agg_count(t):
     return _run(t, "target(N, C) :- customer(K, N), C = count(K).", ["nation", "n"])

@@ -93,9 +93,12 @@ def graph_trace_khop(t):
 PARTS = "pn AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_partkey AS k FROM part WHERE p_partkey <= 200), pe AS (SELECT CAST(k AS VARCHAR) AS source_id, CAST(k // 3 AS VARCHAR) AS target_id FROM pn WHERE k % 7 <> 0 AND k // 3 > 0)"
 
 
-def part_graph(t):
-    """A forest over the 200 smallest part keys: k to k / 3, cut at multiples of 7."""
-    p = t.part.where("p_partkey <= 200")
+ALL_PARTS = PARTS.replace(" WHERE p_partkey <= 200", "")
+
+
+def part_graph(t, whole=False):
+    """A forest over the part keys, or over the 200 smallest: k to k / 3, cut at multiples of 7."""
+    p = t.part if whole else t.part.where("p_partkey <= 200")
     n = p.select(F.col("p_partkey").cast("string").alias("id"))
     e = p.where("p_partkey % 7 <> 0 and p_partkey div 3 > 0").select(F.col("p_partkey").cast("string").alias("source_id"), F.expr("p_partkey div 3").cast("string").alias("target_id"))
     return n, e
@@ -113,6 +116,18 @@ def graph_topo_layers(t):
     return G.layers(e, n)
 
 
+@query(f"WITH RECURSIVE {ALL_PARTS}, b AS (SELECT source_id AS x, target_id AS y FROM pe UNION SELECT target_id, source_id FROM pe), r AS (SELECT id, id AS low FROM pn UNION SELECT b.y, low FROM r JOIN b ON x = id), m AS (SELECT id, min(low) AS low FROM r GROUP BY id) SELECT id, CAST(dense_rank() OVER (ORDER BY low) - 1 AS INTEGER) AS component FROM m")
+def graph_components_whole(t):
+    n, e = part_graph(t, whole=True)
+    return G.components(e, n)
+
+
+@query(f"WITH RECURSIVE {ALL_PARTS}, r AS (SELECT id, 0 AS layer FROM pn UNION ALL SELECT source_id, layer + 1 FROM r JOIN pe ON target_id = id) SELECT id, CAST(max(layer) AS INTEGER) AS layer FROM r GROUP BY id")
+def graph_topo_layers_whole(t):
+    n, e = part_graph(t, whole=True)
+    return G.layers(e, n)
+
+
 @query("SELECT CAST(i AS INTEGER) AS position, name FROM (VALUES (0,'part'),(1,'region'),(2,'nation'),(3,'customer'),(4,'orders'),(5,'supplier'),(6,'lineitem')) v(i, name)")
 def fk_topo_order(t):
     names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]

@@ -139,3 +139,22 @@ def test_stream_replay_is_idempotent(spark, tmp_path):
     q = stream_cdc.fresh_events(stream).writeStream.format("memory").queryName("fresh").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert sorted(r.lsn for r in spark.table("fresh").collect()) == list(range(20))
+
+
+def test_queries_over_all_parts(spark, tmp_path):
+    from tessera import catalog
+
+    keys = range(1, 421)
+    spark.createDataFrame([(k,) for k in keys], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    up = {k: k // 3 for k in keys if k % 7 and k // 3}
+    root = {}
+    layer = dict.fromkeys(keys, 0)
+    for k in keys:
+        root[k] = root[up[k]] if k in up else k
+        layer[k] = layer[up[k]] + 1 if k in up else 0
+    low = {r: min(str(k) for k in keys if root[k] == r) for r in set(root.values())}
+    number = {x: i for i, x in enumerate(sorted(low.values()))}
+    run = lambda name: catalog.QUERIES[name](spark, str(tmp_path)).collect()
+    assert {r.id: r.component for r in run("graph_components_whole")} == {str(k): number[low[root[k]]] for k in keys}
+    assert {r.id: r.layer for r in run("graph_topo_layers_whole")} == {str(k): layer[k] for k in keys}
+    assert {(r.a, r.b) for r in run("datalog_recursive_whole")} == {(k, k >> i) for k in keys if k >= 2 for i in range(1, k.bit_length())}
