@@ -7,21 +7,28 @@ is lost, and pairs are never all written out.
 
 * Texts with equal sets are one *node* (a 64-bit fingerprint of the set), so exact
   copies cost one row each.
-* A global order ranks shingles by an estimate of their corpus count, rare ones first,
-  then by a hash.  Each order has its own row of a count sketch of fixed size, whose
-  errors are independent, and so puts rare shingles in another order.  Two sets that
-  link share a shingle in their prefixes of ``|A| - ceil(t|A|) + 1`` under every order.  The first order proposes pairs; a pair that shares no prefix
-  shingle under one of the others is dropped before its sets are compared.
+* A first order, by hash, serves as a filter of nodes.  A set of ``m`` shingles may miss
+  ``t = m - ceil(percent * m / 100)`` of them in a partner.  The first ``t + k`` shingles of
+  two sets that link have at least ``k`` in common, so a node of whose first ``2 t`` shingles fewer
+  than the ``k`` of its smallest partner are in the prefix of any other node links with nothing.
+  All prefixes are counted, packed by hash ranges; most nodes end here.
+* The nodes left are ordered by three further orders: rare shingles first by an estimate of
+  their count among these nodes, each order by its own row of a count sketch of fixed size.  Two sets
+  that link share a shingle of their first ``t + 1`` under every order.  The first order proposes
+  pairs; a pair that shares no prefix shingle under one of the others is dropped before its sets are
+  compared.
 * Nodes that share a prefix shingle are first compared with a few pivots each (the
   nodes of lowest priority); linked nodes merge.  A shingle whose nodes are all in
   one component is finished.  What is left is compared exactly: all pairs across
   components for short lists.  The nodes outside a long list's largest component are
   compared with that whole component and with each other once, in blocks, and not
-  list by list.
+  list by list; pairs pass the filters of size and of all orders there too.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -30,34 +37,48 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .scratch import Scratch
-from .textkit import U, corpus_sketch, mix, sequences, shingle_set, texts_of, word_hashes
+from .textkit import U, item_sketch, membership, mix, sequences, shingle_set, texts_of, word_hashes
 
 #: Pivots of a list in each round; later rounds only concern nodes that are not yet linked.
 PIVOTS = (4, 24)
 #: Lists of up to this many nodes are finished pair by pair.
 SHORT = 24
-#: Nodes of a block in the exhaustive comparison.
-BLOCK = 128
+#: Nodes of a block in the exhaustive comparison, and of a list that one task takes.
+BLOCK, LANE = 512, 1024
+#: Prefix shingles, and nodes, that a task packs at once.
+PACK, NODES = 1 << 20, 60_000
 ORDERS = 3
 
 
-def _maker(n: int, lower: bool):
-    def make(h):
-        return sequences(h, min(n, len(h))) if len(h) else h
-
-    make.lower = lower
-    return make
-
-
 def node_of(shingles: np.ndarray) -> int:
     """A fingerprint of a set, as a signed 64-bit integer."""
     return int((np.add.reduce(mix(shingles ^ U(0x5851F42D4C957F2D))) ^ U(len(shingles))).astype(np.int64))
 
 
+def missing(m: int, percent: int) -> int:
+    """How many of ``m`` shingles a partner may lack."""
+    return m + -percent * m // 100
+
+
+def needed(m: int, percent: int) -> int:
+    """How many shingles of the filter's prefix a node shares with any partner: the extra length of its smallest one."""
+    return max(1, missing(-(-percent * m // 100), percent))
+
+
+def filter_prefix(shingles: np.ndarray, percent: int) -> np.ndarray:
+    """The shingles that the filter of nodes counts: the first by a hash."""
+    m = len(shingles)
+    t = missing(m, percent)
+    length = t + max(1, t)
+    if length >= m:
+        return shingles
+    return shingles[np.argpartition(mix(shingles ^ U(0xE7037ED1A0B428DB)), length - 1)[:length]]
+
+
 def prefix(shingles: np.ndarray, sketch, order: int, percent: int) -> np.ndarray:
     """The first shingles of a set under one global order: by the estimate of the order's sketch row, then by a hash."""
     m = len(shingles)
-    length = m - -(-percent * m // 100) + 1
+    length = missing(m, percent) + 1
     if length >= m:
         return shingles
     hashed = mix(shingles ^ U(0xA0761D6478BD642F * (order + 1) & 0xFFFF_FFFF_FFFF_FFFF))
@@ -66,232 +87,294 @@ def prefix(shingles: np.ndarray, sketch, order: int, percent: int) -> np.ndarray
 
 
 def jaccard_links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    both = len(a) + len(b) - len(np.union1d(a, b))
+    """Of two sorted sets."""
+    at = np.searchsorted(b, a)
+    both = int((b[np.minimum(at, len(b) - 1)] == a).sum()) if len(b) else 0
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def packed(shingles: np.ndarray) -> bytes:
-    """The leading 40 bits of each hash: two different shingles of two sets of 1,000 agree with probability 1e-6."""
-    v = shingles >> U(24)
+def _own(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+
+
+def _tags(nodes: np.ndarray) -> bytes:
+    """40 bits of each node's fingerprint."""
+    v = nodes.view(np.uint64)
     return (v & U(0xFFFFFFFF)).astype("<u4").tobytes() + (v >> U(32)).astype(np.uint8).tobytes()
 
 
-def unpacked(raw) -> np.ndarray:
+def _read_tags(raw: bytes) -> np.ndarray:
     n = len(raw) // 5
-    return np.frombuffer(raw, "<u4", n).astype(np.uint64) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.uint64) << U(32)
+    return np.frombuffer(raw, "<u4", n).astype(np.int64) | np.frombuffer(raw, np.uint8, n, 4 * n).astype(np.int64) << 32
 
 
-def _own(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+FIRST = "id long, n_shingles long, node long, batch long, place int, need int, part int, tokens binary, owners binary, tags binary"
 
 
-def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 4, percent: int = 85, lower: bool = True, sketch_bits: int = 20) -> DataFrame:
-    """Returns (id_col, n_shingles, component_id), one row per input row.
-
-    A null or blank text has an empty set and links with nothing.  A text of fewer
-    than ``n`` words is one shingle.  Rows that repeat an id each keep their row; such an
-    id has one component, the smallest that one of its texts reaches.  A null id gets
-    a null component.  Other columns of the input, whatever their names, are not read.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "ngram")
-    own = _own(docs, id_col, text_col)
-    sketch = corpus_sketch(own.select("text"), _maker(n, lower), sketch_bits, ORDERS)
-    shared = spark.sparkContext.broadcast(sketch)
-    # a shingle far above the mean load of the sketch is in many texts: its list is dealt over many tasks
-    hot = int(max(4096, 64 * (int(sketch.table[0].sum(dtype=np.uint64)) >> sketch_bits)))
+def _first_pass(n: int, percent: int, lower: bool, parts: int):
+    """Of texts: a row for each (id to need), and the filter's prefixes packed by hash range (batch and part to tags)."""
+    base = ["id", "n_shingles", "node", "batch", "place", "need"]
 
-    def base_rows(batches):
-        for batch in batches:
-            ids, size, node = batch.column(0), [], []
-            for h in word_hashes(texts_of(batch, 1), lower):
-                s = shingle_set(h, n)
-                size.append(len(s))
-                node.append(node_of(s) if len(s) else None)
-            yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int64()), pa.array(node, pa.int64())], ["id", "n_shingles", "node"])
+    def pack(batch: int, held: list[np.ndarray], nodes: list[int]):
+        tokens = np.concatenate(held)
+        owner = np.repeat(np.arange(len(held), dtype=np.uint16), [len(p) for p in held])
+        part = ((tokens >> U(32)) % U(parts)).astype(np.int32)
+        by = np.argsort(part, kind="stable")
+        tokens, owner, own = tokens[by].astype("<u4"), owner[by], np.array(nodes, np.int64)
+        cuts = np.searchsorted(part[by], np.arange(parts + 1))
+        used = np.flatnonzero(cuts[1:] > cuts[:-1])
+        spans = [slice(int(cuts[p]), int(cuts[p + 1])) for p in used]
+        cols = [pa.array(np.full(len(used), batch)), pa.array(used.astype(np.int32))]
+        cols += [pa.array([tokens[s].tobytes() for s in spans], pa.binary()), pa.array([owner[s].tobytes() for s in spans], pa.binary())]
+        cols.append(pa.array([_tags(own[np.unique(owner[s])]) for s in spans], pa.binary()))
+        return _full(cols, ["batch", "part", "tokens", "owners", "tags"])
 
-    def postings(batches):
+    def run(batches):
         seen: set[int] = set()
-        for batch in batches:
+        batch, held, nodes, size = uuid.uuid4().int >> 65, [], [], 0
+        for rows in batches:
             out = []
-            for h in word_hashes(texts_of(batch, 0), lower):
+            for i, h in zip(rows.column(0).to_pylist(), word_hashes(texts_of(rows, 1), lower), strict=True):
                 s = shingle_set(h, n)
-                if not len(s) or (node := node_of(s)) in seen:
+                if not len(s):
+                    out.append((i, 0, None, None, None, None))
+                    continue
+                node = node_of(s)
+                if node in seen:
+                    out.append((i, len(s), node, None, None, None))
                     continue
                 if len(seen) > 500_000:
                     seen.clear()
                 seen.add(node)
-                p = prefix(s, shared.value, 0, percent)
-                wide = shared.value.of(p) >= hot
-                out.append((p.view(np.int64), np.full(len(p), node, np.int64), np.full(len(p), len(s), np.int32), np.where(wide, node & 0xFFF, -1).astype(np.int32)))
+                out.append((i, len(s), node, batch, len(held), needed(len(s), percent)))
+                held.append(mix(filter_prefix(s, percent)))
+                nodes.append(node)
+                size += len(held[-1])
+                if size >= PACK or len(held) >= NODES:
+                    yield pack(batch, held, nodes)
+                    batch, held, nodes, size = uuid.uuid4().int >> 65, [], [], 0
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["token", "node", "m", "lane"])
-
-    def shared_only(batches):
-        """Of rows sorted by token: those whose neighbour has the same token and another node, and all of wide lists."""
-        last = None
-
-        def keep(tab, after):
-            t, d, w = (tab.column(k).to_numpy() for k in (0, 1, 3))
-            prev = np.empty(len(t), bool)
-            prev[1:] = (t[1:] == t[:-1]) & (d[1:] != d[:-1])
-            repeat = np.empty(len(t), bool)
-            repeat[1:] = (t[1:] == t[:-1]) & (d[1:] == d[:-1])
-            first = before and before[0] == t[0]
-            prev[0], repeat[0] = bool(first and before[1] != d[0]), bool(first and before[1] == d[0])
-            nxt = np.empty(len(t), bool)
-            nxt[:-1] = prev[1:] | repeat[1:]
-            nxt[-1] = after is not None and after[0] == t[-1]
-            return tab.filter(pa.array((prev | nxt | (w >= 0)) & ~repeat)).select(["token", "node", "m"])
-
-        before = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if last is not None:
-                yield keep(last, (batch.column(0)[0].as_py(), batch.column(1)[0].as_py()))
-                before = (last.column(0)[-1].as_py(), last.column(1)[-1].as_py())
-            last = batch
-        if last is not None:
-            yield keep(last, None)
-
-    base = scratch.put(own.mapInArrow(base_rows, "id long, n_shingles long, node long"), "base")
-    rows = own.select("text").mapInArrow(postings, "token long, node long, m int, lane int")
+                kinds = [pa.int64()] * 4 + [pa.int32()] * 2
+                yield _full([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], base)
+        if held:
+            yield pack(batch, held, nodes)
+
+    return run
+
+
+_KINDS = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+
+
+def _full(columns: list, names: list[str]) -> pa.RecordBatch:
+    """A batch of the first pass, with nulls in the columns of the other kind of row."""
+    have, n = dict(zip(names, columns, strict=True)), len(columns[0])
+    fields = [f.split() for f in FIRST.split(", ")]
+    return pa.RecordBatch.from_arrays([have.get(c, pa.nulls(n, _KINDS[k])) for c, k in fields], [c for c, _ in fields])
+
+
+def _shared_in_part(table: pa.Table) -> pa.Table:
+    """Of the packed prefixes of one hash range: for each batch, how many shingles of each node another node has too."""
+    batch = table.column("batch").to_pylist()
+    tokens = [np.frombuffer(x, "<u4") for x in table.column("tokens").to_pylist()]
+    owners = [np.frombuffer(x, np.uint16) for x in table.column("owners").to_pylist()]
+    tags = []
+    for own, raw in zip(owners, table.column("tags").to_pylist(), strict=True):
+        tags.append(_read_tags(raw)[np.cumsum(np.diff(own.astype(np.int64), prepend=int(own[0])) != 0)])
+    t, g = np.concatenate(tokens), np.concatenate(tags)
+    order = np.argsort(t, kind="stable")
+    t, g = t[order], g[order]
+    first = np.flatnonzero(np.append(True, t[1:] != t[:-1]))
+    several = np.minimum.reduceat(g, first) != np.maximum.reduceat(g, first)
+    shared = np.empty(len(t), bool)
+    shared[order] = np.repeat(several, np.diff(np.append(first, len(t))))
+    out, at = [], 0
+    for b, own in zip(batch, owners, strict=True):
+        places, counts = np.unique(own[shared[at : at + len(own)]], return_counts=True)
+        at += len(own)
+        if len(places):
+            out.append((b, places.astype("<u2").tobytes(), counts.astype("<u4").tobytes()))
+    cols = list(zip(*out, strict=True)) or [(), (), ()]
+    return pa.table({"batch": pa.array(cols[0], pa.int64()), "places": pa.array(cols[1], pa.binary()), "counts": pa.array(cols[2], pa.binary())})
+
+
+def _sum_of_batch(table: pa.Table) -> pa.Table:
+    places = np.frombuffer(b"".join(table.column("places").to_pylist()), "<u2").astype(np.int64)
+    counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), "<u4")
+    total = np.bincount(places, weights=counts).astype(np.int64)
+    some = np.flatnonzero(total)
+    return pa.table({"batch": pa.array(np.full(len(some), table.column("batch")[0].as_py())), "place": pa.array(some.astype(np.int32)), "shared": pa.array(total[some])})
+
+
+def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, n: int = 4, percent: int = 85, lower: bool = True, sketch_bits: int = 20) -> DataFrame:
+    """Returns (id_col, n_shingles, component_id), one row per input row.
+
+    A null or blank text has an empty set and links with nothing.  A text of fewer
+    than ``n`` words is one shingle.  Texts are read whole, whatever their length; an empty
+    table gives an empty result.  Rows that repeat an id each keep their row; such an
+    id has one component, the smallest that one of its texts reaches.  A null id gets
+    a null component.  Other columns of the input, whatever their names, are not read.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "ngram")
+    own = _own(docs, id_col, text_col)
     parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(parts, "token", "lane").sortWithinPartitions("token", "node")
-    listed = scratch.put(rows.mapInArrow(shared_only, "token long, node long, m int"), "listed")
-    # copies of one text that came from different tasks may have left a token with a single node
-    several = listed.groupBy("token").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("token")
-    listed = listed.distinct().join(several, "token", "left_semi")
+
+    # the filter of nodes
+    first = scratch.put(own.mapInArrow(_first_pass(n, percent, lower, parts), FIRST), "first")
+    base = first.where("part is null").select("id", "n_shingles", "node", "batch", "place", "need")
+    packs = first.where("part is not null").select("batch", "part", "tokens", "owners", "tags")
+    shared = packs.groupBy("part").applyInArrow(_shared_in_part, "batch long, places binary, counts binary")
+    shared = shared.groupBy("batch").applyInArrow(_sum_of_batch, "batch long, place int, shared long")
+    alive = base.where("batch is not null").join(shared, ["batch", "place"]).where("shared >= need").select("node").distinct()
     # from here on a node goes by the smallest id that has its text
-    rep = scratch.put(base.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id")), "rep")
-    lists = scratch.put(listed.join(rep, "node").select("token", F.col("id").alias("node"), "m"), "lists")
-    scratch.drop("listed")
-    del rows, listed, several
-    scratch.release()
+    rep = base.where("node is not null and id is not null").groupBy("node").agg(F.min("id").alias("id"))
+    wanted = scratch.put(rep.join(alive, "node"), "wanted")
+    del packs, shared, alive
 
-    # the sets and the further prefixes of the nodes on the lists, bucketed so that later joins do not move them
-    wanted = scratch.put(lists.select("node").distinct(), "wanted")
-    first = rep.join(wanted.select(F.col("node").alias("id")), "id", "left_semi")
+    # the sets of the nodes left; the filter on ids only spares reading most texts into sets, the join decides
+    ids = membership(wanted.select("id"), wanted.count())
+    held = spark.sparkContext.broadcast(ids)
 
     def sets(batches):
-        last = None
         for batch in batches:
-            ids, raw, more = [], [], []
-            for i, node, h in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), word_hashes(texts_of(batch, 1), lower), strict=True):
-                s = shingle_set(h, n)
-                if (i, node) == last or node_of(s) != node:  # a copy, or another text, under a repeated id
-                    continue
-                last = (i, node)
-                raw.append(packed(s))
-                more.append([(np.sort(prefix(s, shared.value, o, percent)) >> U(32)).astype(np.uint32).view(np.int32) for o in range(1, ORDERS)])
-                ids.append(i)
-            cols = [pa.array(ids, pa.int64()), pa.array(raw, pa.binary())]
-            cols += [pa.array([x[o] for x in more], pa.list_(pa.int32())) for o in range(ORDERS - 1)]
-            yield pa.RecordBatch.from_arrays(cols, ["node", "items", *(f"prefix{o}" for o in range(1, ORDERS))])
-
-    schema = "node long, items binary, " + ", ".join(f"prefix{o} array<int>" for o in range(1, ORDERS))
-    texts = own.join(first, "id").select("id", "text", "node")
+            batch = batch.filter(pa.array(held.value.has(batch.column(0))))
+            if not batch.num_rows:
+                continue
+            out = [shingle_set(h, n) for h in word_hashes(texts_of(batch, 1), lower)]
+            nodes = [node_of(s) if len(s) else None for s in out]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array([s.astype("<u8").tobytes() for s in out], pa.binary())], ["id", "node", "items"])
+
+    found_sets = own.where("id is not null").mapInArrow(sets, "id long, node long, items binary").join(wanted, ["id", "node"])
+    plain = scratch.put(found_sets.dropDuplicates(["node"]).select(F.col("id").alias("node"), "items"), "plain")
+    held.unpersist()
+    sketch = item_sketch(plain.select("items"), sketch_bits, ORDERS)
+    ranks = spark.sparkContext.broadcast(sketch)
+    names = [f"prefix{o}" for o in range(ORDERS)]
+
+    def ordered_prefixes(batches):
+        for batch in batches:
+            s = [np.frombuffer(raw, "<u8") for raw in batch.column(1).to_pylist()]
+            cols = [pa.array([np.sort(prefix(x, ranks.value, o, percent)).view(np.int64) for x in s], pa.list_(pa.int64())) for o in range(ORDERS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in s], pa.int32()), batch.column(1), *cols], ["node", "m", "items", *names])
+
+    # bucketed by node, so that later joins do not move the sets
     name = f"tessera_sets_{scratch.root.rpartition('-')[2]}"
-    texts.mapInArrow(sets, schema).write.option("path", f"{scratch.root}/sets").bucketBy(parts, "node").sortBy("node").saveAsTable(name)
+    schema = "node long, m int, items binary, " + ", ".join(f"{c} array<long>" for c in names)
+    plain.mapInArrow(ordered_prefixes, schema).write.option("path", f"{scratch.root}/sets").bucketBy(parts, "node").sortBy("node").saveAsTable(name)
     nodes = spark.table(name)
-    del texts
-    scratch.release()
-    items = nodes.select("node", "items")
-    filters = nodes.drop("items")
+    items, filters = nodes.select("node", "items"), nodes.select("node", *names[1:])
+    scratch.drop("plain")
+    listed = nodes.select(F.explode("prefix0").alias("token"), "node", "m")
+    lanes = listed.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / LANE).cast("int").alias("lanes"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
+    # a list longer than LANE is dealt over several tasks
+    lists = scratch.put(listed.join(lanes, "token").withColumn("lane", F.pmod(F.xxhash64("node"), F.col("lanes")).cast("int")), "lists")
+    ranks.unpersist()
+
+    def everywhere(df: DataFrame) -> DataFrame:
+        return df.withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).drop("lanes")
 
     def verify(batches):
         for batch in batches:
-            a, b = batch.column(0), batch.column(1)
-            x, y = batch.column(2), batch.column(3)
-            ok = [jaccard_links(unpacked(p.as_buffer()), unpacked(q.as_buffer()), percent) for p, q in zip(x, y, strict=True)]
-            yield pa.RecordBatch.from_arrays([a, b], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
+            pairs = zip(batch.column(2), batch.column(3), strict=True)
+            ok = [jaccard_links(np.frombuffer(p.as_buffer(), "<u8"), np.frombuffer(q.as_buffer(), "<u8"), percent) for p, q in pairs]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     def links(pairs: DataFrame) -> DataFrame:
         """Pairs (u, v) that pass the filters of the other orders and then the exact comparison."""
-        p = pairs.distinct()
-        a = filters.select(F.col("node").alias("u"), *(F.col(f"prefix{o}").alias(f"a{o}") for o in range(1, ORDERS)))
-        b = filters.select(F.col("node").alias("v"), *(F.col(f"prefix{o}").alias(f"b{o}") for o in range(1, ORDERS)))
-        p = p.join(a, "u").join(b, "v")
-        for o in range(1, ORDERS):
-            p = p.where(F.arrays_overlap(f"a{o}", f"b{o}"))
+        a = filters.select(F.col("node").alias("u"), *(F.col(c).alias(f"a_{c}") for c in names[1:]))
+        b = filters.select(F.col("node").alias("v"), *(F.col(c).alias(f"b_{c}") for c in names[1:]))
+        p = pairs.distinct().join(a, "u").join(b, "v")
+        for c in names[1:]:
+            p = p.where(F.arrays_overlap(f"a_{c}", f"b_{c}"))
         p = scratch.put(p.select("u", "v"), f"pairs{r}")
         p = p.join(items.withColumnRenamed("node", "u").withColumnRenamed("items", "x"), "u")
         p = p.join(items.withColumnRenamed("node", "v").withColumnRenamed("items", "y"), "v")
         return p.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long")
 
     fits = F.expr(f"100 * least(m, n) >= {percent} * greatest(m, n)")
-    ordered = [F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")]
-    component = wanted.select("node", F.col("node").alias("component"))
-    edges = None
-    open_ = lists
+    ends = [F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")]
+    every = scratch.put(lists.select("node").distinct(), "every")
+    component = every.select("node", F.col("node").alias("component"))
+    edges, open_ = None, lists
     for r in range(len(PIVOTS) + 1):
         held = open_.join(component, "node")
         if r < len(PIVOTS):
             prio = F.xxhash64(F.lit(r), "node")
-            pick = held.groupBy("token", F.pmod(prio, F.lit(PIVOTS[r])).alias("k")).agg(F.min(F.struct(prio.alias("p"), "node", "m", "component")).alias("q"))
-            pick = pick.select("token", F.col("q.node").alias("other"), F.col("q.m").alias("n"), F.col("q.component").alias("c"))
-            pairs = held.join(pick, "token").where("component != c").where(fits).select(*ordered)
-            found = links(pairs)
+            pick = held.groupBy("token", F.pmod(prio, F.lit(PIVOTS[r])).alias("k")).agg(F.min(F.struct(prio.alias("p"), "node", "m", "component")).alias("q"), F.max("lanes").alias("lanes"))
+            pick = everywhere(pick.select("token", "lanes", F.col("q.node").alias("other"), F.col("q.m").alias("n"), F.col("q.component").alias("c")))
+            found = links(held.join(pick, ["token", "lane"]).where("component != c").where(fits).select(*ends))
         else:
-            size = held.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"))
-            main = size.groupBy("token").agg(F.sum("c").alias("many"), F.max_by("component", F.struct("c", "component")).alias("main"))
-            held = held.join(main, "token")
-            # long lists are left to the blocks
+            size = held.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"), F.max("lanes").alias("lanes"))
+            main = size.groupBy("token").agg(F.sum("c").alias("many"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max("lanes").alias("lanes"))
+            held = held.drop("lanes").join(everywhere(main), ["token", "lane"])
             loose = held.where(F.expr(f"many <= {SHORT}")).select("token", "node", "m", "component")
             other = loose.select("token", F.col("node").alias("other"), F.col("m").alias("n"), F.col("component").alias("c"))
-            pairs = loose.join(other, "token").where("node < other and component != c").where(fits).select(*ordered)
+            pairs = loose.join(other, "token").where("node < other and component != c").where(fits).select(*ends)
+            # long lists are left to the blocks
             strays = held.where(F.expr(f"many > {SHORT} and component != main")).select("node", "component", "main").distinct()
-            found = links(pairs).union(_in_blocks(strays, component, items, percent))
+            strays = scratch.put(strays, "strays")
+            found = links(pairs).union(_in_blocks(strays, component, nodes, names, percent))
         found = scratch.put(found, f"found{r}")
         edges = found if edges is None else edges.union(found)
         comps = connected_components(edges, scratch, f"cc{r}")
-        component = scratch.put(wanted.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("component")), f"component{r}")
+        component = scratch.put(every.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("component")), f"component{r}")
         edges = component.select(F.col("node").alias("u"), F.col("component").alias("v"))
         if r < len(PIVOTS):
-            live = lists.join(component, "node").groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-            open_ = scratch.put(lists.join(live, "token", "left_semi"), f"open{r}")
-        scratch.release()
+            live = lists.join(component, "node").groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("lanes").alias("lanes")).where("lo != hi")
+            open_ = scratch.put(lists.join(everywhere(live), ["token", "lane"], "left_semi"), f"open{r}")
 
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     scratch.drop("sets")
 
     # back to rows; an id that repeats joins its texts
     own_rep = rep.select("node", F.col("id").alias("rep"))
-    held = base.join(own_rep, "node", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
+    held = base.select("id", "n_shingles", "node").join(own_rep, "node", "left").join(component.withColumnRenamed("node", "rep"), "rep", "left")
     out = held.select("id", "n_shingles", F.coalesce("component", "rep", "id").alias("c"))
     repeated = out.groupBy("id").agg(F.min("c").alias("component_id"))
     return out.join(repeated, "id", "left").select(F.col("id").alias(id_col), "n_shingles", F.col("component_id"))
 
 
-def _in_blocks(strays: DataFrame, component: DataFrame, items: DataFrame, percent: int) -> DataFrame:
+def _in_blocks(strays: DataFrame, component: DataFrame, nodes: DataFrame, names: list[str], percent: int) -> DataFrame:
     """Links of the strays (node, component, main) with the component ``main`` and with its other strays, compared in
-    blocks; for a node and a block, one for each component that it reaches."""
-    few = strays.groupBy("main").agg(F.count(F.lit(1)).alias("many"))
-    blocks = F.pmod(F.xxhash64("node"), F.ceil(F.col("many") / BLOCK))
-    rows = F.collect_list(F.struct("node", "component", "items")).alias("rows")
+    blocks under the same filters; for a node and a block, one for each component that it reaches."""
+    few = strays.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    fields = F.collect_list(F.struct("node", "component", "items", *names)).alias("rows")
     member = component.join(few.select(F.col("main").alias("component")), "component", "left_semi").select("node", "component", F.col("component").alias("main")).union(strays)
-    size = member.groupBy("main").agg(F.count(F.lit(1)).alias("many"))
-    whole = member.join(size, "main").withColumn("block", blocks).join(items, "node").groupBy("main", "block").agg(rows)
-    lone = strays.join(few, "main").withColumn("block", blocks).join(items, "node").groupBy("main", "block").agg(rows)
-    units = lone.select("main", F.col("rows").alias("strays")).join(whole, "main").select("strays", "rows")
+    size = member.groupBy("main").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    whole = member.join(size, "main").withColumn("block", block).join(nodes, "node").groupBy("main", "block").agg(fields)
+    lone = strays.join(few, "main").withColumn("chunk", block).join(nodes, "node").groupBy("main", "chunk").agg(fields)
+    # dealt by component and block, not by component
+    lone = lone.join(size, "main").select("main", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.col("rows").alias("strays"))
+    units = lone.join(whole, ["main", "block"]).select("strays", "rows")
+
+    def index(sets: list[np.ndarray]):
+        tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        order = np.argsort(tokens, kind="stable")
+        return tokens[order], owner[order]
+
+    def hits(of, s: np.ndarray, count: int) -> np.ndarray:
+        """How many of ``s`` each indexed set has."""
+        lo, hi = np.searchsorted(of[0], s), np.searchsorted(of[0], s, "right")
+        got = [of[1][a:b] for a, b in zip(lo, hi, strict=True) if b > a]
+        return np.bincount(np.concatenate(got), minlength=count) if got else np.zeros(count, np.int64)
 
     def compare(frames):
         for pdf in frames:
             out = []
             for strays_, rows in zip(pdf["strays"], pdf["rows"], strict=True):
-                sets = [unpacked(r["items"]) for r in rows]
+                sets = [np.frombuffer(r["items"], "<u8") for r in rows]
                 size, comp = np.array([len(s) for s in sets]), np.array([r["component"] for r in rows])
-                tokens, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
-                order = np.argsort(tokens, kind="stable")
-                tokens, owner = tokens[order], owner[order]
+                whole, orders = index(sets), [index([np.asarray(r[c]) for r in rows]) for c in names]
                 for x in strays_:
-                    s = unpacked(x["items"])
-                    lo, hi = np.searchsorted(tokens, s), np.searchsorted(tokens, s, "right")
-                    got = [owner[a:b] for a, b in zip(lo, hi, strict=True) if b > a]
-                    if got:
-                        both = np.bincount(np.concatenate(got), minlength=len(sets))
-                        ok = np.flatnonzero((100 * both >= percent * (size + len(s) - both)) & (comp != x["component"]))
+                    s = np.frombuffer(x["items"], "<u8")
+                    open_ = (comp != x["component"]) & (100 * np.minimum(size, len(s)) >= percent * np.maximum(size, len(s)))
+                    for c, of in zip(names, orders, strict=True):
+                        if open_.any():
+                            open_ &= hits(of, np.asarray(x[c]), len(rows)) > 0
+                    if open_.any():
+                        both = hits(whole, s, len(rows))
+                        ok = np.flatnonzero(open_ & (100 * both >= percent * (size + len(s) - both)))
                         out += [(x["node"], rows[int(ok[i])]["node"]) for i in np.unique(comp[ok], return_index=True)[1]]
             yield pd.DataFrame(out, columns=["u", "v"]).astype("int64")
 

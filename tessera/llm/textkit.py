@@ -154,15 +154,30 @@ class CountSketch:
         return np.min([self.table[r][self._slots(items, r)] for r in range(self.rows)], axis=0)
 
 
-def corpus_sketch(df, make_items, bits: int = 19, rows: int = 2) -> CountSketch:
-    """Counts the items of all texts of a one-column DataFrame.
-
-    ``make_items(word_hashes) -> uint64 array``.  Each task adds up one table;
-    tables are added in two rounds of at most the square root of the number of
-    tasks each, so no task and not the driver takes more than that many.
-    """
+def _tables_added(tasks, rows: int, bits: int, spread: int, lanes: int) -> CountSketch:
+    """Adds up the tables of all tasks in two rounds of at most the square root of their number."""
     from pyspark.sql import functions as F
 
+    width = (rows << bits) // spread
+
+    def add(key, pdf):
+        import pandas as pd
+
+        total = np.zeros(width, np.uint64)
+        for raw in pdf["counts"]:
+            total += np.frombuffer(raw, np.uint32)
+        return pd.DataFrame({"part": [key[0]], "counts": [np.minimum(total, 0xFFFF_FFFF).astype(np.uint32).tobytes()]})
+
+    some = tasks.groupBy("part", (F.col("task") % lanes).alias("lane")).applyInPandas(add, "part int, counts binary")
+    rows_ = some.groupBy("part").applyInPandas(add, "part int, counts binary").collect()
+    table = np.zeros(rows << bits, np.uint32)
+    for part, raw in rows_:
+        table[part * width : (part + 1) * width] = np.frombuffer(raw, np.uint32)
+    return CountSketch(bits, rows, table.reshape(rows, 1 << bits))
+
+
+def _sketch(df, items_of, bits: int, rows: int) -> CountSketch:
+    """Counts the items of all rows; ``items_of(batch)`` gives arrays.  Each task adds up one table."""
     spread = 16
     width = (rows << bits) // spread
 
@@ -171,9 +186,9 @@ def corpus_sketch(df, make_items, bits: int = 19, rows: int = 2) -> CountSketch:
 
         sketch, hold, size = CountSketch(bits, rows), [], 0
         for batch in batches:
-            for h in word_hashes(texts_of(batch, 0), make_items.lower):
-                hold.append(make_items(h))
-                size += len(hold[-1])
+            for more in items_of(batch):
+                hold.append(more)
+                size += len(more)
                 if size > 1 << 20:
                     sketch.add(np.concatenate(hold))
                     hold, size = [], 0
@@ -183,19 +198,62 @@ def corpus_sketch(df, make_items, bits: int = 19, rows: int = 2) -> CountSketch:
         task = TaskContext.get().partitionId()
         yield pa.RecordBatch.from_pydict({"task": pa.array([task] * spread, pa.int32()), "part": pa.array(range(spread), pa.int32()), "counts": pa.array([flat[i * width : (i + 1) * width].tobytes() for i in range(spread)], pa.binary())})
 
-    def add(key, pdf):
-        import pandas as pd
+    tasks = df.mapInArrow(count, "task int, part int, counts binary")
+    return _tables_added(tasks, rows, bits, spread, max(1, int(df.rdd.getNumPartitions() ** 0.5)))
 
-        total = np.zeros(width, np.uint64)
-        for raw in pdf["counts"]:
-            total += np.frombuffer(raw, np.uint32)
-        return pd.DataFrame({"part": [key[0]], "counts": [np.minimum(total, 0xFFFF_FFFF).astype(np.uint32).tobytes()]})
 
-    tasks = df.mapInArrow(count, "task int, part int, counts binary")
-    lanes = max(1, int(df.rdd.getNumPartitions() ** 0.5))
-    some = tasks.groupBy("part", (F.col("task") % lanes).alias("lane")).applyInPandas(add, "part int, counts binary")
-    rows_ = some.groupBy("part").applyInPandas(add, "part int, counts binary").collect()
-    table = np.zeros(rows << bits, np.uint32)
-    for part, raw in rows_:
-        table[part * width : (part + 1) * width] = np.frombuffer(raw, np.uint32)
-    return CountSketch(bits, rows, table.reshape(rows, 1 << bits))
+def item_sketch(df, bits: int, rows: int) -> CountSketch:
+    """Counts the items of a column of packed uint64 arrays."""
+    return _sketch(df, lambda batch: (np.frombuffer(x, "<u8") for x in batch.column(0).to_pylist()), bits, rows)
+
+
+def corpus_sketch(df, make_items, bits: int = 19, rows: int = 2) -> CountSketch:
+    """Counts the items of all texts of a one-column DataFrame.
+
+    ``make_items(word_hashes) -> uint64 array``.
+    """
+    return _sketch(df, lambda batch: map(make_items, word_hashes(texts_of(batch, 0), make_items.lower)), bits, rows)
+
+
+class Membership:
+    """A filter over 64-bit ids that may say yes wrongly, never no; at most 32 MB."""
+
+    def __init__(self, bits: int, table: np.ndarray) -> None:
+        self.bits, self.table = bits, table
+
+    @staticmethod
+    def slots(ids: np.ndarray, bits: int) -> np.ndarray:
+        h = ids.astype(np.int64).view(np.uint64)
+        return np.stack([mix(h + U(k * 0x632BE59BD9B4E019 & 0xFFFF_FFFF_FFFF_FFFF)) >> U(64 - bits) for k in range(1, 4)]).astype(np.int64)
+
+    def has(self, ids: pa.Array) -> np.ndarray:
+        at = self.slots(ids.to_numpy(zero_copy_only=False), self.bits)
+        return (self.table[at >> 3] >> (at & 7).astype(np.uint8) & 1).all(axis=0)
+
+
+def membership(df, n: int) -> Membership:
+    """Of a one-column DataFrame of ``n`` long ids: 16 bits or more for each up to 2 ** 28 bits, fewer beyond.
+
+    Tasks send the set bits, slices of the table are built apart, and only the table reaches the driver.
+    """
+    bits = min(28, max(16, int(16 * n).bit_length()))
+    spread = 16
+    width = bits - 4
+
+    def set_bits(batches):
+        for batch in batches:
+            at = np.unique(Membership.slots(batch.column(0).to_numpy(zero_copy_only=False), bits))
+            cuts = np.searchsorted(at >> width, np.arange(spread + 1))
+            own = [(at[cuts[i] : cuts[i + 1]] & ((1 << width) - 1)).astype(np.uint32).tobytes() for i in range(spread)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(spread), pa.int32()), pa.array(own, pa.binary())], ["part", "at"])
+
+    def build(table: pa.Table) -> pa.Table:
+        flags = np.zeros(1 << width, np.uint8)
+        for raw in table.column("at").to_pylist():
+            flags[np.frombuffer(raw, np.uint32)] = 1
+        return pa.table({"part": table.column("part")[:1], "bits": pa.array([np.packbits(flags, bitorder="little").tobytes()], pa.binary())})
+
+    out = np.zeros(1 << (bits - 3), np.uint8)
+    for part, raw in df.mapInArrow(set_bits, "part int, at binary").groupBy("part").applyInArrow(build, "part int, bits binary").collect():
+        out[part << (width - 3) : (part + 1) << (width - 3)] = np.frombuffer(raw, np.uint8)
+    return Membership(bits, out)
