@@ -7,6 +7,7 @@ read.  No source text is ever executed.
 from __future__ import annotations
 
 import ast
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -119,9 +120,28 @@ def compile_transformer(source: str, value: Column) -> Column:
     return _Compiler({f.args.args[0].arg: value}).block(f.body)
 
 
+#: Functions an expression of the SQL tier may call.
+SQL_FUNCTIONS = frozenset("abs ceil coalesce concat date_format floor greatest if ifnull least length lower ltrim nullif nvl replace round rtrim substr substring to_date to_timestamp trim try_cast upper cast when and or in not is like between then else case end as int bigint string double decimal date timestamp boolean".split())
+_SQL_TOKEN = re.compile(r"\s+|'(?:[^'\\]|'')*'|[0-9]+(?:\.[0-9]+)?|[A-Za-z_][A-Za-z0-9_]*|[-+*/%=<>!(),|]")
+
+
 def sql_case(expression: str, column: str) -> Column:
-    """The SQL tier: an expression over ``legacy_col``."""
-    return F.expr(expression.replace("legacy_col", f"`{column}`"))
+    """The SQL tier: an expression over ``legacy_col``, of literals, operators, CASE and the listed functions.
+
+    Anything else, such as other columns, subqueries or comments, raises SecurityViolation; literals stay as they are.
+    """
+    out, at = [], 0
+    while at < len(expression):
+        m = _SQL_TOKEN.match(expression, at)
+        if m is None or expression.startswith(("--", "/*"), at):
+            raise SecurityViolation(f"{expression[at : at + 10]!r} is not allowed")
+        word, at = m[0], m.end()
+        if word == "legacy_col":
+            word = "`" + column.replace("`", "``") + "`"
+        elif re.match("[A-Za-z_]", word) and word.lower() not in SQL_FUNCTIONS and word.lower() not in ("null", "true", "false", "escape", "distinct", "from"):
+            raise SecurityViolation(f"{word} is not allowed")
+        out.append(word)
+    return F.expr("".join(out))
 
 
 #: The canonical transformers, by name.
@@ -174,12 +194,7 @@ def batch_id(migration: str, table: str, batch_no: Column) -> Column:
 
 
 def batch_numbers(df: DataFrame, key: str, size: int) -> DataFrame:
-    """batch_no by key order, without one task for all rows: range partitions are counted first."""
-    ranged = df.repartitionByRange(key).withColumn("_p", F.spark_partition_id())
-    from pyspark.sql.window import Window
-
-    counts = ranged.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
-    before = counts.withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_p", "_b")
-    at = F.row_number().over(Window.partitionBy("_p").orderBy(key)) - 1
-    out = ranged.withColumn("_i", at).join(before, "_p")
-    return out.withColumn("batch_no", F.floor((F.col("_b") + F.col("_i")) / size)).drop("_p", "_i", "_b")
+    """batch_no by key order, without one task for all rows."""
+    from ..operators.ordered import positions
+
+    return positions(df, [], [key], "_i").withColumn("batch_no", F.floor(F.col("_i") / size)).drop("_i")

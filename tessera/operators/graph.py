@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def upsert_latest(rows: DataFrame, key: list[str], order: str) -> DataFrame:
@@ -34,6 +34,11 @@ def neighbours(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
     return nodes.join(ids.distinct(), "id", "left_semi")
 
 
+def callees(nodes: DataFrame, edges: DataFrame, node_id: str, relationship: str = "CALLS", limit: int | None = 50) -> DataFrame:
+    ids = edges.where((F.col("source_id") == node_id) & (F.col("relationship") == relationship)).select(F.col("target_id").alias("id")).distinct().orderBy("id")
+    return nodes.join(ids.limit(limit) if limit else ids, "id", "left_semi")
+
+
 def callers(nodes: DataFrame, edges: DataFrame, node_id: str, relationship: str = "CALLS", limit: int | None = 50) -> DataFrame:
     ids = edges.where((F.col("target_id") == node_id) & (F.col("relationship") == relationship)).select(F.col("source_id").alias("id")).distinct().orderBy("id")
     return nodes.join(ids.limit(limit) if limit else ids, "id", "left_semi")
@@ -84,12 +89,23 @@ def degree_topk(edges: DataFrame, k: int) -> DataFrame:
     return in_degree(edges).orderBy(F.desc("in_degree"), "target_id").limit(k)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder named by ``spark.checkpoint.dir``; a temporary one only for a local master (tests)."""
+    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not where:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        where = "file://" + tempfile.mkdtemp(prefix="tessera-")
+        spark.sparkContext.setCheckpointDir(where)
+    return where
+
+
 class Steps:
     """Round tables of an iteration, in the folder named by spark.checkpoint.dir."""
 
     def __init__(self, df: DataFrame) -> None:
         spark = df.sparkSession
-        where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or "file://" + tempfile.mkdtemp(prefix="tessera-")
+        where = shared_dir(spark)
         self.spark, self.root, self.n = spark, f"{where.rstrip('/')}/steps-{uuid.uuid4().hex}", 0
 
     def put(self, df: DataFrame) -> DataFrame:
@@ -136,9 +152,10 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         if new.join(label, ["id", "low"], "left_anti").isEmpty():
             break
         label = new
-    roots = label.select("low").distinct()
-    number = roots.withColumn("component", F.row_number().over(Window.orderBy("low")) - 1)
-    return label.join(number, "low").select("id", "component")
+    from .ordered import positions
+
+    number = positions(label.select("low").distinct(), [], ["low"], "component")
+    return label.join(number, "low").select("id", F.col("component").cast("int").alias("component"))
 
 
 def layers(edges: DataFrame, nodes: DataFrame, depends: bool = True) -> DataFrame:
@@ -150,14 +167,14 @@ def layers(edges: DataFrame, nodes: DataFrame, depends: bool = True) -> DataFram
     a, b = ("source_id", "target_id") if depends else ("target_id", "source_id")
     open_ = steps.put(edges.select(F.col(a).alias("id"), F.col(b).alias("need")).where("id <> need").distinct())
     rest = nodes.select("id").distinct()
-    done = None
+    done = rest.limit(0).withColumn("layer", F.lit(0))
     layer = 0
     while True:
-        ready = rest.join(open_.select("id"), "id", "left_anti") if done is None else rest.join(done.select("id"), "id", "left_anti").join(open_.select("id"), "id", "left_anti")
+        ready = rest.join(done.select("id"), "id", "left_anti").join(open_.select("id"), "id", "left_anti")
         ready = steps.put(ready.withColumn("layer", F.lit(layer)))
         if ready.isEmpty():
             break
-        done = ready if done is None else done.union(ready)
+        done = done.union(ready)
         open_ = steps.put(open_.join(ready.select(F.col("id").alias("need")), "need", "left_anti").select("id", "need"))
         layer += 1
     return nodes.select("id").distinct().join(done, "id", "left")
@@ -247,8 +264,124 @@ def longest_path(edges: list[tuple[str, str]], entries: list[str], cap: int = 40
 
 
 def resolve_calls(calls: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(call_id, node_id): a callee's short name to a node, one of the same file first, then the first in order."""
-    hit = calls.join(nodes.select(F.col("name").alias("callee"), F.col("id").alias("node_id"), F.col("file_path").alias("node_file"), "seq"), "callee")
-    hit = hit.where(F.col("caller_id") != F.col("node_id"))
-    best = F.min_by(F.col("node_id"), F.struct((~F.col("node_file").eqNullSafe(F.col("file_path"))).alias("other"), "seq"))
-    return hit.groupBy("call_id").agg(best.alias("node_id"))
+    """(call_id, node_id): a callee's short name to a node, one of the same file first, then the first in order; no node calls itself.
+
+    Only the first two nodes of each name, and of each name in a file, can be chosen, so
+    the join never meets all nodes of a frequent name.
+    """
+
+    def first_two(keys: list[str], name: str) -> DataFrame:
+        own = nodes.select(F.col("name").alias("callee"), F.col("file_path"), F.struct("seq", F.col("id").alias("node_id")).alias("n"))
+        one = own.groupBy(*keys).agg(F.min("n").alias("a"))
+        # the second one: the least beside the first
+        two = own.join(one, keys).where(F.col("n") > F.col("a")).groupBy(*keys).agg(F.min("n").alias("b"))
+        return one.join(two, keys, "left").select(*keys, F.array("a", "b").alias(name))
+
+    near = first_two(["callee", "file_path"], "near")
+    far = first_two(["callee"], "far")
+    hit = calls.join(far, "callee").join(near, ["callee", "file_path"], "left")
+    choice = F.filter(F.concat(F.coalesce("near", F.array()), "far"), lambda x: x.isNotNull() & (x["node_id"] != F.col("caller_id")))
+    return hit.select("call_id", F.get(choice, F.lit(0))["node_id"].alias("node_id")).where("node_id is not null")
+
+
+def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(id, scc): each node with the smallest id of its strongly connected component.
+
+    Rounds of colouring: every open node takes the smallest id that reaches it; the nodes of a colour that reach
+    its first node back are that node's component.  What is not on a cycle is peeled off first.
+    """
+    steps = Steps(edges)
+    e = edges.select(F.col("source_id").alias("s"), F.col("target_id").alias("t"))
+    ids = nodes.select("id").distinct()
+    e = e.where("s <> t").distinct().join(ids.withColumnRenamed("id", "s"), "s", "left_semi").join(ids.withColumnRenamed("id", "t"), "t", "left_semi")
+    open_, e = steps.put(ids), steps.put(e.select("s", "t"))
+    done = open_.limit(0).select("id", F.col("id").alias("scc"))
+    while not open_.isEmpty():
+        # without an edge in or out, a node is its own component
+        kept = open_.join(e.select(F.col("s").alias("id")), "id", "left_semi").join(e.select(F.col("t").alias("id")), "id", "left_semi")
+        kept = steps.put(kept)
+        alone = open_.join(kept, "id", "left_anti")
+        if not alone.isEmpty():
+            done = steps.put(done.union(alone.select("id", "id")))
+            e = steps.put(e.join(kept.withColumnRenamed("id", "s"), "s", "left_semi").join(kept.withColumnRenamed("id", "t"), "t", "left_semi"))
+            open_ = kept
+            continue
+        colour = steps.put(open_.select("id", F.col("id").alias("c")))
+        while True:
+            near = e.join(colour.withColumnRenamed("id", "s"), "s").groupBy(F.col("t").alias("id")).agg(F.min("c").alias("m"))
+            new = steps.put(colour.join(near, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c")))
+            if new.join(colour, ["id", "c"], "left_anti").isEmpty():
+                break
+            colour = new
+        back = e.join(colour.select(F.col("id").alias("s"), "c"), "s").join(colour.select(F.col("id").alias("t"), F.col("c").alias("d")), "t").where("c = d")
+        back = steps.put(back.select(F.col("t").alias("source_id"), F.col("s").alias("target_id")))
+        found = reachable(back, colour.where("id = c").select("id"))
+        found = steps.put(colour.join(found.select("id"), "id", "left_semi"))
+        done = steps.put(done.union(found.select("id", "c")))
+        open_ = steps.put(open_.join(found.select("id"), "id", "left_anti"))
+        e = steps.put(e.join(open_.withColumnRenamed("id", "s"), "s", "left_semi").join(open_.withColumnRenamed("id", "t"), "t", "left_semi"))
+    return done
+
+
+def longest_walk(edges: DataFrame, entries: DataFrame, cap: int = 40) -> DataFrame:
+    """One row (longest): nodes on the longest path from an entry, at most ``cap``; of a graph without cycles that is the longest simple path."""
+    steps = Steps(edges)
+    e = steps.put(edges.select(F.col("source_id").alias("id"), F.col("target_id").alias("to")).distinct())
+    front, n = steps.put(entries.select("id").distinct()), 0
+    while not front.isEmpty() and n < cap:
+        n += 1
+        front = steps.put(front.join(e, "id").select(F.col("to").alias("id")).distinct())
+    return edges.sparkSession.range(1).select(F.lit(n).alias("longest"))
+
+
+def trace_edges(edges: DataFrame, entries: DataFrame, hops: int) -> DataFrame:
+    """(id, depth, source_id, target_id): every edge at each visited node that it touches."""
+    seen = trace(edges, entries, hops)
+    e = edges.select("source_id", "target_id")
+    a = seen.join(e, F.col("id") == F.col("source_id"))
+    return a.union(seen.join(e, F.col("id") == F.col("target_id")))
+
+
+def gexf_node(id_col: str, label: str, kind: str):
+    """A node element of a GEXF document, its values escaped."""
+
+    def escaped(c: str):
+        out = F.coalesce(F.col(c), F.lit(""))
+        for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+            out = F.replace(out, F.lit(a), F.lit(b))
+        return out
+
+    return F.concat(F.lit('      <node id="'), escaped(id_col), F.lit('" label="'), escaped(label), F.lit('"><attvalues><attvalue for="0" value="'), escaped(kind), F.lit('"/></attvalues></node>'))
+
+
+def contained_routes(routes: DataFrame) -> DataFrame:
+    """(route, api): pairs of distinct routes (paths that start with ``/``, or none) one of which contains the other.
+
+    A route within another starts at a slash, so its first segment is one of the other's, or, if it
+    has one only, what one of them begins with.  Pairs meet by that segment and are then compared.
+    """
+    parts = lambda c: F.slice(F.split(c, "/"), 2, 1 << 20)
+    r = routes.where("route is not null").select("route", parts(F.col("route")).alias("seg"))
+    short = r.where("size(seg) <= 1").select(F.col("route").alias("inner"), F.concat(F.lit("p/"), F.coalesce(F.get("seg", F.lit(0)), F.lit(""))).alias("key"))
+    long = r.where("size(seg) > 1").select(F.col("route").alias("inner"), F.concat(F.lit("f/"), F.get("seg", F.lit(0))).alias("key"))
+    begins = F.flatten(F.transform("seg", lambda x: F.transform(F.sequence(F.lit(0), F.length(x)), lambda i: F.concat(F.lit("p/"), F.substring(x, F.lit(1), i)))))
+    keys = F.array_distinct(F.concat(begins, F.transform("seg", lambda x: F.concat(F.lit("f/"), x)), F.array(F.lit("p/"))))
+    outer = r.select(F.col("route").alias("outer"), F.explode(keys).alias("key"))
+    pairs = short.union(long).join(outer, "key").where(F.contains("outer", F.col("inner"))).select("inner", "outer").distinct()
+    return pairs.select(F.col("inner").alias("route"), F.col("outer").alias("api")).union(pairs.where("inner <> outer").select("outer", "inner"))
+
+
+def substrings(text: Column, n: int) -> Column:
+    """All substrings of ``n`` characters."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))
+
+
+def mutual_stems(rows: DataFrame) -> DataFrame:
+    """(a, b), a < b: keys whose texts contain each other's stem.  ``rows``: key, text, stem; the stems' lengths are few."""
+    lengths = [r.n for r in rows.select(F.length("stem").alias("n")).where("n > 0").distinct().collect()]
+    if not lengths:
+        return rows.select(F.col("key").alias("a"), F.col("key").alias("b")).limit(0)
+    grams = F.array_distinct(F.concat(*[substrings(F.col("text"), n) for n in lengths]))
+    holds = rows.select(F.col("key").alias("holder"), F.explode(grams).alias("stem")).join(rows.select("stem", F.col("key").alias("held")), "stem").where("holder <> held").select("holder", "held")
+    ends = [F.least("holder", "held").alias("a"), F.greatest("holder", "held").alias("b")]
+    return holds.select(*ends).groupBy("a", "b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").select("a", "b")

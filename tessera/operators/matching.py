@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -20,13 +22,59 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
+#: Vectors of a block.
+BLOCK = 1024
+
+
 def top_candidates(legacy: DataFrame, target: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
-    """(legacy, rank, target, sim).  Both sides are columns of a schema, so the target side is one packed row."""
-    packed = target.agg(F.collect_list(F.struct(F.col(id_col).alias("t"), F.col(vec_col).alias("v"))).alias("all")).withColumn("j", F.lit(1))
-    rows = legacy.select(F.col(id_col).alias("legacy"), F.col(vec_col).alias("q")).withColumn("j", F.lit(1)).join(packed, "j")
-    best = F.transform("all", lambda x: F.struct((-cosine(F.col("q"), x["v"])).alias("d"), x["t"].alias("t")))
-    top = rows.select("legacy", F.posexplode(F.slice(F.array_sort(best), 1, k)).alias("i", "x"))
-    return top.select("legacy", (F.col("i") + 1).alias("rank"), F.col("x.t").alias("target"), F.round(-F.col("x.d"), 6).alias("sim"))
+    """(legacy, rank, target, sim): the k most similar targets of each legacy vector, ties to the smaller id.
+
+    Both sides are packed in blocks; every pair of blocks is one product, of which each legacy vector keeps k.
+    """
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        rows = df.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("v"))
+        n = rows.agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
+        rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.lit(n.first().n))).cast("int"))
+        return rows.groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias(name))
+
+    left, right = blocks(legacy, "x"), blocks(target, "y")
+    n = right.count()
+    units = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))).join(right.withColumnRenamed("b", "j"), "j").select("x", "y")
+
+    def product(batches):
+        for batch in batches:
+            for x_, y_ in zip(batch.column(0), batch.column(1), strict=True):
+                (a, x), (b, y) = ((np.array([r["id"] for r in rows]), unit(np.array([r["v"] for r in rows], float))) for rows in (x_.as_py(), y_.as_py()))
+                sim = x @ y.T
+                near = np.lexsort((np.broadcast_to(b, sim.shape), -sim))[:, :k]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, near.shape[1])), pa.array(b[near].ravel()), pa.array(np.take_along_axis(sim, near, 1).ravel())], ["legacy", "target", "sim"])
+
+    hits = units.mapInArrow(product, "legacy long, target long, sim double")
+    rank = F.row_number().over(Window.partitionBy("legacy").orderBy(F.desc("sim"), "target"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("legacy", "rank", "target", F.round("sim", 6).alias("sim"))
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; zero rows stay."""
+    n = np.sqrt((x * x).sum(axis=1, keepdims=True))
+    return x / np.where(n == 0, 1.0, n)
+
+
+def assignments(columns: DataFrame, pair: str, id_col: str, vec_col: str, legacy: str) -> DataFrame:
+    """(legacy, target): within each pair of tables, the one-to-one mapping of largest total similarity; a table's columns fit one task."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table.column("legacy").to_pylist(), table.column("id").to_pylist(), table.column("v").to_pylist(), strict=True), key=lambda r: r[1])
+        a, b = ([r for r in rows if r[0] == side] for side in (True, False))
+        out = []
+        if a and b:
+            found = assign(unit(np.array([r[2] for r in a], float)) @ unit(np.array([r[2] for r in b], float)).T)
+            out = [(a[i][1], b[j][1]) for i, j in enumerate(found) if j is not None]
+        return pa.table({"legacy": pa.array([x for x, _ in out], pa.int64()), "target": pa.array([y for _, y in out], pa.int64())})
+
+    rows = columns.select(F.col(pair).alias("pair"), F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("v"), F.col(legacy).alias("legacy"))
+    return rows.groupBy("pair").applyInArrow(run, "legacy long, target long")
 
 
 def status(best: Column, second: Column) -> Column:

@@ -89,3 +89,25 @@ def zero_filled(rows: DataFrame, column: str, labels: list[str]) -> DataFrame:
 def cost_usd(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:
     """An unknown model (null price) costs the highest tier."""
     return F.round(tokens_in / 1e6 * F.coalesce(price_in, F.lit(15.0)) + tokens_out / 1e6 * F.coalesce(price_out, F.lit(75.0)), 6)
+
+
+def feed(rows: DataFrame, at: str, *, since=None, until=None, equal: dict | None = None, limit: int = 100, tie: str | None = None) -> DataFrame:
+    """Newest first, between two times (inclusive), of equal values; ``limit`` is held to 1 to 500."""
+    for c, v in (equal or {}).items():
+        rows = rows.where(F.col(c) == v)
+    if since is not None:
+        rows = rows.where(F.col(at) >= since)
+    if until is not None:
+        rows = rows.where(F.col(at) <= until)
+    return rows.orderBy(F.desc(at), *([F.desc(tie)] if tie else [])).limit(min(500, max(1, limit)))
+
+
+def allowed(namespace: Column, names: list[str]) -> Column:
+    """An empty list allows all; what has no namespace passes."""
+    return (namespace.isNull() | namespace.isin(*names)) if names else F.lit(True)
+
+
+def first_match(rows: DataFrame, column: str, patterns: list[tuple[str, str]]) -> DataFrame:
+    """Rows that match a pattern, with the name of the first that does."""
+    kind = F.coalesce(*[F.when(F.col(column).rlike(p), name) for name, p in patterns])
+    return rows.withColumn("kind", kind).where("kind is not null")

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Sentinels by type family, rate floors, regular expressions of damaged text.
 DATE_SENTINELS = ("1900-01-01", "1970-01-01", "9999-12-31")
@@ -85,12 +86,19 @@ def orphan_probe(child: DataFrame, parent: DataFrame, keys: list[tuple[str, str]
 
 
 def encoding_probe(df: DataFrame, column: str, limit: int | None = 1000, samples: int = 5) -> DataFrame:
-    """Damaged values among the first ``limit`` distinct ones in value order (None: all)."""
+    """(kind, n_values, samples): damaged values among the first ``limit`` distinct ones in value order (None: all).
+
+    ``samples`` are the first few of a kind, in value order.
+    """
     values = df.select(F.col(column).alias("v")).where("v is not null").distinct()
     if limit:
         values = values.orderBy("v").limit(limit)
     bad = F.when(F.col("v").rlike(MOJIBAKE), "mojibake").when(F.col("v").rlike(CONTROL), "control_chars").otherwise("clean")
-    return values.withColumn("kind", bad).groupBy("kind").agg(F.count(F.lit(1)).alias("n_values"))
+    kinds = values.withColumn("kind", bad)
+    first = Window.partitionBy("kind").orderBy("v")
+    few = kinds.withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= samples)
+    few = few.groupBy("kind").agg(F.array_sort(F.collect_list("v")).alias("samples"))
+    return kinds.groupBy("kind").agg(F.count(F.lit(1)).alias("n_values")).join(few, "kind")
 
 
 def manifest_stats(findings: DataFrame) -> DataFrame:

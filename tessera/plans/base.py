@@ -32,3 +32,12 @@ def query(sql: str | None = None):
         return f
 
     return register
+
+
+def merkle_sql(leaves: str, levels: int = 16) -> str:
+    """SQL of the Merkle root of ``leaves``, a query of i (from 0) and c, of up to ``2 ** levels`` leaves."""
+    out = [f"WITH l0 AS (SELECT i, unhex(sha256(c)) AS h FROM ({leaves}))"]
+    for k in range(levels):
+        joined = f"SELECT i // 2 AS i, unhex(sha256(arg_min(h, i) || arg_max(h, i))) AS h FROM l{k} GROUP BY i // 2"
+        out.append(f"l{k + 1} AS (SELECT i, h FROM l{k} WHERE (SELECT count(*) FROM l{k}) = 1 UNION ALL SELECT i, h FROM ({joined}) WHERE (SELECT count(*) FROM l{k}) > 1)")
+    return ", ".join(out) + f" SELECT lower(hex(h)) AS root FROM l{levels}"

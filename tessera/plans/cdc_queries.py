@@ -7,6 +7,7 @@ from pyspark.sql.window import Window
 
 from ..functions import redact as R
 from ..operators import cdc as C
+from ..operators.ordered import previous
 from .base import query
 
 
@@ -49,13 +50,13 @@ def lag_series(t):
 
 
 @query("""
-WITH e AS (SELECT event_id * 60 AS tick, event_id % 40 <> 39 AS good, event_id % 11 <> 5 AS parity FROM events),
-i AS (SELECT *, sum(CASE WHEN good THEN 0 ELSE 1 END) OVER (ORDER BY tick ROWS UNBOUNDED PRECEDING) AS isle FROM e),
-s AS (SELECT *, min(CASE WHEN good AND parity THEN tick END) OVER (PARTITION BY isle ORDER BY tick ROWS UNBOUNDED PRECEDING) AS start FROM i)
-SELECT tick, CASE WHEN NOT good THEN 'reset' WHEN NOT parity THEN 'investigate_divergence' WHEN tick - start >= 900 THEN 'operator_sign' ELSE 'wait' END AS action FROM s""")
+WITH e AS (SELECT event_type AS unit, event_id * 60 AS tick, event_id % 40 <> 39 AS good, event_id % 11 <> 5 AS parity FROM events),
+i AS (SELECT *, sum(CASE WHEN good THEN 0 ELSE 1 END) OVER (PARTITION BY unit ORDER BY tick ROWS UNBOUNDED PRECEDING) AS isle FROM e),
+s AS (SELECT *, min(CASE WHEN good AND parity THEN tick END) OVER (PARTITION BY unit, isle ORDER BY tick ROWS UNBOUNDED PRECEDING) AS start FROM i)
+SELECT unit, tick, CASE WHEN NOT good THEN 'reset' WHEN NOT parity THEN 'investigate_divergence' WHEN tick - start >= 900 THEN 'operator_sign' ELSE 'wait' END AS action FROM s""")
 def cutover_windows(t):
-    e = t.events.select((F.col("event_id") * 60).alias("tick"), F.when(F.col("event_id") % 40 == 39, 100.0).otherwise(5.0).alias("lag"), F.lit(True).alias("up"), (F.col("event_id") % 11 != 5).alias("parity"))
-    return C.cutover(e, "tick", "lag", "up", "parity")
+    e = t.events.select(F.col("event_type").alias("unit"), (F.col("event_id") * 60).alias("tick"), F.when(F.col("event_id") % 40 == 39, 100.0).otherwise(5.0).alias("lag"), F.lit(True).alias("up"), (F.col("event_id") % 11 != 5).alias("parity"))
+    return C.cutover(e, "unit", "tick", "lag", "up", "parity")
 
 
 @query("WITH b AS (SELECT c_custkey, CASE WHEN c_custkey % 29 = 0 THEN 'X' ELSE c_name END AS c_name, c_acctbal FROM customer WHERE c_custkey % 31 <> 0), j AS (SELECT a.c_custkey, b.c_custkey AS k, a.c_name IS DISTINCT FROM b.c_name OR a.c_acctbal IS DISTINCT FROM b.c_acctbal OR b.c_custkey IS NULL AS bad FROM customer a FULL JOIN b ON a.c_custkey = b.c_custkey) SELECT count(*) AS rows_compared, count(*) FILTER (WHERE bad) AS rows_diverged, round(count(*) FILTER (WHERE bad) / count(*), 6) AS divergence_rate FROM j")
@@ -64,16 +65,16 @@ def parity_metric(t):
     return C.parity(t.customer, b, "c_custkey", ["c_name", "c_acctbal"])
 
 
-@query("SELECT user_id, arg_max(greatest(0, least(100, CAST(round(value) AS INTEGER) * 2 - 50)), event_id) AS weight, 100 - arg_max(greatest(0, least(100, CAST(round(value) AS INTEGER) * 2 - 50)), event_id) AS legacy FROM events GROUP BY user_id")
+@query("SELECT user_id, arg_max(greatest(0, least(100, CAST(floor(value) AS INTEGER) * 2 - 50)), event_id) AS weight, 100 - arg_max(greatest(0, least(100, CAST(floor(value) AS INTEGER) * 2 - 50)), event_id) AS legacy FROM events GROUP BY user_id")
 def route_table_fold(t):
-    e = t.events.select("user_id", "event_id", (F.round("value").cast("int") * 2 - 50).alias("w"))
+    e = t.events.select("user_id", "event_id", (F.floor("value").cast("int") * 2 - 50).alias("w"))
     return C.route_weights(e, "user_id", "w", "event_id")
 
 
 @query("WITH l AS (SELECT event_type, event_id, lag(event_id) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM events) SELECT event_type, event_id, greatest(0, event_id - coalesce(p, 0)) AS delta FROM l")
 def interval_deltas(t):
-    p = F.lag("event_id", 1, 0).over(Window.partitionBy("event_type").orderBy("event_id"))
-    return t.events.select("event_type", "event_id", F.greatest(F.lit(0), F.col("event_id") - p).alias("delta"))
+    e = previous(t.events.select("event_type", "event_id"), ["event_type"], ["event_id"], "event_id", "p")
+    return e.select("event_type", "event_id", F.greatest(F.lit(0), F.col("event_id") - F.coalesce("p", F.lit(0))).alias("delta"))
 
 
 @query("SELECT event_id FROM events WHERE event_id > (SELECT coalesce(max(event_id), -1) FROM events WHERE event_id = 500)")
@@ -94,9 +95,12 @@ def ttl_expiry(t):
     return e.groupBy("user_id").agg(F.count_if(F.expr("gap is null or gap > 120000000")).alias("expired"), F.count(F.lit(1)).alias("n"))
 
 
-@query(r"""SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '<email>', 'g'), '\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b', '<ssn>', 'g'), '\b[0-9](?:[ -]?[0-9]){12,15}\b', '<pan>', 'g'), '\b(?:[0-9]{1,3}\.){3}[0-9]{1,3}\b', '<ipv4>', 'g')) END AS digest, regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}') AS had_email FROM documents""")
+MAIL = r"\b[\p{L}\p{N}_.\-]+@[\p{L}\p{N}_.\-]+\.[\p{L}\p{N}_]+\b"
+
+
+@query(rf"""SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{MAIL}', '<email>', 'g'), '\b\d{{3}}-\d{{2}}-\d{{4}}\b', '<ssn>', 'g'), '\b(?:\d[ -]?){{13,19}}\b', '<pan>', 'g'), '\b\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\b', '<ipv4>', 'g')) END AS digest, regexp_matches(text, '{MAIL}') AS had_email FROM documents""")
 def redact_pii(t):
-    return t.documents.select("doc_id", F.md5(R.redact(F.col("text"))).alias("digest"), F.col("text").rlike(R.PATTERNS[0][1]).alias("had_email"))
+    return t.documents.select("doc_id", F.md5(R.redact(F.col("text"))).alias("digest"), (F.contains("text", F.lit("@")) & F.col("text").rlike(R.PATTERNS[0][1])).alias("had_email"))
 
 
 @query("SELECT user_id, CASE WHEN user_id % 4 = 0 THEN 'anthropic' WHEN user_id % 4 = 1 THEN 'google' WHEN user_id % 4 = 2 THEN 'openai' END AS provider, CASE WHEN user_id % 4 = 3 THEN 's****hort' ELSE substr(k, 1, 12) || '****...' || substr(k, length(k) - 3) END AS preview FROM (SELECT DISTINCT user_id, CASE user_id % 4 WHEN 0 THEN 'sk-ant-api03-' WHEN 1 THEN 'AIza' ELSE 'sk-proj-' END || repeat('aB3_', 9) || lpad(CAST(user_id AS VARCHAR), 6, '0') AS k FROM events)")

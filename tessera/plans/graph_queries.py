@@ -90,18 +90,22 @@ def graph_trace_khop(t):
     return G.trace(edges(t), nodes(t).where("id = 'nation::7'").select("id"), 2)
 
 
-PARTS = "pn AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_partkey AS k FROM part WHERE p_partkey <= 200), pe AS (SELECT CAST(k AS VARCHAR) AS source_id, CAST(k // 3 AS VARCHAR) AS target_id FROM pn WHERE k % 7 <> 0 AND k // 3 > 0)"
+PARTS = "pn AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_partkey AS k FROM part), pe AS (SELECT CAST(k AS VARCHAR) AS source_id, CAST(k // 3 AS VARCHAR) AS target_id FROM pn WHERE k % 7 <> 0 AND k // 3 > 0)"
+#: The same with links back from a grandparent to every fifth part, which close cycles.
+CYCLES = PARTS + ", pc AS (SELECT * FROM pe UNION ALL SELECT CAST(k // 9 AS VARCHAR), CAST(k AS VARCHAR) FROM pn WHERE k % 5 = 0 AND k // 9 > 0)"
 
 
-ALL_PARTS = PARTS.replace(" WHERE p_partkey <= 200", "")
+def part_graph(t):
+    """A forest over all part keys: k to k / 3, cut at multiples of 7."""
+    n = t.part.select(F.col("p_partkey").cast("string").alias("id"))
+    e = t.part.where("p_partkey % 7 <> 0 and p_partkey div 3 > 0").select(F.col("p_partkey").cast("string").alias("source_id"), F.expr("p_partkey div 3").cast("string").alias("target_id"))
+    return n, e
 
 
-def part_graph(t, whole=False):
-    """A forest over the part keys, or over the 200 smallest: k to k / 3, cut at multiples of 7."""
-    p = t.part if whole else t.part.where("p_partkey <= 200")
-    n = p.select(F.col("p_partkey").cast("string").alias("id"))
-    e = p.where("p_partkey % 7 <> 0 and p_partkey div 3 > 0").select(F.col("p_partkey").cast("string").alias("source_id"), F.expr("p_partkey div 3").cast("string").alias("target_id"))
-    return n, e
+def part_cycles(t):
+    n, e = part_graph(t)
+    back = t.part.where("p_partkey % 5 = 0 and p_partkey div 9 > 0").select(F.expr("p_partkey div 9").cast("string").alias("source_id"), F.col("p_partkey").cast("string").alias("target_id"))
+    return n, e.union(back)
 
 
 @query(f"WITH RECURSIVE {PARTS}, b AS (SELECT source_id AS x, target_id AS y FROM pe UNION SELECT target_id, source_id FROM pe), r AS (SELECT id, id AS low FROM pn UNION SELECT b.y, low FROM r JOIN b ON x = id), m AS (SELECT id, min(low) AS low FROM r GROUP BY id) SELECT id, CAST(dense_rank() OVER (ORDER BY low) - 1 AS INTEGER) AS component FROM m")
@@ -116,16 +120,14 @@ def graph_topo_layers(t):
     return G.layers(e, n)
 
 
-@query(f"WITH RECURSIVE {ALL_PARTS}, b AS (SELECT source_id AS x, target_id AS y FROM pe UNION SELECT target_id, source_id FROM pe), r AS (SELECT id, id AS low FROM pn UNION SELECT b.y, low FROM r JOIN b ON x = id), m AS (SELECT id, min(low) AS low FROM r GROUP BY id) SELECT id, CAST(dense_rank() OVER (ORDER BY low) - 1 AS INTEGER) AS component FROM m")
+@query(f"WITH RECURSIVE {PARTS}, b AS (SELECT source_id AS x, target_id AS y FROM pe UNION SELECT target_id, source_id FROM pe), r AS (SELECT id, id AS low FROM pn UNION SELECT b.y, low FROM r JOIN b ON x = id), m AS (SELECT id, min(low) AS low FROM r GROUP BY id) SELECT id, CAST(dense_rank() OVER (ORDER BY low) - 1 AS INTEGER) AS component FROM m")
 def graph_components_whole(t):
-    n, e = part_graph(t, whole=True)
-    return G.components(e, n)
+    return graph_components(t)
 
 
-@query(f"WITH RECURSIVE {ALL_PARTS}, r AS (SELECT id, 0 AS layer FROM pn UNION ALL SELECT source_id, layer + 1 FROM r JOIN pe ON target_id = id) SELECT id, CAST(max(layer) AS INTEGER) AS layer FROM r GROUP BY id")
+@query(f"WITH RECURSIVE {PARTS}, r AS (SELECT id, 0 AS layer FROM pn UNION ALL SELECT source_id, layer + 1 FROM r JOIN pe ON target_id = id) SELECT id, CAST(max(layer) AS INTEGER) AS layer FROM r GROUP BY id")
 def graph_topo_layers_whole(t):
-    n, e = part_graph(t, whole=True)
-    return G.layers(e, n)
+    return graph_topo_layers(t)
 
 
 @query("SELECT CAST(i AS INTEGER) AS position, name FROM (VALUES (0,'part'),(1,'region'),(2,'nation'),(3,'customer'),(4,'orders'),(5,'supplier'),(6,'lineitem')) v(i, name)")
@@ -135,16 +137,18 @@ def fk_topo_order(t):
     return t.spark.createDataFrame(list(enumerate(G.fk_order(names, keys))), "position int, name string")
 
 
-@query("SELECT 2 AS n_groups_over_1, 3 AS largest, 7 AS n_groups")
+@query(f"WITH RECURSIVE {CYCLES}, r AS (SELECT id AS a, id AS b FROM pn UNION SELECT r.a, target_id FROM r JOIN pc ON r.b = source_id) SELECT x.a AS id, min(x.b) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")
 def graph_scc(t):
-    """Condensation of a small graph with two cycles, dependencies first."""
-    g = G.topological_groups(list("abcdefghij"), [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "g"), ("h", "a")])
-    return t.spark.createDataFrame([(sum(len(x) > 1 for x in g), max(map(len, g)), len(g))], "n_groups_over_1 int, largest int, n_groups int")
+    """Strongly connected components of the part graph with links back, named by their smallest id."""
+    n, e = part_cycles(t)
+    return G.strong_components(e, n)
 
 
-@query("SELECT 5 AS longest")
+@query(f"WITH RECURSIVE {PARTS}, r AS (SELECT id, 1 AS n FROM pn WHERE CAST(k AS BIGINT) % 2 = 0 UNION SELECT target_id, n + 1 FROM r JOIN pe ON source_id = id WHERE n < 40) SELECT max(n) AS longest FROM r")
 def graph_longest_path(t):
-    return t.spark.createDataFrame([(G.longest_path([("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e")], ["a"]),)], "longest int")
+    """Nodes on the longest path of the part forest that starts at an even part."""
+    n, e = part_graph(t)
+    return G.longest_walk(e, t.part.where("p_partkey % 2 = 0").select(F.col("p_partkey").cast("string").alias("id")), 40)
 
 
 @query("""
@@ -190,11 +194,11 @@ def graph_export(t):
 
 @query("""
 WITH c AS (SELECT event_id AS call_id, event_type AS callee, user_id AS f FROM events),
-n AS (SELECT event_type AS name, min(event_id) AS id, user_id AS f FROM events WHERE event_id % 10 = 0 GROUP BY event_type, user_id)
+n AS (SELECT event_type AS name, event_id AS id, user_id AS f FROM events)
 SELECT call_id, arg_min(id, (CASE WHEN c.f = n.f THEN 0 ELSE 1 END) * 1000000000000 + id) AS node_id FROM c JOIN n ON callee = name AND call_id <> id GROUP BY call_id""")
 def resolve_callee(t):
     calls = t.events.select(F.col("event_id").alias("call_id"), F.col("event_type").alias("callee"), F.col("user_id").alias("file_path"), F.col("event_id").alias("caller_id"))
-    n = t.events.where("event_id % 10 = 0").groupBy(F.col("event_type").alias("name"), F.col("user_id").alias("file_path")).agg(F.min("event_id").alias("id")).withColumn("seq", F.col("id"))
+    n = t.events.select(F.col("event_type").alias("name"), F.col("user_id").alias("file_path"), F.col("event_id").alias("id"), F.col("event_id").alias("seq"))
     return G.resolve_calls(calls, n)
 
 
@@ -211,14 +215,68 @@ SELECT page_id, api FROM p JOIN r ON route = api OR contains(route, api) OR cont
 def route_theta_join(t):
     """Routes that contain one another.  The distinct routes are paired once; pages join by equality."""
     p = route_normalise(t).select("page_id", "route")
-    r = p.select("route").distinct()
-    # both directions of containment as an equality join on prefixes would miss infixes: pairs of distinct routes
-    near = r.alias("a").join(r.alias("b"), F.expr("contains(a.route, b.route) or contains(b.route, a.route)")).select(F.col("a.route").alias("route"), F.col("b.route").alias("api"))
+    near = G.contained_routes(p.select("route").distinct())
     return p.join(near, "route").select("page_id", "api")
 
 
-@query("SELECT a.r_name AS a, b.r_name AS b FROM region a JOIN region b ON a.r_regionkey < b.r_regionkey AND contains(lower(a.r_name), lower(substr(b.r_name, 1, 2))) AND contains(lower(b.r_name), lower(substr(a.r_name, 1, 2)))")
+@query("WITH n AS (SELECT DISTINCT p_name AS n FROM part) SELECT a.n AS a, b.n AS b FROM n a JOIN n b ON a.n < b.n AND contains(a.n, substr(b.n, 1, 3)) AND contains(b.n, substr(a.n, 1, 3))")
 def circular_pairs(t):
-    r = t.region.select("r_regionkey", "r_name", F.lower("r_name").alias("l"), F.lower(F.substring("r_name", 1, 2)).alias("stem"))
-    a, b = r.alias("a"), r.alias("b")
-    return a.join(b, F.expr("a.r_regionkey < b.r_regionkey and contains(a.l, b.stem) and contains(b.l, a.stem)")).select(F.col("a.r_name").alias("a"), F.col("b.r_name").alias("b"))
+    """Pairs of names each of which contains the other's stem (its first three letters)."""
+    n = t.part.select("p_name").distinct()
+    return G.mutual_stems(n.select(F.col("p_name").alias("key"), F.col("p_name").alias("text"), F.substring("p_name", 1, 3).alias("stem")))
+
+
+CALLEES = f"{BOTH} SELECT * FROM nodes WHERE id IN (SELECT target_id FROM edges WHERE source_id = 'customer::7' AND relationship = 'CALLS')"
+
+
+@query(CALLEES)
+def graph_callees(t):
+    return G.callees(nodes(t), edges(t), "customer::7")
+
+
+@query(f"{BOTH} SELECT * FROM nodes WHERE file_path IS DISTINCT FROM 'BUILDING'")
+def graph_delete_file_nodes(t):
+    return G.delete_file(nodes(t), edges(t), "BUILDING")[0]
+
+
+@query(f"{BOTH} SELECT * FROM nodes WHERE id = 'supplier::9'")
+def graph_point_lookup(t):
+    return nodes(t).where("id = 'supplier::9'")
+
+
+@query(f"{BOTH} SELECT * FROM nodes WHERE file_path = 'supply'")
+def graph_nodes_by_file(t):
+    return nodes(t).where("file_path = 'supply'")
+
+
+@query(f"{BOTH}, l AS (SELECT source_id AS source, target_id AS target, relationship AS type FROM edges) SELECT to_json(struct_pack(source := source, target := target, type := type)) AS link FROM l")
+def graph_export_links(t):
+    return edges(t).select(F.to_json(F.struct(F.col("source_id").alias("source"), F.col("target_id").alias("target"), F.col("relationship").alias("type"))).alias("link"))
+
+
+def _escaped(c):
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;")):
+        c = f"replace({c}, '{a.replace(chr(39), chr(39) * 2)}', '{b}')"
+    return c
+
+
+@query(f"""SELECT '      <node id="' || {_escaped("p_partkey::VARCHAR")} || '" label="' || {_escaped("p_name || ' & <' || p_type || '>'")} || '"><attvalues><attvalue for="0" value="' || {_escaped("p_brand")} || '"/></attvalues></node>' AS line FROM part""")
+def graph_gexf(t):
+    n = t.part.select(F.col("p_partkey").cast("string").alias("id"), F.concat("p_name", F.lit(" & <"), "p_type", F.lit(">")).alias("name"), F.col("p_brand").alias("type"))
+    return n.select(G.gexf_node("id", "name", "type").alias("line"))
+
+
+@query(f"""{BOTH}, b AS (SELECT source_id AS x, target_id AS y FROM edges UNION SELECT target_id, source_id FROM edges), r AS (SELECT 'nation::7' AS id, 0 AS depth UNION SELECT y, depth + 1 FROM r JOIN b ON x = id WHERE depth < 2),
+v AS (SELECT id, min(depth) AS depth FROM r GROUP BY id)
+SELECT v.id, CAST(v.depth AS INTEGER) AS depth, source_id, target_id FROM v JOIN edges ON v.id = source_id UNION ALL SELECT v.id, CAST(v.depth AS INTEGER), source_id, target_id FROM v JOIN edges ON v.id = target_id""")
+def graph_trace_edges(t):
+    return G.trace_edges(edges(t), nodes(t).where("id = 'nation::7'").select("id"), 2)
+
+
+@query(f"WITH RECURSIVE {PARTS}, b AS (SELECT source_id AS x, target_id AS y FROM pe UNION SELECT target_id, source_id FROM pe), r AS (SELECT id, id AS low FROM pn UNION SELECT b.y, low FROM r JOIN b ON x = id), m AS (SELECT id, min(low) AS low FROM r GROUP BY id), e AS (SELECT id FROM pn WHERE k % 10 = 0 UNION SELECT target_id FROM e JOIN pe ON source_id = e.id) SELECT m.id, e.id IS NOT NULL AS reachable, CAST(dense_rank() OVER (ORDER BY low) - 1 AS INTEGER) AS cluster FROM m LEFT JOIN e ON m.id = e.id")
+def graph_entry_map(t):
+    """Of each node: whether an entry reaches it, and its cluster."""
+    n, e = part_graph(t)
+    entries = t.part.where("p_partkey % 10 = 0").select(F.col("p_partkey").cast("string").alias("id"))
+    reached = G.reachable(e, entries).select("id", F.lit(True).alias("r"))
+    return G.components(e, n).join(reached, "id", "left").select("id", F.coalesce("r", F.lit(False)).alias("reachable"), F.col("component").alias("cluster"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import ops as O
-from .base import query
+from ..operators import provenance as H
+from ..operators.ordered import positions
+from .base import merkle_sql, query
 
 
 @query("""
@@ -40,11 +42,11 @@ def accuracy_stats(t):
     return t.labels.where("quality <> -1").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.expr("quality = 1")).alias("correct"), F.count_if(F.expr("quality = 0")).alias("incorrect"), F.round(F.lit(100.0) * F.count_if(F.expr("quality = 1")) / F.count(F.lit(1)), 1).alias("accuracy"))
 
 
-SKIP = "WITH s AS (SELECT lang AS ext, source AS reason, CASE WHEN n_chars <= 0 THEN 0 ELSE greatest(1, n_chars // 45) END AS loc FROM documents WHERE doc_id % 3 = 0)"
+SKIP = "WITH s AS (SELECT lang AS ext, source AS reason, CASE WHEN n_chars <= 0 THEN 0 ELSE greatest(1, n_chars // 45) END AS loc  FROM documents)"
 
 
 def skips(t):
-    return t.documents.where("doc_id % 3 = 0").select(F.col("lang").alias("ext"), F.col("source").alias("reason"), O.estimated_loc(F.col("n_chars")).alias("loc"))
+    return t.documents.select(F.col("lang").alias("ext"), F.col("source").alias("reason"), O.estimated_loc(F.col("n_chars")).alias("loc"))
 
 
 @query(f"{SKIP} SELECT ext, reason, count(*) AS files, CAST(sum(loc) AS BIGINT) AS loc FROM s GROUP BY ext, reason")
@@ -107,9 +109,9 @@ def timeline_first_last(t):
 
 @query("WITH r AS (SELECT event_id, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS k, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_id FROM r WHERE (k - 1) % greatest(1, n // 100) = 0 OR k = n")
 def every_kth(t):
-    w = Window.partitionBy("event_type")
-    r = t.events.withColumn("k", F.row_number().over(w.orderBy("ts", "event_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return r.where("(k - 1) % greatest(1, n div 100) = 0 or k = n").select("event_id")
+    n = t.events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))
+    r = positions(t.events.select("event_type", "event_id", "ts"), ["event_type"], ["ts", "event_id"], "k").join(n, "event_type")
+    return r.where("k % greatest(1, n div 100) = 0 or k = n - 1").select("event_id")
 
 
 @query("SELECT event_id, user_id, (event_id % 7) AS sequence, row_number() OVER (PARTITION BY user_id ORDER BY event_id) + 10 AS seq FROM events".replace("(event_id % 7) AS sequence, ", ""))
@@ -180,10 +182,9 @@ def provider_health(t):
     return d.join(m, "provider", "left").select("provider", (F.col("ok").isNull() | (age < F.expr("interval 1 day"))).alias("available"))
 
 
-@query("SELECT sha256(string_agg(doc_id || chr(9) || n_chars, chr(10) ORDER BY doc_id)) AS fingerprint FROM documents WHERE doc_id < 100")
+@query(merkle_sql("SELECT CAST(b AS BIGINT) AS i, string_agg(doc_id || chr(9) || n_chars, chr(10) ORDER BY doc_id) AS c FROM (SELECT doc_id, n_chars, (row_number() OVER (ORDER BY doc_id) - 1) // 1000 AS b FROM documents) GROUP BY b"))
 def codebase_fingerprint(t):
-    rows = t.documents.where("doc_id < 100").agg(F.array_sort(F.collect_list(F.struct("doc_id", F.concat(F.col("doc_id"), F.lit("\t"), F.col("n_chars")).alias("l")))).alias("a"))
-    return rows.select(F.sha2(F.array_join(F.transform("a", lambda x: x["l"]), "\n"), 256).alias("fingerprint"))
+    return H.fingerprint(t.documents.select("doc_id", F.concat(F.col("doc_id"), F.lit("\t"), F.col("n_chars")).alias("line")), "doc_id", "line")
 
 
 @query("SELECT doc_id, sha256(array_to_string(string_split(text, chr(10))[2:4], chr(10))) AS snippet FROM documents WHERE len(string_split(text, chr(10))) >= 4")

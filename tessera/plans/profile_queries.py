@@ -87,10 +87,11 @@ def probe_manifest_stats(t):
 
 @query("""
 WITH v AS (SELECT DISTINCT CASE WHEN doc_id % 50 = 0 THEN text || 'Ã©' WHEN doc_id % 50 = 1 THEN text || chr(7) ELSE text END AS v FROM documents WHERE text IS NOT NULL)
-SELECT CASE WHEN regexp_matches(v, 'Ã|Â[\\x{00a0}-\\x{00bf}]|\\x{fffd}') THEN 'mojibake' WHEN regexp_matches(v, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') THEN 'control_chars' ELSE 'clean' END AS kind, count(*) AS n_values FROM v GROUP BY 1""")
+SELECT CASE WHEN regexp_matches(v, 'Ã|Â[\\x{00a0}-\\x{00bf}]|\\x{fffd}') THEN 'mojibake' WHEN regexp_matches(v, '[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f]') THEN 'control_chars' ELSE 'clean' END AS kind, count(*) AS n_values, array_to_string(list_transform(list(v ORDER BY v)[1:5], lambda x: md5(x)), ',') AS samples FROM v GROUP BY 1""")
 def probe_encoding(t):
     d = t.documents.select(F.when(F.col("doc_id") % 50 == 0, F.concat("text", F.lit("Ã©"))).when(F.col("doc_id") % 50 == 1, F.concat("text", F.chr(F.lit(7)))).otherwise(F.col("text")).alias("text"))
-    return P.encoding_probe(d, "text", None)
+    out = P.encoding_probe(d, "text", None)
+    return out.withColumn("samples", F.array_join(F.transform("samples", F.md5), ","))
 
 
 @query()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import transform as T
 from ..operators import matching as M
 from ..operators import provenance as H
-from .base import query
+from .base import merkle_sql, query
 
 
 @query("SELECT c_custkey, upper(c_name) || '-' || substr(c_mktsegment, 1, 3) AS a, CASE WHEN c_acctbal < 0 THEN 'debt' WHEN c_acctbal > 5000 THEN 'rich' ELSE 'even' END AS b, c_custkey - 7 * floor(c_custkey / 7) AS m FROM customer")
@@ -57,14 +57,14 @@ def bulk_conservation(t):
     return g.withColumn("conserved", F.col("rows_read") == F.col("written") + F.col("quarantined"))
 
 
-EMB = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS legacy, b.vec_id AS target, list_cosine_similarity(a.v, b.v) AS sim FROM e a JOIN e b ON a.vec_id < 50 AND b.vec_id >= 50 AND b.vec_id < 100), k AS (SELECT *, row_number() OVER (PARTITION BY legacy ORDER BY sim DESC, target) AS rank FROM p)"
+EMB = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p AS (SELECT a.vec_id AS legacy, b.vec_id AS target, list_cosine_similarity(a.v, b.v) AS sim FROM e a JOIN e b ON a.vec_id % 2 = 0 AND b.vec_id % 2 = 1), k AS (SELECT *, row_number() OVER (PARTITION BY legacy ORDER BY sim DESC, target) AS rank FROM p)"
 
 
 @query(f"WITH {EMB} SELECT legacy, CAST(rank AS INTEGER) AS rank, target, round(sim, 6) AS sim FROM k WHERE rank <= 3")
 def embedding_top3(t):
-    """The three most similar of 50 target columns for each of 50 legacy columns: the two sides of a mapping."""
+    """The three most similar target columns (odd ids) for each legacy column (even ids): the two sides of a mapping."""
     e = t.embeddings.select("vec_id", "embedding")
-    return M.top_candidates(e.where("vec_id < 50"), e.where("vec_id >= 50 and vec_id < 100"), "vec_id", "embedding", 3)
+    return M.top_candidates(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "vec_id", "embedding", 3)
 
 
 @query(f"WITH {EMB}, s AS (SELECT legacy, max(sim) FILTER (WHERE rank = 1) AS a, max(sim) FILTER (WHERE rank = 2) AS b FROM k GROUP BY legacy) SELECT legacy, CASE WHEN a < 0.6 THEN 'no_match' WHEN a - b < 0.05 THEN 'ambiguous' WHEN a >= 0.85 THEN 'ok' ELSE 'low_confidence' END AS status FROM s")
@@ -77,33 +77,23 @@ def mapping_status(t):
 
 @query()
 def assignment(t):
-    """One-to-one mapping of largest total similarity (a driver-side matrix of schema size)."""
-    import numpy as np
+    """One-to-one mapping of largest total similarity within each pair of tables (here 100 ids: 50 columns each), side by side."""
+    e = t.embeddings.select(F.expr("vec_id div 100").alias("pair"), "vec_id", "embedding", (F.col("vec_id") % 100 < 50).alias("legacy"))
+    return M.assignments(e, "pair", "vec_id", "embedding", "legacy")
 
-    e = t.embeddings.where("vec_id < 100").select("vec_id", "embedding").orderBy("vec_id").collect()
-    x = np.array([r.embedding for r in e])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    h = len(e) // 2
-    pairs = M.assign(x[:h] @ x[h:].T)
-    return t.spark.createDataFrame([(e[i].vec_id, e[h + j].vec_id) for i, j in enumerate(pairs) if j is not None], "legacy long, target long")
 
-
-@query("SELECT sha256('m1|region|' || r_regionkey) AS batch_id, r_regionkey FROM region")
+@query("SELECT sha256('m1|orders|' || (o_orderkey // 500)) AS batch_id, o_orderkey FROM orders")
 def batch_digest(t):
-    return t.region.select(T.batch_id("m1", "region", F.col("r_regionkey")).alias("batch_id"), "r_regionkey")
+    return t.orders.select(T.batch_id("m1", "orders", F.expr("o_orderkey div 500")).alias("batch_id"), "o_orderkey")
 
 
-@query("""
-WITH l AS (SELECT row_number() OVER (ORDER BY r_regionkey) - 1 AS i, unhex(sha256('{"k":' || r_regionkey || ',"n":"' || r_name || '"}')) AS h FROM region),
-a AS (SELECT max(h) FILTER (WHERE i = 0) AS h0, max(h) FILTER (WHERE i = 1) AS h1, max(h) FILTER (WHERE i = 2) AS h2, max(h) FILTER (WHERE i = 3) AS h3, max(h) FILTER (WHERE i = 4) AS h4 FROM l),
-b AS (SELECT unhex(sha256(h0 || h1)) AS x, unhex(sha256(h2 || h3)) AS y, unhex(sha256(h4 || h4)) AS z FROM a),
-c AS (SELECT unhex(sha256(x || y)) AS x, unhex(sha256(z || z)) AS z FROM b)
-SELECT sha256(x || z) AS root FROM c""")
+@query(merkle_sql("""SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS i, '{"k":' || o_orderkey || ',"n":"' || o_orderpriority || '"}' AS c FROM orders""", 20))
 def merkle_root(t):
-    leaves = t.region.select("r_regionkey", H.canonical([("k", "r_regionkey"), ("n", "r_name")]).alias("c"))
-    return H.merkle_root(leaves, "r_regionkey", "c")
+    leaves = t.orders.select("o_orderkey", H.canonical([("k", "o_orderkey"), ("n", "o_orderpriority")]).alias("c"))
+    return H.merkle_root(leaves, "o_orderkey", "c")
 
 
-@query("WITH RECURSIVE l AS (SELECT row_number() OVER (ORDER BY r_regionkey) AS i, r_name FROM region), c AS (SELECT CAST(0 AS BIGINT) AS i, 'GENESIS' AS h UNION ALL SELECT l.i, sha256(c.h || l.r_name) FROM c JOIN l ON l.i = c.i + 1) SELECT h AS head FROM c ORDER BY i DESC LIMIT 1")
+@query("WITH RECURSIVE l AS (SELECT o_custkey AS g, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS i, o_orderpriority AS v FROM orders), c AS (SELECT g, CAST(0 AS BIGINT) AS i, 'GENESIS' AS h FROM (SELECT DISTINCT g FROM l) UNION ALL SELECT l.g, l.i, sha256(c.h || l.v) FROM c JOIN l ON l.g = c.g AND l.i = c.i + 1) SELECT g AS o_custkey, arg_max(h, i) AS head FROM c GROUP BY g")
 def hash_chain(t):
-    return H.chain_head(t.region, [], "r_regionkey", "r_name").select("head")
+    """A chain of receipts for each customer: sequential by nature within one, side by side over them."""
+    return H.chain_head(t.orders.select("o_custkey", "o_orderkey", "o_orderpriority"), ["o_custkey"], "o_orderkey", "o_orderpriority")

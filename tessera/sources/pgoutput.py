@@ -25,18 +25,28 @@ class State:
     seq: int = 0
 
 
+class ParseError(ValueError):
+    """A message that is cut short, of an unknown relation, or not of this protocol."""
+
+
 class _Reader:
     def __init__(self, raw: bytes) -> None:
         self.raw, self.at = raw, 0
 
+    def take(self, n: int) -> bytes:
+        if self.at + n > len(self.raw):
+            raise ParseError(f"message ends at byte {len(self.raw)}, {n} more expected at {self.at}")
+        self.at += n
+        return self.raw[self.at - n : self.at]
+
     def number(self, form: str) -> int:
-        (x,) = struct.unpack_from(">" + form, self.raw, self.at)
-        self.at += struct.calcsize(form)
-        return x
+        return struct.unpack(">" + form, self.take(struct.calcsize(">" + form)))[0]
 
     def text(self) -> str:
-        end = self.raw.index(b"\0", self.at)
-        out = self.raw[self.at : end].decode()
+        end = self.raw.find(b"\0", self.at)
+        if end < 0:
+            raise ParseError("text without an end")
+        out = self.raw[self.at : end].decode("utf-8", "replace")
         self.at = end + 1
         return out
 
@@ -47,13 +57,15 @@ class _Reader:
             if kind == "n":
                 out[name] = None
             elif kind == "t":
-                n = self.number("I")
-                value = self.raw[self.at : self.at + n].decode()
-                self.at += n
+                value = self.take(self.number("I")).decode("utf-8", "replace")
                 try:
                     out[name] = DECODERS[oid](value) if oid in DECODERS else value
                 except ValueError:
                     out[name] = value
+            elif kind == "b":  # the binary form of the value
+                out[name] = self.take(self.number("I")).hex()
+            elif kind != "u":
+                raise ParseError(f"unknown kind of value {kind!r}")
         return out  # an unchanged large value ('u') has no entry
 
 
@@ -73,7 +85,10 @@ def decode(raw: bytes, state: State) -> list[dict]:
             r.number("i")
         state.relations[oid] = Relation(schema, name, [(c, o, k) for c, o, k in columns])
     elif kind in "IUD":
-        rel = state.relations[r.number("I")]
+        oid = r.number("I")
+        if oid not in state.relations:
+            raise ParseError(f"unknown relation {oid}")
+        rel = state.relations[oid]
         before = after = None
         while r.at < len(raw):
             mark = chr(r.number("B"))

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def fresh_events(events: DataFrame) -> DataFrame:
-    """Of a stream (tab, lsn, seq, payload): the events beyond the (lsn, seq) already seen of their table.
+    """Of a stream (tab, lsn, seq, payload, arrival): the events beyond the (lsn, seq) that arrived before of their table.
+
+    A micro-batch of one table is one group, bounded by the source's rate limit.
 
     The state of a table is one pair, so it does not grow with the stream; it lives in the
     query's checkpoint and survives a restart.
@@ -19,19 +22,23 @@ def fresh_events(events: DataFrame) -> DataFrame:
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         top = state.get if state.exists else (-1, -1)
-        for pdf in frames:
-            keep = []
-            for lsn, seq in zip(pdf["lsn"], pdf["seq"], strict=True):
-                keep.append((lsn, seq) > top)
-                top = max(top, (lsn, seq))
-            yield pdf[keep]
-        state.update((int(top[0]), int(top[1])))
+        # a shuffle gives the rows of a micro-batch in any order: they are taken by arrival
+        rows = pd.concat(list(frames)).sort_values("arrival", kind="stable")
+        own = list(zip(rows["lsn"].astype("int64"), rows["seq"].astype("int64"), strict=True))
+        before = list(accumulate(own, max, initial=tuple(top)))
+        state.update((int(before[-1][0]), int(before[-1][1])))
+        yield rows[[x > t for x, t in zip(own, before, strict=False)]][["tab", "lsn", "seq", "payload"]]
+
+    return events.select("tab", "lsn", "seq", "payload", "arrival").groupBy("tab").applyInPandasWithState(step, "tab string, lsn long, seq long, payload string", "lsn long, seq long", "append", GroupStateTimeout.NoTimeout)
 
-    return events.select("tab", "lsn", "seq", "payload").groupBy("tab").applyInPandasWithState(step, "tab string, lsn long, seq long, payload string", "lsn long, seq long", "append", GroupStateTimeout.NoTimeout)
 
+def apply_batches(changes: DataFrame, path: str, key: str, op: str, order: list[str], checkpoint: str, kept: int = 2):
+    """The state after all changes: of each key the last one, unless it is a deletion.
 
-def apply_batches(changes: DataFrame, path: str, key: str, order: list[str], checkpoint: str):
-    """Keeps the last change of each key in Parquet generations under ``path``; a batch that is retried rewrites its own."""
+    Each batch writes the next Parquet generation under ``path``; a batch that is retried rewrites its own, and
+    only the last ``kept`` generations stay.  Deletions stay as rows of the generations, so that a late
+    older change of a deleted key is not applied; read with ``current``.
+    """
 
     def one(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -40,10 +47,19 @@ def apply_batches(changes: DataFrame, path: str, key: str, order: list[str], che
             batch = batch.unionByName(spark.read.parquet(f"{path}/generation={epoch - 1}"), allowMissingColumns=True)
         last = batch.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r")).select(key, "r.*")
         last.write.mode("overwrite").parquet(f"{path}/generation={epoch}")
+        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={epoch - kept}")
+        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
 
     return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def current(spark: SparkSession, path: str, op: str) -> DataFrame:
+    """The rows of the last generation that are not deleted."""
+    rows = spark.read.parquet(path)
+    last = rows.agg(F.max("generation").alias("g"))
+    return rows.join(F.broadcast(last), F.col("generation") == F.col("g")).where(F.col(op) != "D").drop("generation", "g", op)
+
+
 def windowed_counts(events: DataFrame, ts: str, key: str, size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
     """An extension: counts in event-time windows with a watermark."""
     return events.withWatermark(ts, late).groupBy(F.window(ts, size), key).agg(F.count(F.lit(1)).alias("n"))
