@@ -20,6 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import Scratch
 from .textkit import SLICE, texts_of
 
 DIMS = 4096
@@ -42,6 +43,7 @@ def count_matrix(texts: list[str]) -> np.ndarray:
             b = np.frombuffer(raw[at : at + 4 * SLICE + 2], np.uint8).astype(np.uint32)
             two = b[:-1] << np.uint32(8) | b[1:]
             three = two[:-1] << np.uint32(8) | b[2:]
+            two = two[: 4 * SLICE]  # the next slice has the gram at the border
             for gram, salt in ((two[two != 0x2020], 0x9E3779B1), (three, 0x85EBCA6B)):
                 slot = (gram + np.uint32(1)) * np.uint32(salt) >> np.uint32(20)
                 out[row] += np.bincount(slot, minlength=DIMS)[:DIMS]
@@ -119,12 +121,23 @@ class LanguageModel:
         return [self.languages[i] for i in best], np.clip(score, 0.0, 1.0), score < floor
 
 
+def _sample_of(table: pa.Table, sample: int) -> np.ndarray:
+    """Count vectors of the rows of smallest key, as they were packed by ``fit_language_model``."""
+    rows = sorted(zip(*(table.column(c).to_pylist() for c in ("key", "slots", "counts")), strict=True))[:sample]
+    out = np.zeros((len(rows), DIMS), np.uint32)
+    for row, (_, slots, counts) in zip(out, rows, strict=True):
+        row[np.frombuffer(slots, np.uint16)] = np.frombuffer(counts, np.uint32)
+    return out
+
+
 def fit_language_model(labelled: DataFrame, text_col: str, lang_col: str, key: Column, *, sample: int = 1000, centroids: int = 3, slack: float = 0.5) -> LanguageModel:
     """``labelled``: rows to learn from; ``key`` picks the sample and is no feature.
 
-    About ``sample`` rows of each language, those of the smallest key hashes, are taken as
-    count vectors.  A text's floor is ``slack`` times the hundredth of the cosines that texts of
-    the language have at its length.
+    The ``sample`` rows of each language that have the smallest key hashes, of a share of rows that holds
+    1.3 times as many, are taken as count vectors; equal keys go by their counts.  Each language is clustered in a task of its own; only
+    document frequencies, centroids and floors reach the driver.  A text's floor is ``slack`` times the
+    hundredth of the cosines that texts of the language have at its length.  Rows without text, language or
+    any letter are left out; repeated rows count each; no rows at all give a model that rejects everything.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"), F.xxhash64(key).alias("key"))
     rows = rows.where(F.col("text").rlike(r"\p{L}"))
@@ -136,39 +149,51 @@ def fit_language_model(labelled: DataFrame, text_col: str, lang_col: str, key: C
 
     def vectors(batches):
         for batch in batches:
-            texts, n = texts_of(batch, 1), batch.num_rows
-            raw = [np.minimum(count_matrix([t])[0], 65535).astype(np.uint16).tobytes() for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(raw, pa.binary()), batch.column(2)], ["lang", "counts", "key"]) if n else batch
-
-    got = sorted(rows.select("lang", "text", "key").mapInArrow(vectors, "lang string, counts binary, key long").collect(), key=lambda r: (r.lang, r.key, r.counts))
-    by: dict[str, list[np.ndarray]] = {}
-    for r in got:
-        if len(own := by.setdefault(r.lang, [])) < sample:
-            own.append(np.frombuffer(r.counts, np.uint16))
-    raw = {lang: np.array(x) for lang, x in by.items()}
-    counts = {lang: np.log1p(x.astype(np.float32)) for lang, x in raw.items()}
-    df = sum((x > 0).sum(0) for x in counts.values())
-    n = sum(map(len, counts.values()))
+            slots, counts = [], []
+            for t in texts_of(batch, 1):
+                row = count_matrix([t])[0]
+                some = np.flatnonzero(row)
+                slots.append(some.astype(np.uint16).tobytes())
+                counts.append(np.minimum(row[some], 0xFFFF_FFFF).astype(np.uint32).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(slots, pa.binary()), pa.array(counts, pa.binary())], ["lang", "key", "slots", "counts"])
+
+    def frequencies(table: pa.Table) -> pa.Table:
+        x = _sample_of(table, sample)
+        return pa.table({"n": pa.array([len(x)], pa.int64()), "df": pa.array([(x > 0).sum(0).astype(np.int64).tobytes()], pa.binary())})
+
+    scratch = Scratch(labelled.sparkSession, "langid")
+    taken = scratch.put(rows.select("lang", "text", "key").mapInArrow(vectors, "lang string, key long, slots binary, counts binary"), "sample")
+    df, n = np.zeros(DIMS, np.int64), 0
+    for r in taken.groupBy("lang").applyInArrow(frequencies, "n long, df binary").collect():
+        df, n = df + np.frombuffer(r.df, np.int64), n + r.n
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
+
+    def cluster(table: pa.Table) -> pa.Table:
+        raw = _sample_of(table, sample)
+        c = spherical_kmeans(unit(np.log1p(raw.astype(np.float32)) * idf), centroids)
+        floors = length_floors(raw, idf, c, slack)
+        return pa.table({"lang": [table.column("lang")[0].as_py()], "places": pa.array([c.astype(np.float32).tobytes()], pa.binary()), "floors": pa.array([floors.astype(np.float64).tobytes()], pa.binary())}, pa.schema([("lang", pa.string()), ("places", pa.binary()), ("floors", pa.binary())]))
+
     names, places, floors = [], [], []
-    for lang, x in sorted(counts.items()):
-        v = unit(x * idf)
-        c = spherical_kmeans(v, centroids)
-        names += [lang] * len(c)
-        places.extend(c)
-        floors += [length_floors(raw[lang], idf, c, slack)] * len(c)
-    return LanguageModel(names, np.array(places, np.float32), np.array(floors), idf)
+    for r in sorted(taken.groupBy("lang").applyInArrow(cluster, "lang string, places binary, floors binary").collect()):
+        c = np.frombuffer(r.places, np.float32).reshape(-1, DIMS)
+        names += [r.lang] * len(c)
+        places.append(c)
+        floors += [np.frombuffer(r.floors, np.float64)] * len(c)
+    scratch.drop("sample")
+    return LanguageModel(names, np.concatenate(places), np.array(floors), idf)
 
 
-def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """Adds ``lang_pred``, ``score`` and ``rejected`` to the rows, replacing columns of those names.
+def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text", names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """Adds a language, a score and whether it is rejected to the rows, replacing columns of those ``names``.
 
     A text that is null or has no letter gets ``und``, score 0, and is rejected.  A text is
-    scored whole, whatever its length; equal texts get equal results.
+    scored whole, whatever its length; equal texts get equal results; of centroids equally near the first
+    counts, in the order of the languages' names.  An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    mine = {"lang_pred", "score", "rejected"}
-    keep = [c for c in docs.columns if c not in mine]
+    mine = {n.lower() for n in names}
+    keep = [c for c in docs.columns if c.lower() not in mine]
     at = keep.index(text_col)
     fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
 
@@ -179,10 +204,10 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
             some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
             for a in range(0, len(some), 256):
                 part = some[a : a + 256]
-                names, s, r = shared.value.predict([texts[i] for i in part])
-                for i, name in zip(part, names, strict=True):
+                best, s, r = shared.value.predict([texts[i] for i in part])
+                for i, name in zip(part, best, strict=True):
                     lang[i] = name
                 score[part], rejected[part] = s, r
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score), pa.array(rejected)], [*keep, "lang_pred", "score", "rejected"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lang), pa.array(score), pa.array(rejected)], [*keep, *names])
 
-    return docs.select(*keep).mapInArrow(predict, f"{fields}, lang_pred string, score double, rejected boolean")
+    return docs.select(*keep).mapInArrow(predict, f"{fields}, {names[0]} string, {names[1]} double, {names[2]} boolean")
