@@ -26,48 +26,97 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def merged(raw: bytes, ranks: dict[bytes, int], down_to: int = 1) -> list[bytes]:
+    """The encoding by its definition: the adjacent pair of lowest rank is joined until none has a rank or ``down_to`` parts are left."""
+    parts = [raw[i : i + 1] for i in range(len(raw))]
+    while len(parts) > down_to:
+        rank, at = min((ranks.get(parts[i] + parts[i + 1], sys.maxsize), i) for i in range(len(parts) - 1))
+        if rank == sys.maxsize:
+            break
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return parts
+
+
+def last_merges(ranks: dict[bytes, int]) -> np.ndarray:
+    """For each id, the two tokens that are joined last in its own encoding; for a single byte, -1 twice."""
+    out = np.full((max(ranks.values()) + 1, 2), -1, np.int32)
+    for raw, i in ranks.items():
+        if len(raw) > 1:
+            parts = merged(raw, ranks, 2)
+            if len(parts) > 2:
+                raise ValueError(f"token {i} does not encode as itself")
+            out[i] = [ranks[p] for p in parts]
+    return out
+
+
 class PrefixBpe:
     """Encoder and decoder of a rank table whose single bytes are all tokens."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str, merges: np.ndarray | None = None) -> None:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens: list[bytes] = [b""] * (max(ranks.values()) + 1)
         for raw, i in ranks.items():
             self.tokens[i] = raw
+        if missing := [i for i in range(256) if bytes([i]) not in ranks]:
+            raise ValueError(f"no token for the byte {missing[0]}")
         self.longest = max(map(len, ranks))
-        self._pair: dict[tuple[int, int], bool] = {}
+        first, second = (last_merges(ranks) if merges is None else merges).T.tolist()
+        self.first, self.second = first, second
+        #: Tokens, and what tokens begin with (-1).
+        self._begins = {raw[:n]: -1 for raw in ranks for n in range(1, len(raw))} | ranks
+        self._pair: dict[int, bool] = {}
         self._known: dict[str, bytes] = {}
 
     def merged(self, raw: bytes) -> list[int]:
-        """The encoding by its definition: the adjacent pair of lowest rank is joined until none has a rank."""
-        parts = [raw[i : i + 1] for i in range(len(raw))]
-        while len(parts) > 1:
-            rank, at = min((self.ranks.get(parts[i] + parts[i + 1], sys.maxsize), i) for i in range(len(parts) - 1))
-            if rank == sys.maxsize:
-                break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
+        return [self.ranks[p] for p in merged(raw, self.ranks)]
 
     def follows(self, s: int, t: int) -> bool:
-        """Whether the bytes of two tokens encode as these two."""
-        ok = self._pair.get((s, t))
-        if ok is None:
-            if len(self._pair) > 2_000_000:
-                self._pair.clear()
-            ok = self._pair[s, t] = self.merged(self.tokens[s] + self.tokens[t]) == [s, t]
-        return ok
+        """Whether the bytes of two tokens encode as these two.
+
+        Goes back through the merges beside the border, the latest first: wherever the two tokens that touch
+        there would join before either is used up by its own next merge, they do not.
+        Of merges of one rank, the left comes first.
+        """
+        tokens, ranks, first, second = self.tokens, self.ranks, self.first, self.second
+        left = right = sys.maxsize
+        while True:
+            joint = ranks.get(tokens[s] + tokens[t])
+            if joint is not None and joint < left and joint <= right:
+                return False
+            if second[s] >= 0 and (s > t or first[t] < 0):
+                left, s = s, second[s]
+            elif first[t] >= 0:
+                right, t = t, first[t]
+            else:
+                return True
 
     def table(self, raw: bytes, last: list[int] | None = None, start: int = 0) -> list[int]:
         """The last token of each prefix 1..len(raw); the first ``start`` entries are taken from ``last``."""
-        last = list(last[:start]) if last else []
-        ranks, longest = self.ranks, self.longest
-        for end in range(len(last) + 1, len(raw) + 1):
-            for at in range(max(0, end - longest), end):
-                t = ranks.get(raw[at:end])
-                if t is not None and (not at or self.follows(last[at - 1], t)):
-                    last.append(t)
+        n = len(raw)
+        have = min(start, len(last)) if last else 0
+        ends = [-1] + (last[:have] if last else []) + [-1] * (n - have)
+        begins, pair = self._begins, self._pair
+        for at in range(max(0, have - self.longest), n):
+            before = ends[at]
+            for end in range(at + 1, n + 1):
+                t = begins.get(raw[at:end])
+                if t is None:
                     break
-        return last
+                if t < 0 or ends[end] >= 0:
+                    continue
+                if at:
+                    key = before << 32 | t
+                    ok = pair.get(key)
+                    if ok is None:
+                        if len(pair) > 2_000_000:
+                            pair.clear()
+                        ok = pair[key] = self.follows(before, t)
+                    if not ok:
+                        continue
+                ends[end] = t
+        if n and min(ends[1:]) < 0:
+            raise ValueError("a prefix has no last token")
+        return ends[1:]
 
     def walk(self, last: list[int]) -> list[int]:
         out, end = [], len(last)
@@ -122,12 +171,14 @@ _loaded: dict[tuple, PrefixBpe] = {}
 def encode_decode(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Returns (id_col, n_tokens, ids binary, decoded binary), one row per input row.
 
-    The rank file's bytes go to the tasks with the job (its size is fixed), so executors need
+    The rank table goes to the tasks with the job (its size is fixed), so executors need
     no file.  A null text is empty.  Texts are encoded whole; a piece of any length takes time
-    linear in it.  Other columns are not read.
+    linear in it.  Repeated rows each keep theirs, an empty table gives an empty result, and other
+    columns are not read.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((load_ranks(ranks_path), pattern))
+    ranks = load_ranks(ranks_path)
+    shared = spark.sparkContext.broadcast((ranks, pattern, last_merges(ranks)))
 
     def run(batches):
         key = ("bpe", len(shared.value[0]), hash(pattern))
