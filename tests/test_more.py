@@ -262,3 +262,50 @@ def test_sampled_share(spark):
     df = spark.range(20_000)
     n = cdc.sampled(df, "id", 0.01).count()
     assert 120 < n < 300 and cdc.sampled(df, "id", 0.01).count() == n
+
+
+TRANSFORMERS = [
+    ("string", ["  Ab c ", "x", "", "a-b-c", "12", "-7", "été", "a,b"], [
+        "return v.strip().title().removeprefix('A')", "return v.zfill(5) + v.ljust(4, '.') + v.rjust(4) + v.center(7, '*')", "return v.find('b') + v.rfind('-') + len(v) + v.count('-')",
+        "return '|'.join(v.split('-')) + str(len(v.split()))", "return v[::-1] + v[1:3] + v[-2:] if v else None", "return v[0] if v else 'none'",
+        "xs = [c.upper() for c in v if c.isalpha()]\n    xs.append('!')\n    return ''.join(xs)", "return ''.join(sorted(set(v)))", "return any(c.isdigit() for c in v) and not all(c == 'x' for c in v)",
+        "return v or 'empty'", "return v and v.lower()", "return 'a' in v or v in ['x', '12']", "return f'{v:>6}|{v!s}|{len(v):03d}'", "return '{} and {:>4}'.format(v, len(v))",
+        "import_ = v.isdigit()\n    n: int = int(v) if import_ else 0\n    n += 2\n    return n * 3 - 1", "return v.translate(str.maketrans('abc', 'xyz'))", "return v.encode('utf-8').decode('utf-8') * 2",
+        "import_ = re.match(r'(\\w+)-(\\w+)', v)\n    return import_.group(2) if import_ is not None else 'no'", "return re.sub(r'(\\w)-(\\w)', r'\\2+\\1', v, flags=re.I)", "return ''.join(re.findall(r'[a-z]', v))", "return len(re.split(r'[-,]', v))", "return bool(re.fullmatch(r'-?\\d+', v)) if v else False", "return re.search('b', v) is None",
+        "return sum(i for i, c in enumerate(v) if c == '-')", "return ''.join(a + b for a, b in zip(v, v[1:]))", "return ''.join(map(lambda c: c + c, filter(lambda c: c != '-', v)))", "return max(v) if v else min(['q', 'p'])",
+        "d = {'x': 1, 'a,b': 2}\n    d.update({'y': 3})\n    return d.get(v, 0) + len(d.keys()) + sum(d.values())", "return json.dumps(v)", "return isinstance(v, str)", "if v == 'x':\n        return 'is x'\n    elif v.startswith('a'):\n        return 'starts'\n    return v.upper()",
+    ]),
+    ("number", [0, 1, -7, 255, 3], ["return hex(v) + oct(v) + bin(v)", "return divmod(v, 3)[0] * 100 + divmod(v, 3)[1]", "return -2 <= v < 200", "return f'{v:05d}|{v:,}|{v:>8}'", "return sum(range(3)) + pow(v, 2)", "return (v + 10) // 3 % 4 + (v << 2) + (v >> 1)", "return max(v, 2) - min(v, 5, 1) + abs(v)", "return [x * v for x in range(4) if x % 2][-1]", "return str(Decimal(v) + Decimal('0.5'))[:3] if v > 0 else None", "return v if v else 'zero'.upper()[:0] or None"]),
+    ("string", ["2024-02-28T10:20:30", "1999-12-31T00:00:00.500000"], ["return datetime.fromisoformat(v).isoformat()", "return (datetime.fromisoformat(v) + timedelta(days=2, hours=1)).strftime('%d/%m/%Y %H:%M:%S at')", "return datetime.fromisoformat(v).weekday() * 1000 + datetime.fromisoformat(v).year", "return date.fromisoformat(v[:10]).isoformat() + str(date.fromisoformat(v[:10]).replace(day=1))", "return (datetime.fromisoformat(v) - datetime(1999, 1, 1)).total_seconds()", "return datetime.strptime(v[:10], '%Y-%m-%d').date().isoweekday()", "return datetime.fromisoformat(v).replace(hour=5).isoformat()"]),
+    ("string", ["1.005", "-2.345", "7", "0.125"], ["return str(Decimal(v).quantize(Decimal('0.01'), ROUND_HALF_UP))", "return str(Decimal(v).quantize(Decimal('0.01')))", "return str(Decimal(v).quantize(Decimal('0.1'), rounding=ROUND_DOWN))", "return str(Decimal(v).quantize(Decimal('0.1'), rounding=ROUND_UP))", "return Decimal(v).compare(Decimal('1'))", "return f'{float(v):.2f}|{float(v):>9.1f}'" if False else "return f'{float(v) * 4:.1f}'"]),
+]
+
+
+def test_transformers_equal_python(spark):
+    """Each transformer, compiled and as Python runs it."""
+    import datetime as d
+    import decimal
+    import json
+    import re
+
+    scope = {"re": re, "json": json, "Decimal": decimal.Decimal, "datetime": d.datetime, "date": d.date, "timedelta": d.timedelta, **{m: getattr(decimal, m) for m in ("ROUND_HALF_UP", "ROUND_DOWN", "ROUND_UP")}}
+    for kind, values, bodies in TRANSFORMERS:
+        df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v " + ("string" if kind == "string" else "long"))
+        sources = [f"def transform(v):\n    {b}" for b in bodies]
+        got = df.select("i", *[transform.compile_transformer(s, F.col("v"), kind).cast("string").alias(f"x{k}") for k, s in enumerate(sources)]).orderBy("i").collect()
+        for k, s in enumerate(sources):
+            own = dict(scope)
+            exec(s, own)  # the test's own sources
+            for r, v in zip(got, values, strict=True):
+                want = own["transform"](v)
+                x = r[f"x{k}"]
+                if isinstance(want, bool):
+                    want = str(want).lower()
+                same = x == want if want is None or isinstance(want, str) else x is not None and abs(float(x) - float(want)) < 1e-9
+                assert same, (s, v, x, want)
+
+
+def test_transformers_refuse():
+    for body in ("return open('x')", "return v.__class__", "import os", "return eval(v)", "while True: pass", "return [x for x in v for y in v]", "return f'{v:{v}}'", "return re.sub(v, '', v)", "return json.dumps([v])", "return sorted(v, key=len)", "return lambda x: x", "return v.format_map({})", "return unknown"):
+        with pytest.raises(transform.SecurityViolation):
+            transform.compile_transformer(f"def transform(v):\n    {body}", F.lit("x"), "string")
