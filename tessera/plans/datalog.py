@@ -119,10 +119,19 @@ class _Parser:
         self.take(")")
         return Atom(name, tuple(args), negated)
 
+    def operand(self):
+        """A term, or an expression in parentheses (a tuple)."""
+        if self.peek() != ("o", "("):
+            return self.term()
+        self.take()
+        inner = self.operands()
+        self.take(")")
+        return inner[0] if len(inner) == 1 else inner
+
     def operands(self) -> tuple:
-        out = [self.term()]
+        out = [self.operand()]
         while self.peek()[1] in ("+", "-", "*", "/", "%"):
-            out += [self.take(), self.term()]
+            out += [self.take(), self.operand()]
         return tuple(out)
 
     def rule(self) -> Rule:
@@ -199,14 +208,23 @@ def _operate(a: Column, op: str, b: Column) -> Column:
 def _expression(side: tuple, have: set[Var]) -> Column | None:
     cols = []
     for x in side[::2]:
+        if isinstance(x, tuple):
+            if (inner := _expression(x, have)) is None:
+                return None
+            cols.append(inner)
+            continue
         if isinstance(x, Var) and x not in have:
             return None
         cols.append(F.col(f"`{x.name}`") if isinstance(x, Var) else F.lit(x))
     return reduce(lambda acc, pair: _operate(acc, *pair), zip(side[1::2], cols[1:], strict=True), cols[0])
 
 
+#: Time for a program unless another is given.  On a cluster a fixpoint takes jobs, not microseconds: pass what the data need.
+BUDGET_MS = 600_000
+
+
 class Engine:
-    def __init__(self, spark: SparkSession, edb: dict[str, DataFrame], timeout_ms: int = 10_000_000) -> None:
+    def __init__(self, spark: SparkSession, edb: dict[str, DataFrame], timeout_ms: int = BUDGET_MS) -> None:
         self.spark, self.relations = spark, {k: self._columns(v) for k, v in edb.items()}
         self.end = time.monotonic() + timeout_ms / 1000
 
@@ -338,6 +356,6 @@ class Engine:
             self.relations[name] = reduce(lambda a, b: a.union(b), parts).distinct() if len(parts) > 1 else parts[0]
 
 
-def evaluate(spark: SparkSession, program: str, edb: dict[str, DataFrame], target: str, timeout_ms: int = 10_000_000) -> DataFrame | None:
+def evaluate(spark: SparkSession, program: str, edb: dict[str, DataFrame], target: str, timeout_ms: int = BUDGET_MS) -> DataFrame | None:
     """The tuples of a predicate as a DataFrame; None if nothing defines it."""
     return Engine(spark, edb, timeout_ms).run(parse(program), target)

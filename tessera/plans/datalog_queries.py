@@ -66,3 +66,9 @@ def datalog_arith(t):
 @query("SELECT n_name AS nation FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'ASIA'")
 def datalog_constants(t):
     return _run(t, 'target(N) :- nation(K, N, G), region(G, "ASIA").', ["nation"])
+
+
+@query("SELECT n_nationkey AS k, CAST(n_regionkey + 1 * (n_nationkey - (2 + 3)) AS BIGINT) AS y FROM nation WHERE (n_nationkey + 1) % 2 = 0")
+def datalog_parentheses(t):
+    # operators have no precedence, so the product is put in parentheses
+    return _run(t, "target(K, Y) :- nation(K, N, G), Y == G + (1 * (K - (2 + 3))), (K + 1) % 2 == 0.", ["k", "y"]).select("k", F.col("y").cast("long").alias("y"))
