@@ -1,13 +1,14 @@
 """Near-duplicate groups and nearest neighbours of embeddings.
 
-``embedding_dedup``: spherical k-means gives cells; a vector is compared with the members
-of its own cell and with those vectors of other cells that could be close enough: with
-unit centroids c and e, all of a vector x's partners have c as nearest centroid only if
-x is within ``sqrt(2 - 2 t)`` of the half-space where c is at least as near as e.  Cells are
-cut into blocks, and products are computed for pairs of blocks.
-
-``vp_search``: vantage-point trees for each shard, searched for blocks of queries.  Largest
-inner product is nearest distance after one more coordinate makes all rows equally long.
+``embedding_dedup``: spherical k-means gives cells.  A vector lives in the cell of its nearest
+centroid and also visits the cells whose centroid is nearly as near.  How nearly is measured:
+pairs of exactly the threshold's cosine are drawn around sampled vectors, and the margin is set so
+that a share ``recall`` of them meet in a cell; pairs of larger cosine meet more often.  Cells are
+packed in blocks, and products are computed for pairs of blocks.
+
+``vp_search``: vantage-point trees for each shard, searched for blocks of queries.  Shards hold
+vectors of like length.  In a shard, largest inner product is nearest distance after scaling and
+one more coordinate that makes all rows equally long.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .components import connected_components
-from .langid import spherical_kmeans, unit
+from .langid import spherical_kmeans
 from .scratch import Scratch
 
-#: Vectors used to fit centroids, vectors of a cell on average, of a block, of a shard, queries of a block.
-SAMPLE, CELL, BLOCK, SHARD, QUERIES = 8192, 2048, 2048, 8192, 512
+#: Vectors used to fit centroids, vectors of a cell on average, of a block, of a shard, queries of a block,
+#: vectors whose products give each query a first bound, and cells at most (more vectors make larger cells).
+SAMPLE, CELL, BLOCK, SHARD, QUERIES, FIRST, CELLS = 8192, 2048, 2048, 8192, 4096, 2048, 4096
 
 
 def usable(vec: Column) -> Column:
@@ -35,78 +37,146 @@ def usable(vec: Column) -> Column:
     return F.coalesce(vec.isNotNull() & good & F.exists(vec, lambda x: x != 0), F.lit(False))
 
 
-def _matrix(column) -> np.ndarray:
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one, for components of any size."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def _matrix(column, kind=np.float64) -> np.ndarray:
     flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     n = len(flat)
-    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1) if n else np.zeros((0, 0))
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(n, -1) if n else np.zeros((0, 0), kind)
+
+
+def _typed(rows: DataFrame, vec_col: str) -> tuple[Column, type]:
+    """The vectors as floats if they are, else as doubles; -0.0 and 0.0 are one value."""
+    kind = "float" if rows.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    vec = F.transform(F.col(vec_col).cast(f"array<{kind}>"), lambda x: x + F.lit(0.0).cast(kind))
+    return vec, np.float32 if kind == "float" else np.float64
 
 
-def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, threshold: float = 0.9) -> DataFrame:
+def margin_of(x: np.ndarray, centroids: np.ndarray, threshold: float, recall: float, seed: int = 11) -> float:
+    """The lead of the own cell up to which another is visited, so that a share ``recall`` of pairs at the threshold meet.
+
+    ``x``: unit rows.  A pair meets if one of it visits the other's cell.
+    """
+    rng = np.random.default_rng(seed)
+    z = rng.normal(size=x.shape)
+    z = unit(z - (z * x).sum(axis=1, keepdims=True) * x + 1e-300)
+    y = threshold * x + math.sqrt(max(0.0, 1 - threshold * threshold)) * z
+    a, b, at = x @ centroids.T, y @ centroids.T, np.arange(len(x))
+    lead = np.minimum(a.max(axis=1) - a[at, b.argmax(axis=1)], b.max(axis=1) - b[at, a.argmax(axis=1)])
+    return float(np.quantile(lead, recall)) + 1e-9
+
+
+def _fit_cells(distinct: DataFrame, threshold: float, recall: float, kind: type) -> dict[int, tuple[np.ndarray, float]]:
+    """Centroids and margin for each vector length that has more than one cell's worth of vectors."""
+    fitted = {}
+    for r in distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).where(f"n > {CELL}").collect():
+        k = min(CELLS, -(-r.n // CELL))
+        some = distinct.where(F.col("dim") == r.dim).orderBy(F.xxhash64("k1"), "id").select("vec").limit(max(SAMPLE, 4 * k)).collect()
+        x = unit(np.array([s.vec for s in some], np.float64))
+        c = spherical_kmeans(x, k)
+        fitted[r.dim] = (c, margin_of(x, c, threshold, recall))
+    return fitted
+
+
+def _cells_of(x: np.ndarray, fit) -> tuple[np.ndarray, np.ndarray]:
+    """The own cell of unit rows, and for each row and cell whether the row lives in it or visits it."""
+    if fit is None:
+        return np.zeros(len(x), np.int64), np.ones((len(x), 1), bool)
+    dots = x @ fit[0].T
+    home = dots.argmax(axis=1)
+    return home, dots[np.arange(len(x)), home][:, None] - dots <= fit[1]
+
+
+def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", *, threshold: float = 0.9, recall: float = 0.995) -> DataFrame:
     """Returns (id_col, n_links, component_id, kept), one row per input row.
 
-    ``n_links`` counts the other rows of cosine at least ``threshold``, repeated rows included.
-    Unusable vectors (see ``usable``) link with nothing, nor do vectors of different lengths.
-    Links are whole: the cells only skip pairs that cannot reach the threshold.
+    ``n_links`` counts the other rows found of cosine at least ``threshold``, repeated rows included;
+    no pair below it links.  Pairs of equal vectors are never missed; of others a share ``recall`` or more
+    is expected to be found.  Unusable vectors (see ``usable``) link with nothing, nor do vectors of
+    different lengths.  Rows that repeat an id each keep their row and count for each other.  An empty table
+    gives an empty result; other columns are not read.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "vectors")
-    own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    # -0.0 and 0.0 are one value here
-    good = own.where(usable(F.col("vec"))).select("id", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec"))
-    good = good.select("id", "vec", F.xxhash64("vec").alias("k1"), F.hash("vec").alias("k2"))
+    vec, kind = _typed(rows, vec_col)
+    own = rows.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"))
+    good = own.where(usable(F.col("vec"))).select("id", "vec", F.xxhash64("vec").alias("k1"), F.hash("vec").alias("k2"))
     distinct = scratch.put(good.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies"), F.first("vec").alias("vec")).select("id", "copies", "vec", F.size("vec").alias("dim"), "k1", "k2"), "distinct")
-    dims = {r.dim: r.n for r in distinct.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).collect()}
-    centroids = {}
-    for dim, n in dims.items():
-        k = min(1024, -(-n // CELL))
-        some = distinct.where(F.col("dim") == dim).select("vec", "id").orderBy(F.xxhash64("k1"), "id").limit(SAMPLE if k > 1 else 1).collect()
-        centroids[dim] = spherical_kmeans(unit(np.array([r.vec for r in some])), k)
-    shared = spark.sparkContext.broadcast(centroids)
-    reach = math.sqrt(max(0.0, 2 - 2 * threshold)) + 1e-9
+    fitted = _fit_cells(distinct, threshold, recall, kind)
+    shared = spark.sparkContext.broadcast(fitted)
 
     def assign(batches):
         for batch in batches:
             dim = np.array(batch.column(3).to_pylist())
             for d in np.unique(dim):
                 part = batch.filter(pa.array(dim == d))
-                x, c = unit(_matrix(part.column(2))), shared.value[int(d)]
-                dots = x @ c.T
-                home = np.argmax(dots, axis=1)
-                lead = dots[np.arange(len(x)), home][:, None] - dots
-                apart = np.linalg.norm(c[home][:, None, :] - c[None, :, :], axis=2) if len(c) * len(x) * int(d) < 1 << 24 else np.sqrt(np.maximum(0, 2 - 2 * (c @ c.T)))[home]
-                at, cell = np.nonzero(lead <= reach * apart + 1e-9)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home[at] == cell), part.column(0).take(pa.array(at)), part.column(1).take(pa.array(at)), pa.array([r.tobytes() for r in x[at]], pa.binary())], ["dim", "cell", "home", "id", "copies", "unit"])
-
-    members = distinct.select("id", "copies", "vec", "dim").mapInArrow(assign, "dim int, cell int, home boolean, id long, copies long, unit binary")
+                raw = _matrix(part.column(2), kind)
+                home, near = _cells_of(unit(raw.astype(np.float64)), shared.value.get(int(d)))
+                at, cell = np.nonzero(near)
+                take = pa.array(at)
+                cols = [pa.array(np.full(len(at), d, np.int32)), pa.array(cell.astype(np.int32)), pa.array(home[at] == cell)]
+                cols += [part.column(i).take(take) for i in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*cols, pa.array([raw[i].tobytes() for i in at], pa.binary())], ["dim", "cell", "home", "id", "copies", "raw"])
+
+    members = distinct.select("id", "copies", "vec", "dim").mapInArrow(assign, "dim int, cell int, home boolean, id long, copies long, raw binary")
     members = scratch.put(members, "members")
-    sizes = members.groupBy("dim", "cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    # a row for each cell, of which there are at most 1024 for each vector length
-    members = members.join(F.broadcast(sizes), ["dim", "cell"]).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.sequence(F.lit(0), F.col("blocks") - 1)
-    left = members.where("home").withColumn("i", F.col("b")).withColumn("j", F.explode(every)).withColumn("side", F.lit(True))
-    right = members.withColumn("j", F.col("b")).withColumn("i", F.explode(every)).withColumn("side", F.lit(False))
-    units = left.select("dim", "cell", "i", "j", "side", "id", "copies", "unit").unionByName(right.select("dim", "cell", "i", "j", "side", "id", "copies", "unit"))
-
-    def products(table: pa.Table) -> pa.Table:
-        side = table.column("side").to_numpy(zero_copy_only=False).astype(bool)
-        ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
-        x = np.frombuffer(b"".join(table.column("unit").to_pylist()), np.float64).reshape(len(ids), -1)
-        a, b = ids[side], ids[~side]
-        near = x[side] @ x[~side].T >= threshold
-        near &= a[:, None] != b[None, :]
-        count = near @ copies[~side]
-        la, lb = a.copy(), b.copy()
-        while near.any():  # the smallest id reachable within this pair of blocks
-            na = np.minimum(la, np.where(near, lb[None, :], np.iinfo(np.int64).max).min(axis=1))
-            nb = np.minimum(lb, np.where(near, na[:, None], np.iinfo(np.int64).max).min(axis=0))
-            if (na == la).all() and (nb == lb).all():
-                break
-            la, lb = na, nb
-        out_id, out_n, out_v = np.concatenate([a, b]), np.concatenate([count, np.zeros(len(b), np.int64)]), np.concatenate([la, lb])
-        keep = (out_n > 0) | (out_id != out_v)
-        return pa.table({"id": out_id[keep], "n": out_n[keep], "v": out_v[keep]}, pa.schema([("id", pa.int64()), ("n", pa.int64()), ("v", pa.int64())]))
-
-    found = scratch.put(units.groupBy("dim", "cell", "i", "j").applyInArrow(products, "id long, n long, v long"), "found")
+    sizes = members.groupBy("dim", "cell", "home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    # two rows for each cell, whose number is bounded
+    members = members.join(F.broadcast(sizes), ["dim", "cell", "home"]).withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+
+    def pack(table: pa.Table) -> pa.Table:
+        one = {c: [table.column(c)[0].as_py()] for c in ("dim", "cell", "home", "b")}
+        data = pickle.dumps((table.column("id").to_numpy(), table.column("copies").to_numpy(), b"".join(table.column("raw").to_pylist())))
+        return pa.table([pa.array(one["dim"], pa.int32()), pa.array(one["cell"], pa.int32()), pa.array(one["home"]), pa.array(one["b"], pa.int32()), pa.array([data], pa.binary())], ["dim", "cell", "home", "b", "data"])
+
+    blocks = scratch.put(members.groupBy("dim", "cell", "home", "b").applyInArrow(pack, "dim int, cell int, home boolean, b int, data binary"), "blocks")
+    homes = F.broadcast(sizes.where("home").select("dim", "cell", F.col("blocks").alias("homes")))
+    other = F.broadcast(sizes.where("not home").select("dim", "cell", F.col("blocks").alias("visits")))
+    spread = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    # a block of the cell's own vectors meets the later ones and those of the visitors; dealt by pair
+    left = blocks.where("home").join(homes, ["dim", "cell"]).join(other, ["dim", "cell"], "left").withColumn("visits", F.coalesce("visits", F.lit(0)))
+    later = left.select("dim", "cell", F.col("b").alias("i"), F.explode(F.sequence(F.col("b"), F.col("homes") - 1)).alias("j"), F.lit(True).alias("home"), F.col("data").alias("x"))
+    guests = left.where("visits > 0").select("dim", "cell", F.col("b").alias("i"), spread(F.col("visits")).alias("j"), F.lit(False).alias("home"), F.col("data").alias("x"))
+    right = blocks.join(homes, ["dim", "cell"]).select("dim", "cell", F.explode(F.when(F.col("home"), F.sequence(F.lit(0), F.col("b"))).otherwise(F.sequence(F.lit(0), F.col("homes") - 1))).alias("i"), F.col("b").alias("j"), "home", F.col("data").alias("y"))
+    units = later.unionByName(guests).join(right, ["dim", "cell", "i", "j", "home"]).select("dim", "cell", (F.col("home") & (F.col("i") == F.col("j"))).alias("same"), "home", "x", "y")
+
+    def read(raw):
+        ids, copies, data = pickle.loads(raw)
+        return ids, copies, unit(np.frombuffer(data, kind).reshape(len(ids), -1).astype(np.float64))
+
+    def products(batches):
+        for batch in batches:
+            for dim, cell, same, home, x_, y_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                (a, na, x), (b, nb, y) = read(x_), read(y_)
+                near = x @ y.T >= threshold
+                if same:
+                    np.fill_diagonal(near, False)
+                elif not home and near.any():
+                    # a pair that also meets in the visitor's own cell counts where the number is smaller
+                    fit = shared.value.get(dim)
+                    theirs = _cells_of(y, fit)[0]
+                    i, j = np.nonzero(near)
+                    dots = x @ fit[0].T
+                    both = dots[i].max(axis=1) - dots[i, theirs[j]] <= fit[1]
+                    near[i, j] = ~both | (cell < theirs[j])
+                if not near.any():
+                    continue
+                la, lb = a.copy(), b.copy()
+                while True:  # the smallest id reachable within this pair of blocks
+                    ma = np.minimum(la, np.where(near, lb[None, :], np.iinfo(np.int64).max).min(axis=1))
+                    mb = np.minimum(lb, np.where(near, ma[:, None], np.iinfo(np.int64).max).min(axis=0))
+                    if (ma == la).all() and (mb == lb).all():
+                        break
+                    la, lb = ma, mb
+                ids, n, v = np.concatenate([a, b]), np.concatenate([near @ nb, (na @ near) * (not same)]), np.concatenate([la, lb])
+                keep = (n > 0) | (ids != v)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(n[keep].astype(np.int64)), pa.array(v[keep])], ["id", "n", "v"])
+
+    found = scratch.put(units.mapInArrow(products, "id long, n long, v long"), "found")
     comps = connected_components(found.select(F.col("id").alias("u"), "v"), scratch, "cc")
     count = found.groupBy("id").agg(F.sum("n").alias("n"))
     each = distinct.select("id", "copies", "k1", "k2").join(count, "id", "left").join(comps.withColumnRenamed("node", "id"), "id", "left")
@@ -117,7 +187,7 @@ def embedding_dedup(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "emb
 
 
 class VpTree:
-    """A vantage-point tree of the rows of a matrix; leaves hold up to ``leaf`` rows."""
+    """A vantage-point tree of the rows of a matrix; leaves hold up to ``leaf`` rows, more only if they are equally far."""
 
     def __init__(self, x: np.ndarray, leaf: int = 128, seed: int = 3) -> None:
         self.x, self.nodes = x, []
@@ -141,38 +211,84 @@ class VpTree:
             self.nodes.append([v, mu, None, None])
             todo += [(rows[inner], at, 2), (rows[~inner], at, 3)]
 
-    def search(self, q: np.ndarray, k: int, factor: float = 1.0) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and distances of the k nearest of each query.  A side is skipped if the triangle
-        inequality puts it beyond the k-th distance so far divided by ``factor``; 1 is exact."""
-        best = np.full((len(q), k), np.inf)
-        rows = np.full((len(q), k), -1)
-        x2 = (self.x**2).sum(axis=1)
-
-        def leaf(node, which):
-            own = node[0]
-            d = np.sqrt(np.maximum(0, (q[which] ** 2).sum(axis=1)[:, None] + x2[own][None, :] - 2 * q[which] @ self.x[own].T))
-            d = np.concatenate([best[which], d], axis=1)
-            r = np.concatenate([rows[which], np.broadcast_to(own, (len(which), len(own)))], axis=1)
-            top = np.argpartition(d, k - 1, axis=1)[:, :k]
-            best[which], rows[which] = np.take_along_axis(d, top, 1), np.take_along_axis(r, top, 1)
+    def search(self, q: np.ndarray, found, factor: float = 1.0) -> None:
+        """Shows ``found`` the leaves that may matter: ``found.add(which, rows)`` for the queries ``which``.
 
+        A side is skipped if the triangle inequality puts it beyond ``found.radius(which)`` divided by
+        ``factor``; 1 is exact.
+        """
         stack = [(0, np.arange(len(q)), None)]
         while stack:
             at, which, gap = stack.pop()
             if gap is not None:  # the other side: who still may find something there
-                which = which[gap <= best[which].max(axis=1) / factor + 1e-9]
+                which = which[gap <= found.radius(which) / factor]
             if not len(which):
                 continue
             node = self.nodes[at]
             if node[1] is None:
-                leaf(node, which)
+                found.add(which, node[0])
                 continue
             d = np.sqrt(((q[which] - self.x[node[0]]) ** 2).sum(axis=1))
             gap = np.abs(d - node[1])
             inner = d <= node[1]
             # last in, first out: near sides before far sides
             stack += [(node[3], which[inner], gap[inner]), (node[2], which[~inner], gap[~inner]), (node[3], which[~inner], None), (node[2], which[inner], None)]
-        return rows, best
+
+
+class TopProducts:
+    """The k rows of largest inner product of each query, ties to the smaller id.
+
+    ``x`` and ``q`` are the vectors, ``low`` a bound below which a query's products do not matter.  For
+    the tree, rows are scaled by the largest length, queries to length one.
+    """
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, qid: np.ndarray, q: np.ndarray, k: int, low: np.ndarray) -> None:
+        self.ids, self.x, self.qid, self.q, self.k = ids, x, qid, q, k
+        most = np.abs(x).max()
+        self.top = float(np.sqrt(((x / most) ** 2).sum(axis=1)).max() * most)
+        self.rows, self.ask = x / self.top, unit(q)
+        length = np.abs(q).max(axis=1)
+        length = length * np.sqrt(((q / length[:, None]) ** 2).sum(axis=1))
+        with np.errstate(over="ignore", invalid="ignore"):
+            self.low = np.nan_to_num(low / length / self.top, nan=-np.inf, neginf=-np.inf)
+        self.kth = self.low.copy()
+        self.score, self.vec = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        self.cosine = np.full((len(q), k), -np.inf)
+
+    def tree_rows(self) -> np.ndarray:
+        return np.column_stack([self.rows, np.sqrt(np.maximum(0, 1 - (self.rows**2).sum(axis=1)))])
+
+    def tree_queries(self) -> np.ndarray:
+        return np.column_stack([self.ask, np.zeros(len(self.ask))])
+
+    def radius(self, which: np.ndarray) -> np.ndarray:
+        """Distance of the k-th row so far; the slack is that of a root of a difference of doubles."""
+        return np.sqrt(np.maximum(0, 2 - 2 * np.maximum(self.kth[which], -1.0))) + 1e-7
+
+    def add(self, which: np.ndarray, own: np.ndarray) -> None:
+        near = self.ask[which] @ self.rows[own].T
+        i, j = np.nonzero(near >= (self.kth[which] - 1e-9)[:, None])
+        at, row = which[i], own[j]
+        other = self.qid[at] != self.ids[row]
+        at, row, near = at[other], row[other], near[i, j][other]
+        for a in range(0, len(at), 1 << 18):  # in parts: ties may be many
+            self._merge(at[a : a + (1 << 18)], row[a : a + (1 << 18)], near[a : a + (1 << 18)])
+
+    def _merge(self, at, row, near) -> None:
+        if not len(at):
+            return
+        with np.errstate(over="ignore", invalid="ignore"):
+            score = (self.q[at] * self.x[row]).sum(axis=1)
+        some = np.unique(at)
+        who = np.concatenate([np.repeat(some, self.k), at])
+        score = np.concatenate([self.score[some].ravel(), score])
+        vec = np.concatenate([self.vec[some].ravel(), self.ids[row]])
+        cosine = np.concatenate([self.cosine[some].ravel(), near])
+        by = np.lexsort((vec, -score, who))
+        first = np.searchsorted(who[by], some)
+        take = by[first[:, None] + np.arange(self.k)]
+        self.score[some], self.vec[some], self.cosine[some] = score[take], vec[take], cosine[take]
+        self.kth[some] = np.maximum(self.low[some], self.cosine[some].min(axis=1))
 
 
 def vp_search(rows: DataFrame, is_query: Column, *, k: int = 20, factor: float = 1.0, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -181,61 +297,77 @@ def vp_search(rows: DataFrame, is_query: Column, *, k: int = 20, factor: float =
     ``is_query`` selects the queries; a query is no candidate of its own.  Ties go to the smaller
     id.  Unusable vectors take no part; vectors of different lengths are not compared.  Of equal
     vectors only the k + 1 smallest ids can be among the nearest, so only they are kept.  A row that
-    repeats (id and vector) counts once.
+    repeats (id and vector) counts once.  ``factor`` above 1 skips more; 1 is exact.  Products that overflow
+    a double are infinite and tie.  An empty table gives an empty result; other columns are not read.
     """
     spark = rows.sparkSession
     scratch = Scratch(spark, "vptree")
-    own = rows.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).cast("array<double>").alias("vec"), F.coalesce(is_query, F.lit(False)).alias("q")).where(usable(F.col("vec")) & F.col("id").isNotNull())
-    own = own.select("id", F.transform("vec", lambda x: x + F.lit(0.0)).alias("vec"), "q", F.size("vec").alias("dim"), F.xxhash64("vec").alias("k1"), F.hash("vec").alias("k2"))
+    vec, kind = _typed(rows, vec_col)
+    own = rows.select(F.col(id_col).cast("long").alias("id"), vec.alias("vec"), F.coalesce(is_query, F.lit(False)).alias("q")).where(usable(F.col("vec")) & F.col("id").isNotNull())
+    most = F.array_max(F.transform("vec", lambda x: F.abs(x).cast("double")))
+    length = F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + (x / most) * (x / most)))
+    band = F.floor(F.log2(length) + F.log2(most)).cast("int")
+    own = own.select("id", "vec", "q", F.size("vec").alias("dim"), band.alias("band"), F.xxhash64("vec").alias("k1"), F.hash("vec").alias("k2"))
     order = Window.partitionBy("k1", "k2").orderBy("id")
-    index = own.select("id", "vec", "dim", "k1", "k2").withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= k + 1).dropDuplicates(["id", "k1", "k2"]).select("id", "vec", "dim")
-    n = {r.dim: r for r in own.groupBy("dim").agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x)).alias("top"), F.count_if("q").alias("nq")).collect()}
-    shards = {d: max(1, -(-r.n // SHARD)) for d, r in n.items()}
-    blocks = {d: max(1, -(-r.nq // QUERIES)) for d, r in n.items()}
-    tops = {d: float(r.top) * (1 + 1e-12) for d, r in n.items()}
-    if not n:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-
-    def of(table):
-        return F.create_map(*[F.lit(int(x)) for kv in table.items() for x in kv])[F.col("dim")]
-
-    index = index.withColumn("shard", F.pmod(F.xxhash64("id"), of(shards)).cast("int"))
+    index = own.select("id", "vec", "dim", "band", "k1", "k2").withColumn("r", F.dense_rank().over(order)).where(F.col("r") <= k + 1).dropDuplicates(["id", "k1", "k2"]).select("id", "vec", "dim", "band")
+    index = scratch.put(index, "index")
+    # a row for each vector length and each power of two of a norm
+    shards = index.groupBy("dim", "band").agg(F.ceil(F.count(F.lit(1)) / SHARD).cast("int").alias("shards"))
+    queries = own.where("q").dropDuplicates(["id", "k1", "k2"]).select("id", "vec", "dim")
+    blocks = queries.groupBy("dim").agg(F.ceil(F.count(F.lit(1)) / QUERIES).cast("int").alias("blocks"))
+    # a bounded sample of the longest vectors, of each length; it only gives first bounds
+    first = {}
+    for d, b in {r.dim: r.band for r in shards.groupBy("dim").agg(F.max("band").alias("band")).collect()}.items():
+        some = index.where((F.col("dim") == d) & (F.col("band") == b)).orderBy(F.xxhash64("id"), "id").select("id", "vec").limit(FIRST).collect()
+        first[d] = (np.array([s.id for s in some], np.int64), np.array([s.vec for s in some], np.float64))
+    sample = spark.sparkContext.broadcast(first)
+
+    index = index.join(F.broadcast(shards), ["dim", "band"]).withColumn("shard", F.pmod(F.xxhash64("id"), F.col("shards")).cast("int"))
 
     def build(table: pa.Table) -> pa.Table:
-        dim, ids, x = table.column("dim")[0].as_py(), table.column("id").to_numpy(), _matrix(table.column("vec"))
-        same, back = np.unique(x, axis=0, return_inverse=True)
-        extra = np.sqrt(np.maximum(0, tops[dim] - (same**2).sum(axis=1)))
-        tree = VpTree(np.column_stack([same, extra]))
-        by = np.lexsort((ids, back.ravel()))
-        cuts = np.searchsorted(back.ravel()[by], np.arange(len(same) + 1))
-        return pa.table({"dim": [dim], "shard": [table.column("shard")[0].as_py()], "tree": [pickle.dumps((tree.x, tree.nodes, ids[by], cuts))]}, pa.schema([("dim", pa.int32()), ("shard", pa.int32()), ("tree", pa.binary())]))
+        ids, x = table.column("id").to_numpy(), _matrix(table.column("vec"))
+        one = np.ones((1, x.shape[1]))
+        tree = VpTree(TopProducts(ids, x, ids[:1], one, 1, np.zeros(1)).tree_rows())
+        data = pickle.dumps((tree.nodes, ids, x.astype(kind)))
+        return pa.table([pa.array([table.column(c)[0].as_py()], pa.int32()) for c in ("dim", "band", "shard")] + [pa.array([data], pa.binary())], ["dim", "band", "shard", "tree"])
 
-    trees = scratch.put(index.groupBy("dim", "shard").applyInArrow(build, "dim int, shard int, tree binary"), "trees")
-    queries = own.where("q").dropDuplicates(["id", "k1", "k2"]).withColumn("block", F.pmod(F.xxhash64("id"), of(blocks)).cast("int"))
+    trees = scratch.put(index.select("dim", "band", "shard", "id", "vec").groupBy("dim", "band", "shard").applyInArrow(build, "dim int, band int, shard int, tree binary"), "trees")
+    queries = queries.join(F.broadcast(blocks), "dim").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
     def gather(table: pa.Table) -> pa.Table:
-        data = pickle.dumps((table.column("id").to_numpy(), _matrix(table.column("vec"))))
-        return pa.table({"dim": [table.column("dim")[0].as_py()], "queries": [data]}, pa.schema([("dim", pa.int32()), ("queries", pa.binary())]))
-
-    blocks_ = queries.groupBy("dim", "block").applyInArrow(gather, "dim int, queries binary")
-    units = blocks_.withColumn("shard", F.explode(F.sequence(F.lit(0), of(shards).cast("int") - 1))).join(trees, ["dim", "shard"])
+        dim, ids, q = table.column("dim")[0].as_py(), table.column("id").to_numpy(), _matrix(table.column("vec"))
+        some, x = sample.value[dim]
+        low = np.full(len(ids), -np.inf)
+        if len(some) > k:
+            got = TopProducts(some, x, ids, q, k, low)
+            for a in range(0, len(some), 256):
+                got.add(np.arange(len(ids)), np.arange(a, min(len(some), a + 256)))
+            low = got.score[:, -1]
+        with np.errstate(over="ignore", invalid="ignore"):
+            least = float(np.nan_to_num(low / np.abs(q).max(axis=1) / q.shape[1] ** 0.5, nan=-np.inf).min())
+        return pa.table([pa.array([dim], pa.int32()), pa.array([least]), pa.array([pickle.dumps((ids, q.astype(kind), low))], pa.binary())], ["dim", "least", "queries"])
+
+    blocks_ = scratch.put(queries.select("dim", "block", "id", "vec").groupBy("dim", "block").applyInArrow(gather, "dim int, least double, queries binary"), "queries")
+    # a block goes to the bands whose longest vectors could reach its bounds
+    asked = blocks_.join(F.broadcast(shards), "dim").where(F.col("least") <= F.pow(F.lit(2.0), F.col("band") + 2))
+    units = asked.select("dim", "band", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "queries").join(trees, ["dim", "band", "shard"])
 
     def search(batches):
         for batch in batches:
             for tree_, data in zip(batch.column(0), batch.column(1), strict=True):
-                x, nodes, ids, cuts = pickle.loads(tree_.as_py())
-                qid, q = pickle.loads(data.as_py())
+                nodes, ids, x = pickle.loads(tree_.as_py())
+                qid, q, low = pickle.loads(data.as_py())
+                got = TopProducts(ids, x.astype(np.float64), qid, q.astype(np.float64), k, low)
+                # no product of this shard reaches the bound of these queries
+                some = np.flatnonzero(got.low <= 1 + 1e-9)
+                if not len(some):
+                    continue
+                got = TopProducts(ids, got.x, qid[some], got.q[some], k, low[some])
                 tree = VpTree.__new__(VpTree)
-                tree.x, tree.nodes = x, nodes
-                rows_, _ = tree.search(np.column_stack([q, np.zeros(len(q))]), min(k + 8, len(x)), factor)
-                out = []
-                for i, some in enumerate(rows_):
-                    some = some[some >= 0]
-                    score = (x[some, :-1] * q[i]).sum(axis=1)
-                    got = [(-s, int(v)) for s, r in zip(score.tolist(), some, strict=True) for v in ids[cuts[r] : min(cuts[r + 1], cuts[r] + k + 1)] if v != qid[i]]
-                    out += [(int(qid[i]), v, -s) for s, v in sorted(got)[:k]]
-                c = list(zip(*out, strict=True)) or [(), (), ()]
-                yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.float64())], ["query_id", "vec_id", "score"])
+                tree.x, tree.nodes = got.tree_rows(), nodes
+                tree.search(got.tree_queries(), got, factor)
+                at, r = np.nonzero((got.vec < np.iinfo(np.int64).max) & (got.score >= low[some][:, None]))
+                yield pa.RecordBatch.from_arrays([pa.array(got.qid[at]), pa.array(got.vec[at, r]), pa.array(got.score[at, r])], ["query_id", "vec_id", "score"])
 
     hits = units.select("tree", "queries").mapInArrow(search, "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
