@@ -17,7 +17,7 @@ from .suffix_dedup import suffix_dedup
 from .vectors import embedding_dedup, vp_search
 
 #: Bytes of a shard.
-SHARD_BYTES = 16 << 20
+SHARD_BYTES = 1 << 20
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 WORDS = r"[^\x20\x09-\x0D]+"
 
@@ -95,9 +95,10 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n, 0) AS BIGIN
   sha256(CASE WHEN n IS NULL THEN array_to_string(w, ' ') ELSE array_to_string(list_transform(list_filter(range(1, len(w) + 1), lambda p: NOT list_contains(ps, p)), lambda p: w[p]), ' ') END) AS kept_sha256
 FROM d LEFT JOIN gone USING (doc_id)""",
     "op6_sharding": f"""
-WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, CAST(concat('0x', substr(md5(CAST(doc_id AS VARCHAR)), 1, 7)) AS BIGINT) AS h FROM documents),
-s AS (SELECT doc_id, n_bytes, h, depth, sum(n_bytes) OVER (PARTITION BY depth, h >> (28 - depth)) AS b FROM d, (SELECT unnest(range(0, 29)) AS depth)),
-l AS (SELECT doc_id, any_value(n_bytes) AS n_bytes, any_value(h) AS h, min(depth) AS depth FROM s WHERE b <= {SHARD_BYTES} GROUP BY doc_id)
-SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, substr(lpad(CAST(bin(h) AS VARCHAR), 28, '0'), 1, depth) AS shard, false AS oversize FROM l""",
+WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS n_bytes, md5(CAST(doc_id AS VARCHAR)) AS m FROM documents),
+w AS (SELECT doc_id, n_bytes, CAST(concat('0x', substr(m, 1, 7)) AS BIGINT) AS h, array_to_string(list_transform(range(0, 4), lambda k: lpad(CAST(bin(CAST(concat('0x', substr(m, 1 + 7 * k, 7)) AS BIGINT)) AS VARCHAR), 28, '0')), '') AS bits FROM d),
+s AS (SELECT doc_id, depth, sum(n_bytes) OVER (PARTITION BY depth, h >> (28 - depth)) AS b FROM w, (SELECT unnest(range(0, 29)) AS depth)),
+l AS (SELECT doc_id, min(depth) FILTER (WHERE b <= {SHARD_BYTES}) AS depth FROM s GROUP BY doc_id)
+SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, substr(bits, 1, coalesce(depth, 112)) AS shard, depth IS NULL AS oversize FROM w JOIN l USING (doc_id)""",
 }
-#: op9 has no SQL: it would sum in another order; it is tested against brute force.
+#: op6: a bucket that 28 bits do not split is one row over the limit; op9 has no SQL, which would sum in another order.
