@@ -95,10 +95,11 @@ def ttl_expiry(t):
     return e.groupBy("user_id").agg(F.count_if(F.expr("gap is null or gap > 120000000")).alias("expired"), F.count(F.lit(1)).alias("n"))
 
 
+#: DuckDB's word boundaries know ASCII only, hence the letters spelt out, and the separator before a letter beyond it taken after the fact.
 MAIL = r"\b[\p{L}\p{N}_.\-]+@[\p{L}\p{N}_.\-]+\.[\p{L}\p{N}_]+\b"
 
 
-@query(rf"""SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{MAIL}', '<email>', 'g'), '\b\d{{3}}-\d{{2}}-\d{{4}}\b', '<ssn>', 'g'), '\b(?:\d[ -]?){{13,19}}\b', '<pan>', 'g'), '\b\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\b', '<ipv4>', 'g')) END AS digest, regexp_matches(text, '{MAIL}') AS had_email FROM documents""")
+@query(rf"""SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '{MAIL}', '<email>', 'g'), '\b\d{{3}}-\d{{2}}-\d{{4}}\b', '<ssn>', 'g'), '\b(?:\d[ -]?){{13,19}}\b', '<pan>', 'g'), '<pan>[ -]([À-ɏ])', '<pan>\1', 'g'), '\b\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\b', '<ipv4>', 'g')) END AS digest, regexp_matches(text, '{MAIL}') AS had_email FROM documents""")
 def redact_pii(t):
     return t.documents.select("doc_id", F.md5(R.redact(F.col("text"))).alias("digest"), (F.contains("text", F.lit("@")) & F.col("text").rlike(R.PATTERNS[0][1])).alias("had_email"))
 

@@ -183,10 +183,10 @@ def contained_names(t):
     return X.contained_names(n, t.benchmark.select(F.col("item_id").alias("path"), "text"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, 'http[s]?://') THEN 'url' WHEN regexp_matches(text, '@[a-z]+\\.') THEN 'mail' END AS kind FROM documents WHERE regexp_matches(text, 'http[s]?://|@[a-z]+\\.')")
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Z]{4,}!!') THEN 'shout' WHEN regexp_matches(text, '\\|[^|]*\\|') THEN 'table' END AS kind FROM documents WHERE regexp_matches(text, '[A-Z]{4,}!!|\\|[^|]*\\|')")
 def regex_consumers(t):
     """Texts that match one of several patterns, with the first that they match."""
-    return O.first_match(t.documents.select("doc_id", "text"), "text", [("url", "http[s]?://"), ("mail", r"@[a-z]+\.")]).select("doc_id", "kind")
+    return O.first_match(t.documents.select("doc_id", "text"), "text", [("shout", "[A-Z]{4,}!!"), ("table", r"\|[^|]*\|")]).select("doc_id", "kind")
 
 
 @query("""
@@ -215,7 +215,7 @@ def hot_generators(t):
     return r.withColumn("avg_ms", F.col("cumulative_ms") / F.greatest(F.lit(1), F.col("calls")))
 
 
-@query("SELECT CAST(sum(CASE WHEN o_orderkey % 60 <= 3 AND o_orderkey % 8 = 0 AND o_custkey % 12 <= 2 THEN 25 WHEN o_orderkey % 60 > 50 OR o_orderkey % 8 > 5 OR o_custkey % 12 > 10 THEN 200 ELSE 100 END * CASE WHEN o_orderstatus = 'O' THEN 1.5 ELSE 1 END // 1) AS BIGINT) AS examples FROM orders")
+@query("SELECT CAST(sum(floor(CASE WHEN o_orderkey % 60 <= 3 AND o_orderkey % 8 = 0 AND o_custkey % 12 <= 2 THEN 25 WHEN o_orderkey % 60 > 50 OR o_orderkey % 8 > 5 OR o_custkey % 12 > 10 THEN 200 ELSE 100 END * CASE WHEN o_orderstatus = 'O' THEN 1.5 ELSE 1.0 END)) AS BIGINT) AS examples FROM orders")
 def test_budget_total(t):
     b = O.test_budget(F.col("o_orderkey") % 60, F.col("o_orderkey") % 8, F.col("o_custkey") % 12, F.col("o_orderstatus") == "O")
     return t.orders.agg(F.sum(b).alias("examples"))
