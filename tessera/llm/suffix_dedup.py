@@ -29,7 +29,7 @@ from .scratch import Scratch
 from .textkit import U, corpus_sketch, mix, sequences, texts_of, word_hashes
 
 #: Suffixes that a task packs at once, and those of a partition on average.
-BATCH, PARTITION = 1 << 20, 1 << 21
+BATCH, PARTITION = 1 << 19, 1 << 20
 #: Words sorted by at once, as 16 bits each of two halves.
 STEP = 4
 
@@ -244,7 +244,7 @@ def repeated_windows(own: DataFrame, scratch: Scratch, window: int, group_limit:
     return hits
 
 
-def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, group_limit: int = 1 << 20, text_key: bool = False) -> DataFrame:
+def suffix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *, window: int = 13, group_limit: int = 1 << 18, text_key: bool = False) -> DataFrame:
     """Returns (id_col, n_words, n_removed, kept_text, spans), one row per input row.
 
     A word is removed if it lies in ``window`` consecutive words that also start in a

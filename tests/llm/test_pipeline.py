@@ -55,19 +55,29 @@ def without_repeats(rows, window):
     return out
 
 
-def packed(rows, permitted, overhead):
+def filled(room, items):
+    """The longest items first, each if it still fits."""
+    total = 0
+    for n in items:
+        if n <= room - total:
+            total += n
+    return total
+
+
+def packed(rows, permitted):
     """Lengths in each bin, and its size."""
     items = []
     for i, t in rows:
         n = len(WORD.findall(t))
         items += [(min(max(permitted), n - at), i, at) for at in range(0, n, max(permitted))]
-    bins = []
-    for turn, (n, *_) in enumerate(sorted(items, key=lambda x: (-x[0], x[1], x[2]))):
+    items.sort(key=lambda x: (-x[0], x[1], x[2]))
+    lengths, bins = [n for n, *_ in items], []
+    for turn, n in enumerate(lengths):
         fits = [b for b in bins if b[0] >= n]
         if fits:  # of equal rooms, the one that came to it last
             b = min(fits, key=lambda b: (b[0], -b[2]))
         else:
-            size = min((c for c in permitted if c >= n), key=lambda c: ((c + overhead) / c, c))
+            size = min((c for c in permitted if c >= n), key=lambda c: ((64 + c + c * c / 16384) / (n + filled(c - n, lengths[turn + 1 :])), c))
             bins.append(b := [size, [], 0])
         b[0], b[2] = b[0] - n, turn
         b[1].append(n)
@@ -92,7 +102,7 @@ def test_pipeline(spark, tmp_path):
     for r in got:
         if r.bin_id is not None:
             bins.setdefault((r.bin_id, r.bin_length), []).append(r.length)
-    assert Counter((tuple(sorted(v)), k[1]) for k, v in bins.items()) == packed(left, queries.LENGTHS, 16)
+    assert Counter((tuple(sorted(v)), k[1]) for k, v in bins.items()) == packed(left, queries.LENGTHS)
 
 
 def test_rows_without_an_id_and_repeated_ids(spark):
