@@ -4,6 +4,8 @@ import base64
 import hashlib
 import random
 import re
+from collections import Counter
+from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
@@ -69,10 +71,28 @@ def test_ngram_join(spark, monkeypatch, short):
     got = ngram_jaccard_components(frame(spark, rows)).collect()
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
     assert ngram_jaccard_components(frame(spark, rows).limit(0)).count() == 0
+    long = " ".join(f"w{i}" for i in range(150_000))
+    far = ngram_jaccard_components(frame(spark, [(1, long), (2, long + " end"), (3, "a b c d e f"), (4, None)])).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in far} == {1: (149_997, 1), 2: (149_998, 1), 3: (3, 3), 4: (0, 4)}
     twice = ngram_jaccard_components(frame(spark, [(5, "a b c d e"), (5, "a b c d e"), (9, "a b c d e")])).collect()
     assert sorted((r.doc_id, r.component_id) for r in twice) == [(5, 5), (5, 5), (9, 5)]
 
 
+def test_suffix_subtrees():
+    """The parts of the operator against plain loops, on words that collide in half of their bits."""
+    rng = np.random.default_rng(0)
+    words = rng.integers(0, 3, 3000).astype(np.uint32) * np.uint32(0x10001) + rng.integers(0, 2, 3000).astype(np.uint32) * np.uint32(0x10000)
+    at = np.arange(len(words) - 5)
+    doc = at // 40
+    seen = {}
+    for i in at:
+        seen.setdefault(tuple(words[i : i + 5]), []).append(i)
+    want = {i for v in seen.values() for i in v if doc[i] > min(doc[j] for j in v)}
+    for limit in (1, 7, 1 << 20):
+        assert set(suffix_dedup.owned_elsewhere(words, at, doc, 5, limit).tolist()) == want
+    assert set(np.flatnonzero(suffix_dedup.repeats_within(words.astype(np.uint64), at, doc, 5)).tolist()) == want
+
+
 def brute_cut(rows, window):
     first, out = {}, {}
     for i, t in sorted(rows):
@@ -85,9 +105,13 @@ def brute_cut(rows, window):
     return out
 
 
-@pytest.mark.parametrize("limit", [1, 50_000])
-def test_suffix_dedup(spark, limit):
-    rows = corpus(2) + [(10_000, " ".join(["z"] * 40)), (10_001, " ".join(["z"] * 41))]
+@pytest.mark.parametrize("limit", [1, 1 << 20])
+def test_suffix_dedup(spark, monkeypatch, limit):
+    # small batches and partitions: suffixes of one text meet others of several tasks
+    monkeypatch.setattr(suffix_dedup, "BATCH", 400)
+    monkeypatch.setattr(suffix_dedup, "PARTITION", 300)
+    long = " ".join(f"v{i % 977}" for i in range(30_000))
+    rows = corpus(2) + [(10_000, " ".join(["z"] * 40)), (10_001, " ".join(["z"] * 41)), (10_002, long), (10_003, "u " + long)]
     got = suffix_dedup.suffix_dedup(frame(spark, rows), group_limit=limit).collect()
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == brute_cut(rows, 13)
     assert suffix_dedup.suffix_dedup(frame(spark, rows).limit(0)).count() == 0
@@ -104,6 +128,36 @@ def test_language_id(spark):
     assert none.lang_pred == "und" and none.rejected
 
 
+def test_language_query_against_plain_vectors(spark):
+    """Every gram of every text counted one by one, and every centroid tried."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = queries.language_model(docs)
+    got = {r.doc_id: r for r in queries.op2_language_id(spark, "/root/testdata/sf0.001").collect()}
+    held = queries.held_out(F.col("doc_id"))
+    assert {i: r.held_out for i, r in got.items()} == {r.doc_id: r.h for r in docs.select("doc_id", held.alias("h")).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        own = got[r.doc_id]
+        if not r.text or not re.search(r"[^\W\d_]", r.text):
+            assert (own.lang_pred, own.score) == ("und", 0)
+            continue
+        raw = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in f" {r.text} ".lower().encode())
+        slots = Counter()
+        for k in range(len(raw) - 1):
+            if (two := int.from_bytes(raw[k : k + 2])) != 0x2020:
+                slots[(two + 1) * 0x9E3779B1 % 2**32 >> 20] += 1
+            if k < len(raw) - 2:
+                slots[(int.from_bytes(raw[k : k + 3]) + 1) * 0x85EBCA6B % 2**32 >> 20] += 1
+        v = np.zeros(langid.DIMS)
+        for slot, n in slots.items():
+            v[slot] = np.log1p(n) * model.idf[slot]
+        cosine = model.centroids.astype(float) @ v / np.linalg.norm(v)
+        assert own.lang_pred == model.languages[int(cosine.argmax())] and abs(own.score - cosine.max()) < 1e-5
+    # other columns, repeated rows, texts longer than a slice
+    rows = [(1, "the and of that with this"), (1, "the and of that with this"), (2, "the and " * 200_000)]
+    out = langid.identify(spark.createDataFrame(rows, "doc_id long, text string").withColumn("lang_pred", F.lit(5)), model, names=("l", "s", "r"))
+    assert sorted((r.doc_id, r.lang_pred, r.l) for r in out.collect()) == [(1, 5, "en"), (1, 5, "en"), (2, 5, "en")]
+
+
 def test_language_id_rejects_what_was_not_learned(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
     model = queries.language_model(docs)
@@ -137,6 +191,18 @@ def test_bpe_matches_the_library():
         assert own.decode(ids) == t.encode()
 
 
+def test_bpe_query_equals_the_library(spark):
+    import tiktoken
+
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.load_ranks(queries.RANKS), special_tokens={})
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()}
+    got = queries.op7_byte_bpe(spark, "/root/testdata/sf0.01").collect()
+    assert len(got) == len(texts)
+    for r in got:
+        ids = np.array(enc.encode_ordinary(texts[r.doc_id]), "<u4")
+        assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(texts[r.doc_id].encode()).hexdigest())
+
+
 def test_bpe_edits():
     own = bpe.PrefixBpe(bpe.load_ranks(queries.RANKS), public_tokenizers.PATTERN)
     t = bpe.PrefixText(own, b"international")
@@ -144,11 +210,18 @@ def test_bpe_edits():
     assert t.ids() == own.merged(b"internationalisation")
     t.replace(5, 8, b"xyz")
     assert t.ids() == own.merged(t.raw)
+    t.replace(3, 9, b"")
+    assert t.ids() == own.merged(t.raw)
+    with pytest.raises(ValueError, match="no token for the byte"):
+        bpe.PrefixBpe({b"a": 0, b"b": 1, b"ab": 2}, r"\w+")
 
 
 def test_bpe_rows(spark):
-    got = {r.doc_id: r for r in bpe.encode_decode(frame(spark, [(1, None), (2, "ab é")]), queries.RANKS, public_tokenizers.PATTERN).collect()}
-    assert got[1].n_tokens == 0 and bytes(got[2].decoded) == "ab é".encode()
+    rows = [(1, None), (2, "ab é"), (2, "ab é"), (3, "x" * 5000), (4, "")]
+    got = bpe.encode_decode(frame(spark, rows).withColumn("ids", F.lit(1)), queries.RANKS, public_tokenizers.PATTERN).collect()
+    assert sorted((r.doc_id, bytes(r.decoded)) for r in got) == [(i, (t or "").encode()) for i, t in rows]
+    assert [r.n_tokens for r in got if r.doc_id in (1, 4)] == [0, 0]
+    assert bpe.encode_decode(frame(spark, rows).limit(0), queries.RANKS, public_tokenizers.PATTERN).count() == 0
 
 
 @pytest.mark.parametrize(
@@ -188,6 +261,68 @@ def test_html_marks_and_loose_text(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        (f'<body class="no-sidebar"><div class="wrap no-sidebar"><p>{LONG}</p><p>{LONG} A</p></div></body>', f"{LONG}\n{LONG} A"),
+        (f'<body><div id="social-sciences"><p>{LONG}</p><p>{LONG} B</p></div></body>', f"{LONG}\n{LONG} B"),
+        # all of the page in a form; a form beside the text
+        (f'<body><form action="x"><div><p>{LONG}</p><p>{LONG} C</p></div></form></body>', f"{LONG}\n{LONG} C"),
+        (f"<body><main><p>{LONG}</p><form>{LONG}<input></form><p>{LONG} D</p></main></body>", f"{LONG}\n{LONG} D"),
+        # readers' comments as articles, beside the article and in it
+        (f'<body><article><h1>T</h1><p>{LONG}</p><p>{LONG} E</p></article><article class="comment"><p>{LONG}</p></article></body>', f"T\n{LONG}\n{LONG} E"),
+        (f'<body><main><article><p>{LONG}</p><p>{LONG} F</p></article><section id="comments-area"><article class="comment-body"><p>{LONG}</p></article></section></main></body>', f"{LONG}\n{LONG} F"),
+        ("<body>" + "<div>" * 3000 + f"<p>{LONG}</p>" + "</div>" * 3000, LONG),
+        (f"<body><p>{LONG}</p>" + "<a " * 20_000, LONG),
+        (f"<body><p>{LONG}</p>" + '<a href="x' * 20_000, LONG),
+        (f"<body><article><p>{LONG} 1 < 2 <3 &lt; 4</p></article>", f"{LONG} 1 < 2 <3 < 4"),
+    ],
+)
+def test_html_layouts_and_broken_tags(page, want):
+    assert html_text.main_text(page) == want
+
+
+class PlainArticle(HTMLParser):
+    """The blocks of the article of a page, by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = 0, [[]]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in ("article", "h1", "p"):
+            self.blocks.append([])
+        elif tag == "br":
+            self.blocks[-1].append(" ")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in ("article", "h1", "p"):
+            self.blocks.append([])
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1].append(data)
+
+
+def test_html_query_over_all_pages(spark):
+    """All pages, as they are and with nothing that names the article."""
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    want = {}
+    for i, page in pages.items():
+        p = PlainArticle()
+        p.feed(page)
+        p.close()
+        want[i] = "\n".join(t for b in p.blocks if (t := " ".join("".join(b).split())))
+    got = queries.op8_html_text(spark, "/root/testdata/sf0.01").collect()
+    assert {r.page_id: (r.text, r.n_chars) for r in got} == {i: (t, len(t)) for i, t in want.items()}
+    bare = {i: html_text.main_text(page.replace("<article>", "<div>").replace("</article>", "</div>")) for i, page in pages.items()}
+    # by densities alone: nothing but article text, and all of it but for some pages of two or three short blocks
+    assert np.mean([bare[i] == want[i] for i in want]) > 0.93
+    assert all(set(bare[i].split("\n")) <= set(want[i].split("\n")) for i in want)
+
+
 def test_html_rows(spark):
     df = spark.createDataFrame([(1, "u", None, "x"), (2, "u", "<article><p>é</p></article>", "x")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract(df).collect()) == [(1, "", 0), (2, "é", 1)]
@@ -234,11 +369,65 @@ def test_vp_search(spark, monkeypatch, k):
 
 def test_vp_tree_recall():
     x = np.random.default_rng(0).normal(size=(2000, 6))
-    exact = np.argsort(((x[:20, None] - x[None]) ** 2).sum(-1), axis=1)[:, :10]
-    tree = vectors.VpTree(x, leaf=32)
-    assert {frozenset(r) for r in tree.search(x[:20], 10)[0].tolist()} == {frozenset(r) for r in exact.tolist()}
-    loose = tree.search(x[:20], 10, factor=1.5)[0]
-    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(loose, exact, strict=True)]) > 0.7
+    ids = np.arange(len(x))
+    exact = np.argsort(-(x[:20] @ x.T), axis=1)
+
+    def nearest(factor):
+        found = vectors.TopProducts(ids, x, ids[:20], x[:20], 10, np.full(20, -np.inf))
+        tree = vectors.VpTree(found.tree_rows(), leaf=32)
+        tree.search(found.tree_queries(), found, factor)
+        return found.vec.tolist()
+
+    want = [[i for i in r if i != q][:10] for q, r in enumerate(exact.tolist())]
+    assert nearest(1.0) == want
+    assert np.mean([len(set(a) & set(b)) / 10 for a, b in zip(nearest(1.5), want, strict=True)]) > 0.7
+
+
+def hard_vectors():
+    """Tables on which scores tie, lengths differ by far, or components are extreme."""
+    rng = np.random.default_rng(9)
+    yield "one-hot", {i: np.eye(64)[i] for i in range(64)}
+    yield "one long", {i: rng.normal(size=16) * (1e8 if i == 7 else 1) for i in range(400)}
+    yield "scales", {i: rng.normal(size=8) * 10.0 ** (i % 9 * 20 - 80) for i in range(120)}
+    yield "signs", {i: np.sign(rng.normal(size=5)) for i in range(300)}
+
+
+@pytest.mark.parametrize(("name", "table"), list(hard_vectors()))
+def test_vp_search_is_exact(spark, monkeypatch, name, table):
+    monkeypatch.setattr(vectors, "SHARD", 50)
+    monkeypatch.setattr(vectors, "QUERIES", 8)
+    monkeypatch.setattr(vectors, "FIRST", 32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in table.items()], "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in vectors.vp_search(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
+    assert len(got) == sum(i % 20 == 0 for i in table)
+    for q, own in got.items():
+        score = {i: float((table[q] * v).sum()) for i, v in table.items() if i != q}
+        want = sorted(score, key=lambda i: (-score[i], i))[:20]
+        assert [own[k + 1] for k in range(len(want))] == [(i, score[i]) for i in want]
+
+
+def test_embedding_dedup_planted_links(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "CELL", 100)
+    monkeypatch.setattr(vectors, "BLOCK", 64)
+    rng = np.random.default_rng(3)
+    x = vectors.unit(rng.normal(size=(2000, 64)))
+    for i in range(1000, 2000):  # near an earlier one, on both sides of the threshold
+        z = rng.normal(size=64)
+        c = rng.uniform(0.85, 0.99)
+        base = x[i - 1000 if i % 10 else 5]
+        z -= (z @ base) * base
+        x[i] = c * base + (1 - c * c) ** 0.5 * z / np.linalg.norm(z)
+    x *= 10.0 ** rng.integers(-30, 200, size=(2000, 1))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(3)
+    u = vectors.unit(x)
+    near = (u @ u.T >= 0.9) & ~np.eye(len(u), dtype=bool)
+    got = {r.vec_id: r for r in vectors.embedding_dedup(df).collect()}
+    links = np.array([got[i].n_links for i in range(2000)])
+    assert (links <= near.sum(axis=1)).all() and links.sum() >= 0.98 * near.sum() > 1000
+    low = closed(list(range(2000)), np.argwhere(near).tolist())
+    assert np.mean([got[i].component_id == low[i] for i in range(2000)]) > 0.98
 
 
 def test_packing(spark):
@@ -254,6 +443,35 @@ def test_packing(spark):
             end += n
         assert end <= size == (4 if end <= 4 else 10)
     assert packing.best_fit([6, 5, 4, 3], (10,), 1)[0] == [0, 1, 0, 1]
+    # a short bin where nothing fills a long one, a long one where it does
+    assert packing.best_fit([600], (1024, 8192))[2] == [1024] and packing.best_fit([600, 400], (512, 1024, 8192), 200)[2] == [1024]
+    assert packing.pack(df.limit(0), "doc_id", F.col("n")).count() == 0
+    twice = packing.pack(df.where("doc_id = 7").union(df.where("doc_id = 7")), "doc_id", F.col("n"), permitted=(4, 10)).collect()
+    assert sorted(r.length for r in twice) == [3, 3, 10, 10, 10, 10]
+
+
+def test_packing_query_in_several_groups(spark):
+    from test_pipeline import packed
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    got = packing.pack(docs, "doc_id", queries.n_words(F.col("text")), group_items=60).collect()
+    n = {i: len(WORD.findall(t)) for i, t in texts.items()}
+    assert {i: sum(r.length for r in got if r.doc_id == i) for i in n} == n
+    groups = {}
+    for r in got:
+        if r.bin_id is not None:
+            groups.setdefault(r.bin_id >> 32, []).append(r)
+    assert len(groups) > 2
+    for rows in groups.values():
+        bins = {}
+        for r in rows:
+            bins.setdefault((r.bin_id, r.bin_length), []).append(r.length)
+        # whole documents only, so that the plain version packs the same pieces
+        if all(r.piece == 0 and n[r.doc_id] == r.length for r in rows):
+            assert Counter((tuple(sorted(v)), k[1]) for k, v in bins.items()) == packed([(r.doc_id, texts[r.doc_id]) for r in rows], queries.LENGTHS)
+    one = {r.doc_id: r for r in queries.op10_best_fit(spark, "/root/testdata/sf0.001").collect() if r.piece == 0}
+    assert set(one) == set(texts)
 
 
 def test_sharding(spark):
@@ -270,6 +488,10 @@ def test_sharding(spark):
     for s in names:  # no bucket split that fitted
         if s:
             assert sum(n for t, n in size.items() if t.startswith(s[:-1])) > 200
+    none = spark.createDataFrame(rows, "doc_id long, n long").limit(0)
+    assert sharding.extendible_shards(none, "doc_id", F.col("n"), limit=10).count() == 0
+    odd = spark.createDataFrame([(1, None), (2, 5)], "doc_id long, shard long").withColumn("prefix", F.lit("p"))
+    assert sorted((r.doc_id, r.n_bytes) for r in sharding.extendible_shards(odd, "doc_id", F.col("shard"), limit=10).collect()) == [(1, 0), (2, 5)]
     assert len({r.shard for r in sharding.extendible_shards(spark.createDataFrame(rows[:300], "doc_id long, n long"), "doc_id", F.col("n"), limit=10**9).collect()}) == 1
 
 
