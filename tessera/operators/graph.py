@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -119,7 +120,7 @@ class Steps:
 def reachable(edges: DataFrame, entries: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(id, depth): breadth-first from the entries, which count as reached at depth 0."""
     steps = Steps(edges)
-    e = edges.select(F.col("source_id").alias("s"), F.col("target_id").alias("id")).distinct()
+    e = steps.put(edges.select(F.col("source_id").alias("s"), F.col("target_id").alias("id")).distinct())
     seen = steps.put(entries.select("id").distinct().withColumn("depth", F.lit(0)))
     front, depth = seen, 0
     while max_hops is None or depth < max_hops:
@@ -145,13 +146,13 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     label = steps.put(nodes.select("id", F.col("id").alias("low")))
     while True:
         near = both.join(label, both.b == label.id).groupBy("a").agg(F.min("low").alias("m"))
-        step = label.join(near, label.id == near.a, "left").select("id", F.least("low", F.coalesce("m", "low")).alias("low"))
+        step = label.join(near, label.id == near.a, "left").select("id", F.col("low").alias("old"), F.least("low", F.coalesce("m", "low")).alias("low"))
         # pointer jumping: the label's own label
         up = step.select(F.col("id").alias("low"), F.col("low").alias("up"))
-        new = steps.put(step.join(up, "low").select("id", F.least("low", "up").alias("low")))
-        if new.join(label, ["id", "low"], "left_anti").isEmpty():
+        new = steps.put(step.join(up, "low").select("id", F.least("low", "up").alias("low"), (F.least("low", "up") != F.col("old")).alias("moved")))
+        label = new.select("id", "low")
+        if new.where("moved").isEmpty():
             break
-        label = new
     from .ordered import positions
 
     number = positions(label.select("low").distinct(), [], ["low"], "component")
@@ -295,32 +296,34 @@ def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     ids = nodes.select("id").distinct()
     e = e.where("s <> t").distinct().join(ids.withColumnRenamed("id", "s"), "s", "left_semi").join(ids.withColumnRenamed("id", "t"), "t", "left_semi")
     open_, e = steps.put(ids), steps.put(e.select("s", "t"))
-    done = open_.limit(0).select("id", F.col("id").alias("scc"))
-    while not open_.isEmpty():
+    done = [open_.limit(0).select("id", F.col("id").alias("scc"))]
+    n = open_.count()
+    ends = lambda: (e.select(F.col("s").alias("id")), e.select(F.col("t").alias("id")))
+    within = lambda left: steps.put(e.join(left.withColumnRenamed("id", "s"), "s", "left_semi").join(left.withColumnRenamed("id", "t"), "t", "left_semi"))
+    while n:
         # without an edge in or out, a node is its own component
-        kept = open_.join(e.select(F.col("s").alias("id")), "id", "left_semi").join(e.select(F.col("t").alias("id")), "id", "left_semi")
+        kept = open_
+        for side in ends():
+            kept = kept.join(side, "id", "left_semi")
         kept = steps.put(kept)
-        alone = open_.join(kept, "id", "left_anti")
-        if not alone.isEmpty():
-            done = steps.put(done.union(alone.select("id", "id")))
-            e = steps.put(e.join(kept.withColumnRenamed("id", "s"), "s", "left_semi").join(kept.withColumnRenamed("id", "t"), "t", "left_semi"))
-            open_ = kept
+        before, n = n, kept.count()
+        if n < before:
+            done.append(open_.join(kept, "id", "left_anti").select("id", "id"))
+            open_, e = kept, within(kept)
             continue
         colour = steps.put(open_.select("id", F.col("id").alias("c")))
         while True:
-            near = e.join(colour.withColumnRenamed("id", "s"), "s").groupBy(F.col("t").alias("id")).agg(F.min("c").alias("m"))
-            new = steps.put(colour.join(near, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c")))
-            if new.join(colour, ["id", "c"], "left_anti").isEmpty():
+            near = e.join(colour.withColumnRenamed("id", "s").select("s", "c"), "s").groupBy(F.col("t").alias("id")).agg(F.min("c").alias("m"))
+            colour = steps.put(colour.select("id", "c").join(near, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), F.coalesce(F.col("m") < F.col("c"), F.lit(False)).alias("moved")))
+            if colour.where("moved").isEmpty():
                 break
-            colour = new
         back = e.join(colour.select(F.col("id").alias("s"), "c"), "s").join(colour.select(F.col("id").alias("t"), F.col("c").alias("d")), "t").where("c = d")
-        back = steps.put(back.select(F.col("t").alias("source_id"), F.col("s").alias("target_id")))
-        found = reachable(back, colour.where("id = c").select("id"))
-        found = steps.put(colour.join(found.select("id"), "id", "left_semi"))
-        done = steps.put(done.union(found.select("id", "c")))
+        found = reachable(back.select(F.col("t").alias("source_id"), F.col("s").alias("target_id")), colour.where("id = c").select("id"))
+        found = steps.put(colour.join(found.select("id"), "id", "left_semi").select("id", "c"))
+        done.append(found)
         open_ = steps.put(open_.join(found.select("id"), "id", "left_anti"))
-        e = steps.put(e.join(open_.withColumnRenamed("id", "s"), "s", "left_semi").join(open_.withColumnRenamed("id", "t"), "t", "left_semi"))
-    return done
+        n, e = open_.count(), within(open_)
+    return reduce(lambda a, b: a.union(b), done)
 
 
 def longest_walk(edges: DataFrame, entries: DataFrame, cap: int = 40) -> DataFrame:
