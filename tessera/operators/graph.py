@@ -288,41 +288,33 @@ def resolve_calls(calls: DataFrame, nodes: DataFrame) -> DataFrame:
 def strong_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, scc): each node with the smallest id of its strongly connected component.
 
-    Rounds of colouring: every open node takes the smallest id that reaches it; the nodes of a colour that reach
-    its first node back are that node's component.  What is not on a cycle is peeled off first.
+    In a round every open node takes the smallest id that reaches it and the smallest that it reaches.  Where
+    both are one id, that is the node's component.  A component lies within the nodes of one pair of ids, so edges
+    between pairs go, and the pairs are searched on side by side; a node without edges is its own component.
     """
     steps = Steps(edges)
-    e = edges.select(F.col("source_id").alias("s"), F.col("target_id").alias("t"))
     ids = nodes.select("id").distinct()
-    e = e.where("s <> t").distinct().join(ids.withColumnRenamed("id", "s"), "s", "left_semi").join(ids.withColumnRenamed("id", "t"), "t", "left_semi")
+    e = edges.select(F.col("source_id").alias("s"), F.col("target_id").alias("t")).where("s <> t").distinct()
+    e = e.join(ids.withColumnRenamed("id", "s"), "s", "left_semi").join(ids.withColumnRenamed("id", "t"), "t", "left_semi")
     open_, e = steps.put(ids), steps.put(e.select("s", "t"))
     done = [open_.limit(0).select("id", F.col("id").alias("scc"))]
-    n = open_.count()
-    ends = lambda: (e.select(F.col("s").alias("id")), e.select(F.col("t").alias("id")))
-    within = lambda left: steps.put(e.join(left.withColumnRenamed("id", "s"), "s", "left_semi").join(left.withColumnRenamed("id", "t"), "t", "left_semi"))
-    while n:
-        # without an edge in or out, a node is its own component
-        kept = open_
-        for side in ends():
-            kept = kept.join(side, "id", "left_semi")
-        kept = steps.put(kept)
-        before, n = n, kept.count()
-        if n < before:
-            done.append(open_.join(kept, "id", "left_anti").select("id", "id"))
-            open_, e = kept, within(kept)
-            continue
-        colour = steps.put(open_.select("id", F.col("id").alias("c")))
+    while not e.isEmpty():
+        label = open_.select("id", F.col("id").alias("f"), F.col("id").alias("b"))
         while True:
-            near = e.join(colour.withColumnRenamed("id", "s").select("s", "c"), "s").groupBy(F.col("t").alias("id")).agg(F.min("c").alias("m"))
-            colour = steps.put(colour.select("id", "c").join(near, "id", "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), F.coalesce(F.col("m") < F.col("c"), F.lit(False)).alias("moved")))
-            if colour.where("moved").isEmpty():
+            into = e.join(label.select(F.col("id").alias("s"), "f"), "s").select(F.col("t").alias("id"), "f", F.lit(None).cast("string").alias("b"))
+            out = e.join(label.select(F.col("id").alias("t"), "b"), "t").select(F.col("s").alias("id"), F.lit(None).cast("string").alias("f"), "b")
+            near = into.union(out).groupBy("id").agg(F.min("f").alias("nf"), F.min("b").alias("nb"))
+            f, b = F.least("f", F.coalesce("nf", "f")), F.least("b", F.coalesce("nb", "b"))
+            new = steps.put(label.join(near, "id", "left").select("id", f.alias("f"), b.alias("b"), ((f < F.col("f")) | (b < F.col("b"))).alias("moved")))
+            label = new.select("id", "f", "b")
+            if new.where("moved").isEmpty():
                 break
-        back = e.join(colour.select(F.col("id").alias("s"), "c"), "s").join(colour.select(F.col("id").alias("t"), F.col("c").alias("d")), "t").where("c = d")
-        found = reachable(back.select(F.col("t").alias("source_id"), F.col("s").alias("target_id")), colour.where("id = c").select("id"))
-        found = steps.put(colour.join(found.select("id"), "id", "left_semi").select("id", "c"))
-        done.append(found)
-        open_ = steps.put(open_.join(found.select("id"), "id", "left_anti"))
-        n, e = open_.count(), within(open_)
+        done.append(label.where("f = b").select("id", "f"))
+        rest = label.where("f <> b")
+        ends = [rest.select(F.col("id").alias(k), F.struct("f", "b").alias(f"p{k}")) for k in ("s", "t")]
+        e = steps.put(e.join(ends[0], "s").join(ends[1], "t").where("ps = pt").select("s", "t"))
+        open_ = rest.select("id")
+    done.append(open_.select("id", "id"))
     return reduce(lambda a, b: a.union(b), done)
 
 
