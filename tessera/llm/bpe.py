@@ -62,8 +62,13 @@ class PrefixBpe:
         self.longest = max(map(len, ranks))
         first, second = (last_merges(ranks) if merges is None else merges).T.tolist()
         self.first, self.second = first, second
-        #: Tokens, and what tokens begin with (-1).
-        self._begins = {raw[:n]: -1 for raw in ranks for n in range(1, len(raw))} | ranks
+        #: What tokens begin with, byte by byte; the key -1 holds the token that ends there.
+        self._trie: dict[int, dict] = {}
+        for raw, i in ranks.items():
+            node = self._trie
+            for b in raw:
+                node = node.setdefault(b, {})
+            node[-1] = i
         self._pair: dict[int, bool] = {}
         self._known: dict[str, bytes] = {}
 
@@ -95,22 +100,23 @@ class PrefixBpe:
         n = len(raw)
         have = min(start, len(last)) if last else 0
         ends = [-1] + (last[:have] if last else []) + [-1] * (n - have)
-        begins, pair = self._begins, self._pair
+        trie, pair = self._trie, self._pair
         for at in range(max(0, have - self.longest), n):
-            before = ends[at]
-            for end in range(at + 1, n + 1):
-                t = begins.get(raw[at:end])
-                if t is None:
+            before, node, end = ends[at] << 32, trie, at
+            for byte in raw[at : at + self.longest]:
+                node = node.get(byte)
+                if node is None:
                     break
-                if t < 0 or ends[end] >= 0:
+                end += 1
+                t = node.get(-1)
+                if t is None or ends[end] >= 0:
                     continue
                 if at:
-                    key = before << 32 | t
-                    ok = pair.get(key)
+                    ok = pair.get(before | t)
                     if ok is None:
                         if len(pair) > 2_000_000:
                             pair.clear()
-                        ok = pair[key] = self.follows(before, t)
+                        ok = pair[before | t] = self.follows(ends[at], t)
                     if not ok:
                         continue
                 ends[end] = t
