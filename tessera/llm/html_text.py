@@ -6,7 +6,8 @@ sum of a node adds up its children's densities; the node of the largest sum is t
 and the smallest density on the path from it to the body is the threshold.  Subtrees at
 least that dense give the text, each through its own descendant of the largest sum.
 Dense runs of text and inline elements beside them give theirs too.
-Parts that are never article text by their element or role take no part.  A word of a
+Parts that are never article text by their element or role take no part, nor do forms and
+readers' comments unless they hold most of the page.  A word of a
 class or id only marks a part: outside the text found so, and where its links or its
 density agree also inside, it takes none; a part that is mostly heading stays.
 """
@@ -32,69 +33,104 @@ CLOSES_P = BLOCKS - frozenset("body html td th tr tbody thead tfoot dd dt li".sp
 ENDS = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select"), "tbody": ("tbody thead tr td th", "table")}
 ENDS = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in ENDS.items()}
 #: Elements and words of class, id or role that mark what is not the article.
-DROPPED = frozenset("head script style noscript template nav footer aside form button select option input textarea iframe object embed canvas svg math audio video dialog menu title noframes".split())
+DROPPED = frozenset("head script style noscript template nav footer aside button select option input textarea iframe object embed canvas svg math audio video dialog menu title noframes".split())
 MARKS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist disqus consent cookie cookies copyright disclaimer footer gdpr header masthead login menu modal nav navbar navigation navigator newsletter notice notification notifications pager pagination paywall popup promo promotion promoted recommended recommendations related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription survey tags toc toolbar topbar widget widgets".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar toolbar alertdialog".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SLUGGED = HEADINGS | {"p"}
-_TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>", re.S)
+_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+_REST = re.compile(r"((?:[^\"'>]++|\"[^\"]*+\"|'[^']*+')*+)>")
 _NAMED = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
+#: Class or id names of readers' comments, and those that only tell of a page's layout.
+_COMMENT = re.compile(r"(?:user-?|reader-?|post-?)?(?:comments?|disqus|repl(?:y|ies)|respond)(?:[-_]?(?:list|area|section|body|thread|wrap|wrapper|container|box|form|respond|content|item|text|block|feed|module|title|\d+))*")
+_LAYOUT = re.compile(r"(?:no|has|with|without|is|hide|show)[-_]")
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "head_chars", "density", "sum", "drop", "marked")
+    __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "head_chars", "density", "sum", "drop", "marked", "barred")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent, self.children, self.drop, self.marked = tag, parent, [], False, False
+        self.tag, self.parent, self.children, self.drop, self.marked, self.barred = tag, parent, [], False, False, False
         self.chars = self.tags = self.link_chars = self.link_tags = self.head_chars = 0
         self.density = self.sum = 0.0
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is dropped whatever it holds, and whether its class or id marks it."""
-    marked = False
+def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is dropped whatever it holds, unless it holds most of the page, and whether its class or id marks it."""
+    barred, marked = tag == "form", False
     if tag in DROPPED or tag == "header" and not inside:
-        return True, False
+        return True, False, False
     if attributes and "=" in attributes or "hidden" in attributes:
         for name, a, b, c in _NAMED.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
             if name in ("class", "id"):
                 # the id of a heading or paragraph is a slug of its text
-                if tag not in ("article", "main", "body", "html") and not (name == "id" and tag in SLUGGED):
-                    marked = marked or not MARKS.isdisjoint(_WORDS.findall(value))
+                if name == "id" and tag in SLUGGED:
+                    continue
+                for token in value.split():
+                    barred = barred or bool(_COMMENT.fullmatch(token)) and tag not in ("main", "body", "html")
+                    if tag not in ("article", "main", "body", "html") and not _LAYOUT.match(token):
+                        marked = marked or not MARKS.isdisjoint(_WORDS.findall(token))
             elif name == "role":
                 if value.strip() in ROLES:
-                    return True, False
+                    return True, False, False
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return True, False
-    return False, marked
+                return True, False, False
+    return False, barred, marked
+
+
+def _tokens(page: str):
+    """Pieces of text, and tags as (closing, name, attributes, end).  A tag that never ends takes the rest of the page."""
+    at, text, n = 0, 0, len(page)
+    while (at := page.find("<", at)) >= 0:
+        end = None
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            end = end + 3 if end >= 0 else n
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at)
+            end = end + 3 if end >= 0 else n
+        elif page.startswith(("<!", "<?"), at):
+            end = page.find(">", at) + 1 or n
+        if end is None:
+            m = _NAME.match(page, at)
+            if m is None:
+                at += 1
+                continue
+            rest = _REST.match(page, m.end())
+            # an odd quote: the tag ends at the next bracket
+            stop = rest.end() if rest else page.find(">", m.end()) + 1 or n
+            if at > text:
+                yield page[text:at]
+            resume = yield m[1], m[2].lower(), rest[1] if rest else page[m.end() : stop - 1], stop
+            at = text = resume if resume is not None else stop
+            if resume is not None:
+                yield None
+        else:
+            if at > text:
+                yield page[text:at]
+            at = text = end
+    if text < n:
+        yield page[text:]
 
 
 def parse(page: str) -> Node:
     """A tree of elements and strings; open elements end as the HTML rules imply them."""
     root = Node("html", None)
-    node, at = root, 0
-    inside = 0  # depth within article or main
+    node = root
     n = len(page)
-    while at < n:
-        m = _TAG.search(page, at)
-        if m is None:
-            node.children.append(page[at:])
-            break
-        if m.start() > at:
-            node.children.append(page[at : m.start()])
-        at = m.end()
-        tag = m[2]
-        if tag is None:
+    tokens = _tokens(page)
+    for token in tokens:
+        if type(token) is str:
+            node.children.append(token)
             continue
-        tag = tag.lower()
-        if m[1]:
-            if tag == "p" or tag == "br":
-                if tag == "br":
-                    node.children.append(" ")
-                    continue
+        closing, tag, attributes, at = token
+        if closing:
+            if tag == "br":
+                node.children.append(" ")
+                continue
             up = node
             while up is not root and up.tag != tag:
                 # a closing inline tag never ends a block
@@ -105,7 +141,7 @@ def parse(page: str) -> Node:
             if up is not root:
                 node = up.parent
             continue
-        if tag in ("html", "body") and tag == "html":
+        if tag == "html":
             continue
         if tag in CLOSES_P:
             up = node
@@ -137,24 +173,28 @@ def parse(page: str) -> Node:
             while up is not None and not inside:
                 inside = up.tag in ("article", "main")
                 up = up.parent
-        dropped, child.marked = _unwanted(tag, m[3] or "", inside)
-        child.drop = dropped or child.marked
-        if tag in VOID or (m[3] or "").endswith("/") and tag not in BLOCKS and tag not in RAW and tag not in ("a", "b", "i", "span"):
+        dropped, child.barred, child.marked = _unwanted(tag, attributes, inside)
+        child.drop = dropped or child.barred or child.marked
+        if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW and tag not in ("a", "b", "i", "span"):
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
+            tokens.send(end.end() if end else n)
             continue
         node = child
     return root
 
 
-def _density(x: Node, ratio: float) -> float:
-    if not x.chars:
+def _composite(chars: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    if not chars:
         return 0.0
-    tags, plain = max(1, x.tags), max(1, x.chars - x.link_chars)
-    base = math.log(x.chars / plain * max(1, x.link_chars) + ratio * x.chars + math.e)
-    return x.chars / tags * math.log(x.chars / max(1, x.link_chars) * (tags / max(1, x.link_tags)) + 1) / base if base else 0.0
+    tags, plain = max(1, tags), max(1, chars - link_chars)
+    base = math.log(chars / plain * max(1, link_chars) + ratio * chars + math.e)
+    return chars / tags * math.log(chars / max(1, link_chars) * (tags / max(1, link_tags)) + 1) / base if base else 0.0
+
+
+def _density(x: Node, ratio: float) -> float:
+    return _composite(x.chars, x.tags, x.link_chars, x.link_tags, ratio)
 
 
 def _count(x: Node) -> None:
@@ -185,7 +225,8 @@ def _measure(root: Node) -> list[Node]:
     for x in reversed(order):
         x.density = _density(x, ratio)
         x.sum = sum(c.density for c in x.children if type(c) is Node and not c.drop)
-        x.sum += sum(len(c) for c in x.children if type(c) is str and not c.isspace()) if x.tag in ("div", "td", "article", "main", "section", "body") else 0
+        if x.tag in BLOCKS:  # text of the node itself counts as a child without tags
+            x.sum += sum(_composite(len(c), 1, 0, 0, ratio) for c in x.children if type(c) is str and not c.isspace())
     return order
 
 
@@ -209,25 +250,27 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
                 out.append([])
 
 
-def _unmark(node: Node) -> list[Node]:
-    """Lets the marked parts below a node in, nested ones too; returns the nodes kept so, parents first."""
+def _unmark(node: Node, barred: bool = False) -> list[Node]:
+    """Lets the marked (and barred) parts below a node in, nested ones too; returns the nodes kept so, parents first."""
     out, stack = [], [node]
     while stack:
         out.append(x := stack.pop())
         for c in x.children:
-            if type(c) is Node and (c.marked or not c.drop):
+            if type(c) is Node and (not c.drop or barred and c.barred or c.marked and not c.barred):
                 c.drop = False
                 stack.append(c)
     return out
 
 
 def _keep_most(root: Node) -> None:
-    """A marked part that holds most of the page's text is no side matter."""
-    order = _unmark(root)
+    """A marked or barred part that holds most of the page's text is no side matter."""
+    order = _unmark(root, True)
     for x in reversed(order):
         _count(x)
     for x in order:
-        x.drop = x.marked and 2 * (x.chars - x.link_chars) <= root.chars - root.link_chars
+        most = 2 * (x.chars - x.link_chars) > root.chars - root.link_chars
+        x.barred = x.barred and not most
+        x.drop = x.barred or x.marked and not most
 
 
 def _keep_dense(node: Node, threshold: float, ratio: float) -> None:
@@ -266,7 +309,8 @@ def main_text(page: str | None) -> str:
     picked = [whole] if whole is not None else _dense(body, core, threshold, ratio)
     out: list[list[str]] = [[]]
     for x in picked:
-        _keep_dense(x, threshold, ratio)
+        if x is not body:  # where all of the page is taken, its marked parts are beside the text, not in it
+            _keep_dense(x, threshold, ratio)
         _blocks(x, out)
         out.append([])
     lines = (" ".join(html.unescape("".join(b)).split()) for b in out if b)
@@ -327,7 +371,8 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Adds ``text`` and ``n_chars`` to the rows, replacing columns of those names.
 
     A page that is null, empty or has no article text gets an empty text.  Pages are read
-    whole; equal pages get equal texts.
+    whole, in time linear in their length, and nest to any depth; equal pages get equal texts; an empty
+    table gives an empty result.
     """
     keep = [c for c in pages.columns if c not in ("text", "n_chars")]
     at = keep.index(html_col)
