@@ -12,6 +12,7 @@ from .langid import LanguageModel, fit_language_model, identify
 from .licenses import scan_licenses
 from .ngram_join import ngram_jaccard_components
 from .packing import LENGTHS, pack
+from .periodic import periodic_runs
 from .sharding import extendible_shards
 from .suffix_dedup import suffix_dedup
 from .vectors import embedding_dedup, vp_search
@@ -82,7 +83,28 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "doc_id", n_words(F.col("text")), permitted=LENGTHS)
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_embedding_dedup, op4_substring_dedup, op5_license_scan, op6_sharding, op7_byte_bpe, op8_html_text, op9_vp_search, op10_best_fit)}
+def planted(docs: DataFrame) -> DataFrame:
+    """(doc_id, text): in a document in ten, by a hash of the id, the words from one place on repeat with a period."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(h / 10).cast("long"), F.size("words").cast("long")
+    a = g % n
+    period = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
+    moved = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORDS})"), F.lit(1))).alias("words"))
+    moved = moved.select("doc_id", "text", "words", a.alias("a"), period.alias("period"))
+    word = lambda w, i: F.when(i < F.col("a"), w).otherwise(F.get("words", (F.col("a") + (i - F.col("a")) % F.col("period")).cast("int")))
+    again = F.array_join(F.transform("words", word), " ")
+    return moved.select("doc_id", F.when(F.size("words") > 0, again).otherwise(F.col("text")).alias("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = periodic_runs(planted(table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    listed = F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(F.lit(""))
+    exponent = F.floor(1000 * F.col("best.length") / F.col("best.period")).cast("long")
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_embedding_dedup, op4_substring_dedup, op5_license_scan, op6_sharding, op7_byte_bpe, op8_html_text, op9_vp_search, op10_best_fit, op13_periodic_runs)}
 
 SQL = {
     "op4_substring_dedup": """
