@@ -10,6 +10,7 @@ from .bpe import encode_decode
 from .html_text import extract
 from .langid import LanguageModel, fit_language_model, identify
 from .licenses import scan_licenses
+from .line_dedup import drop_shared_lines
 from .ngram_join import ngram_jaccard_components
 from .packing import LENGTHS, pack
 from .periodic import periodic_runs
@@ -83,6 +84,11 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "doc_id", n_words(F.col("text")), permitted=LENGTHS)
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = drop_shared_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def planted(docs: DataFrame) -> DataFrame:
     """(doc_id, text): in a document in ten, by a hash of the id, the words from one place on repeat with a period."""
     h = F.crc32(F.col("doc_id").cast("string"))
@@ -104,7 +110,7 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_embedding_dedup, op4_substring_dedup, op5_license_scan, op6_sharding, op7_byte_bpe, op8_html_text, op9_vp_search, op10_best_fit, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_embedding_dedup, op4_substring_dedup, op5_license_scan, op6_sharding, op7_byte_bpe, op8_html_text, op9_vp_search, op10_best_fit, op12_line_dedup, op13_periodic_runs)}
 
 SQL = {
     "op4_substring_dedup": """
@@ -122,5 +128,12 @@ w AS (SELECT doc_id, n_bytes, CAST(concat('0x', substr(m, 1, 7)) AS BIGINT) AS h
 s AS (SELECT doc_id, depth, sum(n_bytes) OVER (PARTITION BY depth, h >> (28 - depth)) AS b FROM w, (SELECT unnest(range(0, 29)) AS depth)),
 l AS (SELECT doc_id, min(depth) FILTER (WHERE b <= {SHARD_BYTES}) AS depth FROM s GROUP BY doc_id)
 SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, substr(bits, 1, coalesce(depth, 112)) AS shard, depth IS NULL AS oversize FROM w JOIN l USING (doc_id)""",
+    "op12_line_dedup": """
+WITH l AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+  FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
+hot AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 40 GROUP BY k HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT doc_id, i, line, last IS NOT NULL AND last <> doc_id AS gone FROM l LEFT JOIN hot USING (k))
+SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id""",
 }
 #: op6: a bucket that 28 bits do not split is one row over the limit; op9 has no SQL, which would sum in another order.
