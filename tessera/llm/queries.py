@@ -16,6 +16,7 @@ from .packing import LENGTHS, pack
 from .periodic import periodic_runs
 from .sharding import extendible_shards
 from .suffix_dedup import suffix_dedup
+from .vector_codes import compress_vectors
 from .vectors import embedding_dedup, vp_search
 
 #: Bytes of a shard.
@@ -84,6 +85,10 @@ def op10_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), "doc_id", n_words(F.col("text")), permitted=LENGTHS)
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(table(spark, sf_dir, "embeddings"), parts=4, entries=256, rounds=4, scale=1024)
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = drop_shared_lines(table(spark, sf_dir, "documents"), min_chars=40, min_docs=5)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -110,7 +115,25 @@ def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", exponent.alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_embedding_dedup, op4_substring_dedup, op5_license_scan, op6_sharding, op7_byte_bpe, op8_html_text, op9_vp_search, op10_best_fit, op12_line_dedup, op13_periodic_runs)}
+QUERIES = {f.__name__: f for f in (op1_ngram_jaccard, op2_language_id, op3_embedding_dedup, op4_substring_dedup, op5_license_scan, op6_sharding, op7_byte_bpe, op8_html_text, op9_vp_search, op10_best_fit, op11_vector_codes, op12_line_dedup, op13_periodic_runs)}
+
+def _codes_sql() -> str:
+    """op11: codebooks c0 to c4, each from the one before."""
+    out = ["""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT vec_id, label, k, q[k * len(q) // 4 + 1:(k + 1) * len(q) // 4] AS x FROM v, (SELECT unnest(range(0, 4)) AS k)),
+c0 AS MATERIALIZED (SELECT k, row_number() OVER (PARTITION BY k ORDER BY vec_id) - 1 AS e, x AS c FROM p QUALIFY e < 256)"""]
+    for r in range(5):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT vec_id, any_value(label) AS label, k, min(d * 256 + e) % 256 AS e, min(d) AS d FROM (
+  SELECT vec_id, label, p.k, e, CAST(list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) AS d FROM p JOIN c{r} USING (k)) GROUP BY vec_id, k)""")
+        if r < 4:
+            out.append(f"""m{r} AS (SELECT k, e, list(m ORDER BY i) AS c FROM (SELECT p.k, e, i, CAST(floor(sum(x[i]) / count(*)) AS BIGINT) AS m
+  FROM p JOIN a{r} USING (vec_id, k), (SELECT unnest(range(1, 1 + (SELECT max(len(x)) FROM p))) AS i) GROUP BY p.k, e, i) GROUP BY k, e)""")
+            out.append(f"c{r + 1} AS MATERIALIZED (SELECT k, e, coalesce(m{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN m{r} USING (k, e))")
+    return ", ".join(out) + """, f AS (SELECT vec_id, any_value(label) AS label, string_agg(printf('%02x', e), '' ORDER BY k) AS code, CAST(sum(d) AS BIGINT) AS error FROM a4 GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY k, e)) FROM c4) AS codebooks_sha256 FROM f"""
+
 
 SQL = {
     "op4_substring_dedup": """
@@ -128,6 +151,7 @@ w AS (SELECT doc_id, n_bytes, CAST(concat('0x', substr(m, 1, 7)) AS BIGINT) AS h
 s AS (SELECT doc_id, depth, sum(n_bytes) OVER (PARTITION BY depth, h >> (28 - depth)) AS b FROM w, (SELECT unnest(range(0, 29)) AS depth)),
 l AS (SELECT doc_id, min(depth) FILTER (WHERE b <= {SHARD_BYTES}) AS depth FROM s GROUP BY doc_id)
 SELECT doc_id, CAST(n_bytes AS BIGINT) AS n_bytes, substr(bits, 1, coalesce(depth, 112)) AS shard, depth IS NULL AS oversize FROM w JOIN l USING (doc_id)""",
+    "op11_vector_codes": _codes_sql(),
     "op12_line_dedup": """
 WITH l AS (SELECT doc_id, i, line, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
   FROM (SELECT doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents))),
