@@ -98,7 +98,7 @@ def planted(docs: DataFrame) -> DataFrame:
     """(doc_id, text): in a document in ten, by a hash of the id, the words from one place on repeat with a period."""
     h = F.crc32(F.col("doc_id").cast("string"))
     g, n = F.floor(h / 10).cast("long"), F.size("words").cast("long")
-    a = g % n
+    a = g % F.greatest(n, F.lit(1))
     period = 1 + F.floor((n - a) / (3 + g % 8)).cast("long")
     moved = docs.select("doc_id", "text", F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(f"({WORDS})"), F.lit(1))).alias("words"))
     moved = moved.select("doc_id", "text", "words", a.alias("a"), period.alias("period"))

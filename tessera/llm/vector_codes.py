@@ -255,7 +255,8 @@ def compress_vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "em
     scratch = Scratch(rows.sparkSession, "codes")
     books = fit_codebooks(rows, id_col, vec_col, parts=parts, entries=entries, rounds=rounds, scale=scale, bits=bits)
     coded = scratch.put(encode(rows, books, id_col, vec_col, (label_col,), bits=bits), "coded")
-    total = F.least(F.sum(F.col("error").cast("decimal(20, 0)")), F.lit(LONG).cast("decimal(30, 0)")).cast("long")
+    total = F.sum(F.col("error").cast("decimal(20, 0)"))
+    total = F.when(total <= LONG, total.cast("long")).when(total.isNotNull(), F.lit(LONG))
     by_label = coded.groupBy(F.col("m0").alias("label")).agg(total.alias("label_error"))
     out = coded.join(by_label, F.col("m0").eqNullSafe(F.col("label")), "left")
     return out.select(F.col("id").alias(id_col), "code", "error", "label_error", F.lit(books.sha256() if books else None).cast("string").alias("codebooks_sha256"))
