@@ -159,5 +159,22 @@ hot AS (SELECT k, max(doc_id) AS last FROM l WHERE length(k) >= 40 GROUP BY k HA
 m AS (SELECT doc_id, i, line, last IS NOT NULL AND last <> doc_id AS gone FROM l LEFT JOIN hot USING (k))
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (WHERE gone) AS BIGINT) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM m GROUP BY doc_id""",
+    "op13_periodic_runs": """
+WITH c AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') END AS w,
+  xor(list_reduce(list_concat([4294967295], flatten(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: [CAST(ascii(d) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda h, v: CASE WHEN v >= 0 THEN xor(h, v) WHEN h % 2 = 1 THEN xor(h // 2, 3988292384) ELSE h // 2 END), 4294967295) AS h FROM documents),
+a AS (SELECT doc_id, w, h, len(w) AS n, h // 10 AS g, CASE WHEN len(w) > 0 THEN (h // 10) % len(w) ELSE 0 END AS a FROM c),
+d AS MATERIALIZED (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(0, n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (n - a) // (3 + g % 8)) END]) ELSE w END AS w FROM a),
+x AS MATERIALIZED (SELECT doc_id, n, unnest(w) AS x, unnest(range(0, n)) AS i FROM d),
+pairs AS (SELECT l.doc_id, l.i, r.i - l.i AS p FROM x l JOIN x r ON l.doc_id = r.doc_id AND l.x = r.x AND r.i > l.i AND (r.i - l.i) * 3 <= l.n),
+stretches AS (SELECT doc_id, p, min(i) AS s, count(*) + p AS length FROM (SELECT doc_id, p, i, i - row_number() OVER (PARTITION BY doc_id, p ORDER BY i) AS island FROM pairs) GROUP BY doc_id, p, island),
+runs AS MATERIALIZED (SELECT doc_id, s, length, min(p) AS p FROM stretches WHERE length >= greatest(24, 3 * p) GROUP BY doc_id, s, length),
+best AS (SELECT doc_id, s, length, p FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length / p DESC, s, p) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || length || ',' || p || chr(10), '' ORDER BY s, p) AS t FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + p, s + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY i) AS t FROM x ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, s AS "start", best.length, p AS period, CAST(floor(1000 * best.length // p) AS BIGINT) AS exponent_milli,
+  sha256(coalesce(listed.t, '')) AS runs_sha256, sha256(coalesce(kept.t, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)""",
 }
 #: op6: a bucket that 28 bits do not split is one row over the limit; op9 has no SQL, which would sum in another order.
