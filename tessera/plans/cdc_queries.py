@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 from ..functions import redact as R
 from ..operators import cdc as C
 from ..operators.ordered import previous
+from ..sources import replication as W
 from .base import query
 
 
@@ -117,3 +118,35 @@ def credential_classify(t):
 def observe_counters(t):
     kind = F.when(F.col("event_type") == "click", "http_request").when(F.col("event_type") == "purchase", "sql_query").when(F.col("event_type") == "view", "dns_lookup").otherwise("process_exec")
     return t.events.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("received"), F.count_if(F.col("value") > 50).alias("kept"), F.count_if(~(F.col("value") > 50)).alias("filtered"))
+
+
+def order_messages(t):
+    """All orders as replication messages of one slot: a transaction for each 100 keys, a description that gains a column, truncations."""
+    o = t.orders.select(F.col("o_orderkey").alias("k"), F.col("o_orderstatus").alias("s"), F.round("o_totalprice").cast("long").alias("p"), F.col("o_orderpriority").alias("y"))
+    key, status, price, more = (F.col(c).cast("string") for c in "kspy")
+    late = F.col("k") >= 5000
+    row = F.when(late, W.tuple_data([key, status, price, more])).otherwise(W.tuple_data([key, status, price]))
+    old = F.when(late, W.tuple_data([key, F.lit(None).cast("string"), F.lit(None).cast("string"), F.lit(None).cast("string")])).otherwise(W.tuple_data([key, F.lit(None).cast("string"), F.lit(None).cast("string")]))
+    head = lambda c: F.concat(F.lit(c).cast("binary"), W.number(F.lit(7), 4))
+    mark = lambda c: F.lit(c).cast("binary")
+    change = F.when(F.col("k") % 10 == 0, F.concat(head("D"), mark("K"), old)).when(F.col("k") % 10 < 3, F.concat(head("U"), mark("O"), row, mark("N"), row)).otherwise(F.concat(head("I"), mark("N"), row))
+    changes = o.select((F.col("k") * 16 + 8).alias("position"), change.alias("payload"))
+    x = o.select(F.expr("k div 100").alias("x")).distinct()
+    begins = x.select((F.col("x") * 1600 + 1).alias("position"), F.concat(mark("B"), W.number(F.col("x") * 1600 + 5000000000, 8), W.number(F.col("x"), 8), W.number(F.col("x") + 1, 4)).alias("payload"))
+    cleared = x.where("x % 7 = 0").select((F.col("x") * 1600 + 3).alias("position"), F.concat(mark("T"), W.number(F.lit(2), 4), W.number(F.lit(0), 1), W.number(F.lit(7), 4), W.number(F.lit(9), 4)).alias("payload"))
+    columns = [("k", 20, True), ("s", 25, False), ("p", 20, False), ("y", 25, False)]
+    described = t.spark.createDataFrame([(0, W.relation_message(7, "public", "orders", columns[:3])), (50 * 1600 + 2, W.relation_message(7, "public", "orders", columns))], "position long, payload binary")
+    return changes.union(begins).union(cleared).union(described).select(F.lit("main").alias("slot"), "position", "payload")
+
+
+@query("""
+WITH e AS (SELECT o_orderkey * 16 + 8 AS position, o_orderkey // 100 AS x, CASE WHEN o_orderkey % 10 = 0 THEN 'D' WHEN o_orderkey % 10 < 3 THEN 'U' ELSE 'I' END AS op, o_orderkey AS k, o_orderstatus AS s, CAST(round(o_totalprice) AS BIGINT) AS p, CASE WHEN o_orderkey >= 5000 THEN o_orderpriority END AS y FROM orders
+  UNION ALL SELECT DISTINCT (o_orderkey // 100) * 1600 + 3, o_orderkey // 100, 'T', NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey // 100 % 7 = 0)
+SELECT position, op, 'orders' AS table_name, upper(printf('%x/%x', (x * 1600 + 5000000000) >> 32, (x * 1600 + 5000000000) & 4294967295)) AS lsn, x + 1 AS xid, row_number() OVER (PARTITION BY x ORDER BY position) - 1 AS seq,
+  k, CASE WHEN op <> 'D' THEN s END AS status, CASE WHEN op <> 'D' THEN p END AS price, CASE WHEN op <> 'D' THEN y END AS priority, CASE WHEN op = 'U' THEN s END AS old_status FROM e""")
+def wal_decode(t):
+    """Replication messages of all orders, decoded side by side."""
+    d = W.decoded(order_messages(t))
+    field = lambda image, c: F.get_json_object(image, f"$.{c}")
+    k = F.coalesce(field("after", "k"), field("before", "k")).cast("long")
+    return d.select("position", "op", "table_name", "lsn", "xid", "seq", k.alias("k"), field("after", "s").alias("status"), field("after", "p").cast("long").alias("price"), field("after", "y").alias("priority"), field("before", "s").alias("old_status"))
