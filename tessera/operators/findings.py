@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .graph import substrings
 
 
 def rule_id(kind: Column, dimension: Column, runner: Column, function: Column) -> Column:
@@ -98,18 +97,3 @@ def accumulate_profile(profile: DataFrame, parsed: DataFrame) -> DataFrame:
     """(grammar, files, quality) with the files just parsed (grammar, quality) added."""
     more = parsed.select("grammar", F.lit(1).cast("long").alias("files"), "quality")
     return profile.select("grammar", "files", "quality").unionByName(more).groupBy("grammar").agg(F.sum("files").alias("files"), F.sum("quality").alias("quality"))
-
-
-def contained_names(names: DataFrame, texts: DataFrame) -> DataFrame:
-    """(owner, name, path): the first name of each owner that a text holds, in lower case, by equality joins.
-
-    ``names``: owner, name, place; ``texts``: path, text.  A name is first looked up by the words it starts with, and then
-    searched in the texts that have them, so that not every text meets every name.
-    """
-    head = lambda s: F.regexp_extract(F.lower(s), "[a-z0-9_]{1,3}", 0)
-    n = names.withColumn("key", head(F.col("name"))).where("key <> ''").withColumn("key", F.substring("key", 1, 3)).withColumn("len", F.length("key"))
-    low = texts.select("path", F.lower("text").alias("low"))
-    keys = low.select("path", "low", F.array_distinct(F.concat(*[substrings(F.col("low"), k) for k in (1, 2, 3)])).alias("keys"))
-    hit = keys.select("path", "low", F.explode("keys").alias("key")).join(n.drop("len"), "key").where(F.contains("low", F.lower("name")))
-    first = F.min_by("name", F.struct("place", "name"))
-    return hit.groupBy("owner", "path").agg(first.alias("name"))

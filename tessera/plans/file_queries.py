@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import files as W
 from ..operators import findings as X
 from ..operators import ops as O
+from ..operators import patterns as P
+from ..operators.ordered import previous
 from .base import query
 
 
@@ -179,8 +181,55 @@ SELECT owner, item_id AS path, arg_min(name, struct_pack(a := place, b := name))
 def contained_names(t):
     first = F.split("text", " ")[0]
     n = t.documents.select(F.concat("lang", "source").alias("owner"), first.alias("name"), F.col("doc_id").alias("place")).where(F.length("name").between(3, 20) & F.col("owner").isNotNull())
-    n = n.groupBy("owner", "name").agg(F.min("place").alias("place"))
-    return X.contained_names(n, t.benchmark.select(F.col("item_id").alias("path"), "text"))
+    n = n.where(F.lower("name").rlike("[a-z0-9_]")).groupBy("owner", "name").agg(F.min("place").alias("place"))
+    return P.contained_names(n, t.benchmark.select(F.col("item_id").alias("path"), "text"))
+
+
+ITEM_WORDS = "w AS (SELECT item_id AS owner, unnest(l) AS name, unnest(range(1, len(l) + 1)) AS place FROM (SELECT item_id, regexp_extract_all(text, '[A-Za-z]{5,}') AS l FROM benchmark))"
+SOURCE_FILES = "f AS (SELECT 'src/' || doc_id || CASE doc_id % 4 WHEN 0 THEN '.py' WHEN 1 THEN '.ts' WHEN 2 THEN '.tsx' ELSE '.md' END AS path, text FROM documents)"
+
+
+def item_words(t):
+    """The longer words of each item, in order."""
+    words = F.regexp_extract_all("text", F.lit("([A-Za-z]{5,})"))
+    return t.benchmark.select(F.col("item_id").alias("owner"), F.posexplode(words).alias("place", "name"))
+
+
+def files(t):
+    end = F.element_at(F.array(*map(F.lit, (".py", ".ts", ".tsx", ".md"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    return t.documents.select(F.concat(F.lit("src/"), "doc_id", end).alias("path"), "text")
+
+
+@query(f"""
+WITH {ITEM_WORDS}, {SOURCE_FILES}, v AS (SELECT owner, name FROM w QUALIFY row_number() OVER (PARTITION BY owner ORDER BY place) <= 20 UNION SELECT DISTINCT owner, unnest(['os.environ', 'os.getenv', 'process.env.', 'settings.', 'config.']) FROM w),
+h AS (SELECT name, path FROM (SELECT DISTINCT name FROM v) JOIN f ON path NOT LIKE '%.md' AND contains(text, name))
+SELECT DISTINCT owner, path FROM v JOIN h USING (name)""")
+def env_consumers(t):
+    """Files that name one of an item's first twenty words, as if these were variables of an environment."""
+    return P.environment_consumers(item_words(t), files(t))
+
+
+@query(f"""
+WITH {ITEM_WORDS}, {SOURCE_FILES}, r AS (SELECT DISTINCT name, name || '[^A-Za-z]+([A-Za-z]+[^A-Za-z]+){{0,2}}' || after AS pattern FROM (SELECT name, lead(name) OVER (PARTITION BY owner ORDER BY place) AS after FROM w) WHERE after IS NOT NULL)
+SELECT name || ' ' || pattern AS rule, path FROM r JOIN f ON contains(text, name) AND regexp_matches(text, pattern)""")
+def pattern_consumers(t):
+    """Files in which a longer word of an item is closely followed by the item's next one: thousands of patterns."""
+    w = previous(item_words(t).withColumn("back", -F.col("place")), ["owner"], ["back"], "name", "after").where("after is not null")
+    r = w.select("name", F.concat("name", F.lit("[^A-Za-z]+([A-Za-z]+[^A-Za-z]+){0,2}"), "after").alias("pattern")).distinct()
+    return P.matches(r.select(F.concat_ws(" ", "name", "pattern").alias("rule"), "name", "pattern"), files(t))
+
+
+@query("""
+WITH c AS (SELECT 'o' || l_orderkey AS source, 'p' || l_partkey AS target, min(l_linenumber) AS place FROM lineitem GROUP BY 1, 2),
+r AS (SELECT source, target FROM c QUALIFY row_number() OVER (PARTITION BY target ORDER BY place, source) <= 120),
+l AS (SELECT 'o' || l_orderkey AS source, 'p' || l_partkey AS target, unnest([0, 1, 2]) AS place, unnest([CASE WHEN l_quantity > 25 THEN 'int' ELSE 'float' END, l_returnflag, CASE WHEN l_linenumber = 1 THEN NULL ELSE 'str' END]) AS kind FROM lineitem)
+SELECT target, place, coalesce(kind, 'None') AS kind, count(*) AS n FROM l JOIN r USING (source, target) GROUP BY 1, 2, 3""")
+def caller_literal_kinds(t):
+    i = t.lineitem.select(F.concat(F.lit("o"), "l_orderkey").alias("source"), F.concat(F.lit("p"), "l_partkey").alias("target"), "l_linenumber", "l_quantity", "l_returnflag")
+    calls = i.groupBy("source", "target").agg(F.min("l_linenumber").alias("at"))
+    kinds = F.array(F.when(F.col("l_quantity") > 25, "int").otherwise("float"), "l_returnflag", F.when(F.col("l_linenumber") != 1, "str"))
+    literals = i.select(F.col("source").alias("caller"), F.col("target").alias("callee"), F.posexplode(kinds).alias("place", "kind"))
+    return P.caller_literals(calls, literals)
 
 
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Z]{4,}!!') THEN 'shout' WHEN regexp_matches(text, '\\|[^|]*\\|') THEN 'table' END AS kind FROM documents WHERE regexp_matches(text, '[A-Z]{4,}!!|\\|[^|]*\\|')")
