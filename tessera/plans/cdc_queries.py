@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import redact as R
 from ..operators import cdc as C
+from ..operators.graph import shared_dir
 from ..operators.ordered import previous
 from ..sources import replication as W
+from ..streaming.store import BucketStore
 from .base import query
 
 
@@ -37,6 +41,21 @@ def cdc_apply_latest(t):
     return C.apply_changes(t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v")), changes, "k", "op", ["event_id"])
 
 
+@query("""
+WITH c AS (SELECT user_id AS k, event_id, value, CASE WHEN event_type IN ('click','view') THEN 'U' WHEN event_type = 'error' THEN 'D' ELSE 'I' END AS op FROM events),
+l AS (SELECT k, arg_max(op, event_id) AS op, arg_max(value, event_id) AS v FROM c GROUP BY k)
+SELECT c_custkey AS k, c_acctbal AS v FROM customer WHERE c_custkey NOT IN (SELECT k FROM l) UNION ALL SELECT k, v FROM l WHERE op <> 'D'""")
+def cdc_bucketed_state(t):
+    """The same changes, applied in four batches to a state in buckets, with the rows of ``customer`` as the first batch."""
+    op = F.when(F.col("event_type").isin("click", "view"), "U").when(F.col("event_type") == "error", "D").otherwise("I")
+    changes = t.events.select(F.col("user_id").alias("k"), F.col("value").alias("v"), op.alias("op"), F.col("event_id").cast("long").alias("seq"))
+    first = t.customer.select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), F.lit("I").alias("op"), F.lit(-1).cast("long").alias("seq"))
+    store = BucketStore(t.spark, f"{shared_dir(t.spark)}/state-{uuid.uuid4().hex}", ["k"], "op", ["seq"], buckets=16)
+    for epoch, batch in enumerate([first, *[changes.where(F.pmod(F.xxhash64("seq"), F.lit(4)) == i) for i in range(4)]]):
+        store.apply(batch, epoch)
+    return store.current().select("k", "v")
+
+
 @query("SELECT coalesce(CASE WHEN event_type = 'error' THEN 'unmapped_column' WHEN event_type = 'signup' THEN 'unknown_relation' WHEN value > 90 THEN 'schema_drift' END, 'apply') AS reason, count(*) AS n FROM events GROUP BY 1")
 def cdc_classify(t):
     op = F.when(F.col("event_type") == "error", "T").otherwise("U")

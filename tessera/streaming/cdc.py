@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from .store import BucketStore, replay_into
+
 
 def fresh_events(events: DataFrame) -> DataFrame:
     """Of a stream (tab, lsn, seq, payload, arrival): the events beyond the (lsn, seq) that arrived before of their table.
@@ -33,31 +35,13 @@ def fresh_events(events: DataFrame) -> DataFrame:
 
 
 def apply_batches(changes: DataFrame, path: str, key: str, op: str, order: list[str], checkpoint: str, kept: int = 2):
-    """The state after all changes: of each key the last one, unless it is a deletion.
-
-    Each batch writes the next Parquet generation under ``path``; a batch that is retried rewrites its own, and
-    only the last ``kept`` generations stay.  Deletions stay as rows of the generations, so that a late
-    older change of a deleted key is not applied; read with ``current``.
-    """
-
-    def one(batch: DataFrame, epoch: int) -> None:
-        spark = batch.sparkSession
-        columns = [c for c in batch.columns if c != key]
-        if epoch:
-            batch = batch.unionByName(spark.read.parquet(f"{path}/generation={epoch - 1}"), allowMissingColumns=True)
-        last = batch.groupBy(key).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("r")).select(key, "r.*")
-        last.write.mode("overwrite").parquet(f"{path}/generation={epoch}")
-        old = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/generation={epoch - kept}")
-        old.getFileSystem(spark._jsc.hadoopConfiguration()).delete(old, True)
-
-    return changes.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """The state after all changes: of each key the last one, unless it is a deletion; see ``store`` and read with ``current``."""
+    return replay_into(changes, BucketStore(changes.sparkSession, path, [key], op, order, kept=kept), checkpoint)
 
 
-def current(spark: SparkSession, path: str, op: str) -> DataFrame:
-    """The rows of the last generation that are not deleted."""
-    rows = spark.read.parquet(path)
-    last = rows.agg(F.max("generation").alias("g"))
-    return rows.join(F.broadcast(last), F.col("generation") == F.col("g")).where(F.col(op) != "D").drop("generation", "g", op)
+def current(spark: SparkSession, path: str, key: str, op: str, order: list[str]) -> DataFrame:
+    """The rows of ``apply_batches`` that are not deleted."""
+    return BucketStore(spark, path, [key], op, order).current()
 
 
 def windowed_counts(events: DataFrame, ts: str, key: str, size: str = "5 minutes", late: str = "10 minutes") -> DataFrame:

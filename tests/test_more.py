@@ -228,9 +228,9 @@ def test_apply_batches_keeps_deletions(spark, tmp_path):
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     run_stream(stream_cdc.apply_batches(stream, str(tmp_path / "out"), "k", "op", ["lsn"], str(tmp_path / "ck")))
-    got = stream_cdc.current(spark, str(tmp_path / "out"), "op")
+    got = stream_cdc.current(spark, str(tmp_path / "out"), "k", "op", ["lsn"])
     assert sorted((r.k, r.v) for r in got.collect()) == [(1, "a2"), (3, "c")]
-    assert len(list((tmp_path / "out").glob("generation=*"))) == 2
+    assert len(list((tmp_path / "out" / "manifests").glob("*.json"))) == 2
 
 
 def test_expiring_store(spark, tmp_path):
