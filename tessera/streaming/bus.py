@@ -1,13 +1,9 @@
-"""Streams beside change capture: histories with replay, a store whose entries expire, tickers and debounced deltas."""
+"""Streams beside change capture: histories with replay, tickers and debounced deltas."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def job_events(spark: SparkSession, path: str, schema: str, job: str | None = None) -> DataFrame:
@@ -24,33 +20,6 @@ def replay(spark: SparkSession, path: str, key: str, last: object | None = None)
     return rows.where(F.col(key) > last)
 
 
-def expiring_store(requests: DataFrame, seconds: float = 120.0) -> DataFrame:
-    """Answers to requests (key, action, value, at): ``put`` keeps a value for some time, ``pop`` takes it once.
-
-    Gives (key, at, value, status) for each pop: ``found``, ``expired`` or ``missing``.  Times are those of the
-    requests, so a replay gives the same answers; the state of a key is at most one value.
-    """
-
-    def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        value, until = state.get if state.exists else (None, None)
-        out = []
-        for at, action, given in pd.concat(list(frames)).sort_values("at", kind="stable")[["at", "action", "value"]].itertuples(index=False):
-            if action == "put":
-                value, until = given, at + seconds
-            elif until is None:
-                out.append((key[0], at, None, "missing"))
-            else:
-                out.append((key[0], at, value, "found") if at < until else (key[0], at, None, "expired"))
-                value = until = None
-        if until is None:
-            state.remove()
-        else:
-            state.update((value, until))
-        yield pd.DataFrame(out, columns=["key", "at", "value", "status"])
-
-    return requests.groupBy("key").applyInPandasWithState(step, "key string, at double, value string, status string", "value string, until double", "append", GroupStateTimeout.NoTimeout)
-
-
 def ticker(events: DataFrame, keys: list[str], name: str, checkpoint: str, every: str = "500 milliseconds"):
     """Counts of each key so far, shown in a memory table at an interval."""
     counts = events.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))

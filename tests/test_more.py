@@ -233,17 +233,6 @@ def test_apply_batches_keeps_deletions(spark, tmp_path):
     assert len(list((tmp_path / "out" / "manifests").glob("*.json"))) == 2
 
 
-def test_expiring_store(spark, tmp_path):
-    rows = [("a", 0.0, "put", "x"), ("a", 10.0, "pop", None), ("a", 11.0, "pop", None), ("b", 0.0, "put", "y"), ("b", 500.0, "pop", None), ("c", 1.0, "pop", None)]
-    schema = "key string, at double, action string, value string"
-    spark.createDataFrame(rows, schema).repartition(3).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
-    out = bus.expiring_store(stream).writeStream.format("memory").queryName("store").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    run_stream(out)
-    got = sorted((r.key, r.at, r.value, r.status) for r in spark.table("store").collect())
-    assert got == [("a", 10.0, "x", "found"), ("a", 11.0, None, "missing"), ("b", 500.0, None, "expired"), ("c", 1.0, None, "missing")]
-
-
 def test_bus_replay_and_deltas(spark, tmp_path):
     schema = "job string, seq long, v string"
     spark.createDataFrame([("j", 1, "a"), ("j", 2, "b"), ("k", 3, "c")], schema).coalesce(1).write.parquet(str(tmp_path / "h"))
