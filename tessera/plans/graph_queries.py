@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from ..operators import deep as D
 from ..operators import graph as G
 from .base import query
 
@@ -127,7 +128,9 @@ def graph_components_whole(t):
 
 @query(f"WITH RECURSIVE {PARTS}, r AS (SELECT id, 0 AS layer FROM pn UNION ALL SELECT source_id, layer + 1 FROM r JOIN pe ON target_id = id) SELECT id, CAST(max(layer) AS INTEGER) AS layer FROM r GROUP BY id")
 def graph_topo_layers_whole(t):
-    return graph_topo_layers(t)
+    """The same layers by contraction, in rounds that grow with the logarithm of the depth."""
+    n, e = part_graph(t)
+    return D.layers(e, n)
 
 
 @query("SELECT CAST(i AS INTEGER) AS position, name FROM (VALUES (0,'part'),(1,'region'),(2,'nation'),(3,'customer'),(4,'orders'),(5,'supplier'),(6,'lineitem')) v(i, name)")
@@ -144,6 +147,18 @@ def graph_scc(t):
     return G.strong_components(e, n)
 
 
+@query(f"""WITH RECURSIVE {CYCLES}, r AS (SELECT id AS a, id AS b FROM pn UNION SELECT r.a, target_id FROM r JOIN pc ON r.b = source_id),
+s AS (SELECT x.a AS id, min(x.b) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+c AS (SELECT DISTINCT a.scc AS source, b.scc AS target FROM pc JOIN s a ON a.id = source_id JOIN s b ON b.id = target_id WHERE a.scc <> b.scc),
+l AS (SELECT DISTINCT scc, 0 AS layer FROM s UNION SELECT source, layer + 1 FROM l JOIN c ON target = l.scc),
+m AS (SELECT scc, CAST(max(layer) AS INTEGER) AS layer FROM l GROUP BY scc)
+SELECT id, s.scc, layer, CAST(dense_rank() OVER (ORDER BY layer, s.scc) - 1 AS BIGINT) AS position FROM s JOIN m ON m.scc = s.scc""")
+def graph_condensation(t):
+    """The order in which the parts may be taken: those that others point to first, the parts of a cycle together."""
+    n, e = part_cycles(t)
+    return D.condensation(e, n)
+
+
 @query(f"WITH RECURSIVE {PARTS}, r AS (SELECT id, 1 AS n FROM pn WHERE CAST(k AS BIGINT) % 2 = 0 UNION SELECT target_id, n + 1 FROM r JOIN pe ON source_id = id WHERE n < 40) SELECT max(n) AS longest FROM r")
 def graph_longest_path(t):
     """Nodes on the longest path of the part forest that starts at an even part."""
