@@ -7,7 +7,7 @@ and the smallest density on the path from it to the body is the threshold.  Subt
 least that dense give the text, each through its own descendant of the largest sum.
 Dense runs of text and inline elements beside them give theirs too.
 Parts that are never article text by their element or role take no part, nor do forms and
-readers' comments unless they hold most of the page.  A word of a
+readers' comments; a form that holds all of the text counts as a page.  A word of a
 class or id only marks a part: outside the text found so, and where its links or its
 density agree also inside, it takes none; a part that is mostly heading stays.
 """
@@ -17,6 +17,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -45,6 +46,10 @@ _WORDS = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 #: Class or id names of readers' comments, and those that only tell of a page's layout.
 _COMMENT = re.compile(r"(?:user-?|reader-?|post-?)?(?:comments?|disqus|repl(?:y|ies)|respond)(?:[-_]?(?:list|area|section|body|thread|wrap|wrapper|container|box|form|respond|content|item|text|block|feed|module|title|\d+))*")
+#: Names of parts beside the text, even where they stand within it.
+_BESIDE = re.compile(r"(?:newsletter|sign-?up|subscribe|subscription|advert(?:isement|ising)?s?|ads?|adsense|adsbygoogle|sponsor(?:ed)?|promo(?:tion|ted)?|cookies?|consent|gdpr|paywall|popup|modal|shar(?:e|ing)|social)(?:[-_]?(?:newsletter|sign-?up|banner|notice|bar|box|form|wrap|wrapper|container|block|slot|unit|section|content|inner|links?|buttons?|icons?|widget|module|\d+))*")
+#: How a part is barred (a form, comments) or marked (by a word, by all of a name).
+FORM, COMMENTS, WORD, PLAIN = 1, 2, 1, 2
 _LAYOUT = re.compile(r"(?:no|has|with|without|is|hide|show)[-_]")
 
 
@@ -52,16 +57,16 @@ class Node:
     __slots__ = ("tag", "parent", "children", "chars", "tags", "link_chars", "link_tags", "head_chars", "density", "sum", "drop", "marked", "barred")
 
     def __init__(self, tag: str, parent: Node | None) -> None:
-        self.tag, self.parent, self.children, self.drop, self.marked, self.barred = tag, parent, [], False, False, False
+        self.tag, self.parent, self.children, self.drop, self.marked, self.barred = tag, parent, [], False, 0, 0
         self.chars = self.tags = self.link_chars = self.link_tags = self.head_chars = 0
         self.density = self.sum = 0.0
 
 
-def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool]:
-    """Whether an element is dropped whatever it holds, unless it holds most of the page, and whether its class or id marks it."""
-    barred, marked = tag == "form", False
+def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, int, int]:
+    """Whether an element is dropped whatever it holds, how it is barred, and how its class or id marks it."""
+    barred, marked = FORM if tag == "form" else 0, 0
     if tag in DROPPED or tag == "header" and not inside:
-        return True, False, False
+        return True, 0, 0
     if attributes and "=" in attributes or "hidden" in attributes:
         for name, a, b, c in _NAMED.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
@@ -70,14 +75,16 @@ def _unwanted(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, bool
                 if name == "id" and tag in SLUGGED:
                     continue
                 for token in value.split():
-                    barred = barred or bool(_COMMENT.fullmatch(token)) and tag not in ("main", "body", "html")
+                    if _COMMENT.fullmatch(token) and tag not in ("main", "body", "html"):
+                        barred = COMMENTS
                     if tag not in ("article", "main", "body", "html") and not _LAYOUT.match(token):
-                        marked = marked or not MARKS.isdisjoint(_WORDS.findall(token))
+                        if not MARKS.isdisjoint(_WORDS.findall(token)):
+                            marked = max(marked, PLAIN if tag in ("div", "section", "ul") and _BESIDE.fullmatch(token) else WORD)
             elif name == "role":
                 if value.strip() in ROLES:
-                    return True, False, False
+                    return True, 0, 0
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and re.search(r"display\s*:\s*none", value):
-                return True, False, False
+                return True, 0, 0
     return False, barred, marked
 
 
@@ -122,6 +129,16 @@ def parse(page: str) -> Node:
     node = root
     n = len(page)
     tokens = _tokens(page)
+    open_: Counter[str] = Counter()  # elements from the root to ``node``, by name: what is not open is not looked for
+
+    def to(up: Node) -> Node:
+        """Ends all elements below ``up``."""
+        x = node
+        while x is not up:
+            open_[x.tag] -= 1
+            x = x.parent
+        return up
+
     for token in tokens:
         if type(token) is str:
             node.children.append(token)
@@ -131,7 +148,7 @@ def parse(page: str) -> Node:
             if tag == "br":
                 node.children.append(" ")
                 continue
-            up = node
+            up = node if open_[tag] else root
             while up is not root and up.tag != tag:
                 # a closing inline tag never ends a block
                 if tag not in BLOCKS and up.tag in BLOCKS:
@@ -139,19 +156,19 @@ def parse(page: str) -> Node:
                     break
                 up = up.parent
             if up is not root:
-                node = up.parent
+                node = to(up.parent)
             continue
         if tag == "html":
             continue
         if tag in CLOSES_P:
-            up = node
+            up = node if open_["p"] else root
             while up is not root and up.tag != "p" and up.tag not in BLOCKS:
                 up = up.parent
             if up.tag == "p":
-                node = up.parent
+                node = to(up.parent)
         elif tag in ENDS:
             names, limit = ENDS[tag]
-            up, found = node, None
+            up, found = node if any(open_[x] for x in names) else root, None
             while up is not root and up.tag not in limit:
                 if up.tag in names:
                     found = up
@@ -159,22 +176,16 @@ def parse(page: str) -> Node:
                         break
                 up = up.parent
             if found is not None:
-                node = found.parent
+                node = to(found.parent)
         elif tag == "body":
-            while node is not root:
-                node = node.parent
+            node = to(root)
         if tag == "br":
             node.children.append(" ")
         child = Node(tag, node)
         node.children.append(child)
-        up = node
-        inside = False
-        if tag == "header":
-            while up is not None and not inside:
-                inside = up.tag in ("article", "main")
-                up = up.parent
+        inside = tag == "header" and open_["article"] + open_["main"] > 0
         dropped, child.barred, child.marked = _unwanted(tag, attributes, inside)
-        child.drop = dropped or child.barred or child.marked
+        child.drop = dropped or child.barred > 0 or child.marked > 0
         if tag in VOID or attributes.endswith("/") and tag not in BLOCKS and tag not in RAW and tag not in ("a", "b", "i", "span"):
             continue
         if tag in RAW:
@@ -182,6 +193,7 @@ def parse(page: str) -> Node:
             tokens.send(end.end() if end else n)
             continue
         node = child
+        open_[tag] += 1
     return root
 
 
@@ -251,35 +263,40 @@ def _blocks(node: Node, out: list[list[str]]) -> None:
 
 
 def _unmark(node: Node, barred: bool = False) -> list[Node]:
-    """Lets the marked (and barred) parts below a node in, nested ones too; returns the nodes kept so, parents first."""
+    """Lets the marked parts below a node in (and forms, if ``barred``), nested ones too; returns the nodes kept so, parents first."""
     out, stack = [], [node]
     while stack:
         out.append(x := stack.pop())
         for c in x.children:
-            if type(c) is Node and (not c.drop or barred and c.barred or c.marked and not c.barred):
+            if type(c) is Node and (not c.drop or barred and c.barred == FORM or c.marked and not c.barred):
                 c.drop = False
                 stack.append(c)
     return out
 
 
 def _keep_most(root: Node) -> None:
-    """A marked or barred part that holds most of the page's text is no side matter."""
+    """A marked part that holds most of the page's text is no side matter, nor is a form that holds all of it.  Comments are
+    none of the text, however many."""
     order = _unmark(root, True)
     for x in reversed(order):
         _count(x)
     for x in order:
         most = 2 * (x.chars - x.link_chars) > root.chars - root.link_chars
-        x.barred = x.barred and not most
-        x.drop = x.barred or x.marked and not most
+        x.barred = 0 if x.chars == root.chars else x.barred
+        x.drop = x.barred > 0 or x.marked > 0 and not most
 
 
 def _keep_dense(node: Node, threshold: float, ratio: float) -> None:
-    """Drops those marked parts whose links or density (half the threshold) agree that they are none of the text, inner ones first."""
-    for x in reversed(_unmark(node)):
+    """Drops those marked parts whose links or density (half the threshold) or plain names agree that they are none of the text, inner ones first."""
+    order = _unmark(node)
+    for x in reversed(order):
+        _count(x)
+    whole = node.chars
+    for x in reversed(order):
         _count(x)
         if x.marked and x is not node:
             heading = x.chars if x.tag in HEADINGS else x.head_chars
-            x.drop = 2 * x.link_chars >= x.chars or 2 * _density(x, ratio) < threshold and 2 * heading < x.chars
+            x.drop = 2 * x.link_chars >= x.chars or 2 * _density(x, ratio) < threshold and 2 * heading < x.chars or x.marked == PLAIN and 2 * x.chars < whole
 
 
 def main_text(page: str | None) -> str:

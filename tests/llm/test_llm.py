@@ -4,6 +4,7 @@ import base64
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 from html.parser import HTMLParser
 
@@ -128,6 +129,12 @@ def test_language_id(spark):
     assert none.lang_pred == "und" and none.rejected
 
 
+def test_numbers_are_no_letters(spark):
+    model = langid.fit_language_model(spark.createDataFrame([(f"the words of text {i} go on", "en", i) for i in range(30)] + [(f"les mots du texte {i} sont longs", "fr", i) for i in range(30)], "text string, lang string, i int"), "text", "lang", F.col("i"))
+    got = langid.identify(spark.createDataFrame([(i, t) for i, t in enumerate(["½ ²³", "Ⅷ", "1 2_3", "ª"])], "doc_id long, text string"), model).collect()
+    assert {r.doc_id: (r.lang_pred, r.score) for r in got if r.doc_id < 3} == {i: ("und", 0.0) for i in range(3)}
+
+
 def test_language_query_against_plain_vectors(spark):
     """Every gram of every text counted one by one, and every centroid tried."""
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
@@ -137,7 +144,7 @@ def test_language_query_against_plain_vectors(spark):
     assert {i: r.held_out for i, r in got.items()} == {r.doc_id: r.h for r in docs.select("doc_id", held.alias("h")).collect()}
     for r in docs.select("doc_id", "text").collect():
         own = got[r.doc_id]
-        if not r.text or not re.search(r"[^\W\d_]", r.text):
+        if not r.text or not any(map(str.isalpha, r.text)):
             assert (own.lang_pred, own.score) == ("und", 0)
             continue
         raw = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in f" {r.text} ".lower().encode())
@@ -282,6 +289,29 @@ def test_html_layouts_and_broken_tags(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        # comments that hold most of the page, in the article and beside it
+        (f'<body><article><p>{LONG} M</p><section class="comments"><p>{LONG}</p><p>{LONG}</p></section></article></body>', f"{LONG} M"),
+        (f'<body><article><p>short article, all of it.</p></article><div id="comments"><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></div></body>', "short article, all of it."),
+        (f'<body><div><p>{LONG} N</p></div><form><p>{LONG}</p><p>{LONG}</p></form></body>', f"{LONG} N"),
+        (f'<body><form><div class="comments"><p>{LONG}</p></div><p>{LONG} O</p></form></body>', f"{LONG} O"),
+        # a sign-up and an advert within the article; a part of it that only has such a word
+        (f'<body><article><p>{LONG} P</p><div class="newsletter-signup"><h3>Stay with us</h3><p>Get all of our long letters every day, for free, in your mail.</p></div><div class="ad-slot">Buy this now, it is cheap and good, and it is yours today.</div><section id="cookies-explained"><p>{LONG}</p></section><p>{LONG} Q</p></article></body>', f"{LONG} P\n{LONG}\n{LONG} Q"),
+    ],
+)
+def test_html_comments_forms_and_parts_beside_the_text(page, want):
+    assert html_text.main_text(page) == want
+
+
+def test_html_stray_tags_take_linear_time():
+    began = time.perf_counter()
+    for tags in ("<i>" * 10_000 + "</b>" * 10_000, "<i>" * 10_000 + "<hr>" * 10_000, "<i>" * 10_000 + "<header></header>" * 10_000):
+        assert LONG in html_text.main_text(f"<body><article><p>{LONG}</p>{tags}</article>")
+    assert time.perf_counter() - began < 3
+
+
 class PlainArticle(HTMLParser):
     """The blocks of the article of a page, by the standard library's parser."""
 
