@@ -26,7 +26,7 @@ class Val:
 
     column: Column
     kind: str = "any"
-    item: str = "any"  # of an array; of a map's values
+    item: str = "any"  # of an array; of a map's values; float where a number may be one
     match: tuple | None = None  # (text, pattern) of a match
 
 
@@ -75,6 +75,8 @@ def _text(v: Val) -> Column:
         return F.date_format(v.column, "yyyy-MM-dd")
     if v.kind == "timestamp":
         return _iso(v.column, " ")
+    if v.kind == "number" and v.item == "float":
+        _no("the text of a float without a format")
     return v.column.cast("string")
 
 
@@ -119,7 +121,7 @@ def _spec(v: Val, spec: str) -> Column:
     elif comma:
         text = F.format_number(v.column, 0)
     elif kind == "x":
-        text = F.lower(F.hex(v.column))
+        text = F.concat(F.when(v.column < 0, "-").otherwise(""), F.lower(F.hex(F.abs(v.column))))
     elif digits is not None:
         text = F.substring(_text(v), 1, int(digits))
     else:
@@ -161,7 +163,20 @@ def _rfind(s: Column, p: Column) -> Column:
 
 
 def _count(s: Column, p: Column) -> Column:
-    return ((F.length(s) - F.length(F.replace(s, p, F.lit("")))) / F.length(p)).cast("long")
+    found = F.try_divide(F.length(s) - F.length(F.replace(s, p, F.lit(""))), F.length(p)).cast("long")
+    return F.when(F.length(p) > 0, found).otherwise(F.length(s).cast("long") + 1)
+
+
+def _replace(s: Column, a: Column, b: Column) -> Column:
+    """An empty text stands between all characters and at both ends."""
+    spread = F.aggregate(F.split(s, ""), F.lit(""), lambda out, c: F.concat(out, c, b))
+    return F.when(F.length(a) > 0, F.replace(s, a, b)).otherwise(F.when(F.length(s) > 0, F.concat(b, spread)).otherwise(b))
+
+
+def _large(c: Column) -> Column:
+    """A character as the first of a word: of several letters (ß) only the first is large."""
+    up = F.upper(c)
+    return F.concat(F.substring(up, 1, 1), F.lower(F.substring(up, F.lit(2), F.length(up))))
 
 
 def _strip(s: Column, chars: Column | None, ends: str) -> Column:
@@ -183,10 +198,10 @@ def _else_null(at: Column) -> Column:
 
 #: Methods of strings: (result kind, function of the text and the arguments).
 _STRING: dict[str, tuple[str, Callable]] = {
-    "upper": ("string", F.upper), "lower": ("string", F.lower), "casefold": ("string", F.lower), "title": ("string", lambda s: _title(s)),
-    "capitalize": ("string", lambda s: F.concat(F.upper(F.substring(s, 1, 1)), F.lower(F.substring(s, F.lit(2), F.length(s))))),
+    "upper": ("string", F.upper), "lower": ("string", F.lower), "title": ("string", lambda s: _title(s)),
+    "capitalize": ("string", lambda s: F.concat(_large(F.substring(s, 1, 1)), F.lower(F.substring(s, F.lit(2), F.length(s))))),
     "strip": ("string", lambda s, c=None: _strip(s, c, "both")), "lstrip": ("string", lambda s, c=None: _strip(s, c, "left")), "rstrip": ("string", lambda s, c=None: _strip(s, c, "right")),
-    "replace": ("string", lambda s, a, b: F.replace(s, a, b)), "startswith": ("bool", F.startswith), "endswith": ("bool", F.endswith),
+    "replace": ("string", _replace), "startswith": ("bool", F.startswith), "endswith": ("bool", F.endswith),
     "find": ("number", _find), "rfind": ("number", _rfind), "index": ("number", lambda s, p: _else_null(_find(s, p))), "rindex": ("number", lambda s, p: _else_null(_rfind(s, p))), "count": ("number", _count),
     "zfill": ("string", _zfill), "ljust": ("string", lambda s, n, c=None: _padded(s, n, F.lit(" ") if c is None else c, "<")), "rjust": ("string", lambda s, n, c=None: _padded(s, n, F.lit(" ") if c is None else c, ">")), "center": ("string", lambda s, n, c=None: _padded(s, n, F.lit(" ") if c is None else c, "^")),
     "removeprefix": ("string", lambda s, p: F.when(F.startswith(s, p), F.substring(s, F.length(p) + 1, F.length(s))).otherwise(s)), "removesuffix": ("string", lambda s, p: F.when(F.endswith(s, p) & (F.length(p) > 0), F.substring(s, F.lit(1), F.length(s) - F.length(p))).otherwise(s)),
@@ -206,7 +221,7 @@ def _ascii(text: Column) -> Column:
 def _title(s: Column) -> Column:
     """A letter after a letter is small, any other one large."""
     chars = F.split(s, "")
-    return F.array_join(F.transform(chars, lambda c, i: F.when(F.coalesce(F.get(chars, i - 1).rlike(r"\p{L}"), F.lit(False)), F.lower(c)).otherwise(F.upper(c))), "")
+    return F.array_join(F.transform(chars, lambda c, i: F.when(F.coalesce(F.get(chars, i - 1).rlike(r"\p{L}"), F.lit(False)), F.lower(c)).otherwise(_large(c))), "")
 
 
 def _joined(s: Column, xs: Column) -> Column:
@@ -268,7 +283,7 @@ class _Compiler:
 
     def on_constant(self, e):
         kinds = {bool: "bool", int: "number", float: "number", str: "string", type(None): "null", bytes: "binary"}
-        return Val(F.lit(e.value), kinds.get(type(e.value)) or _no(ast.unparse(e)))
+        return Val(F.lit(e.value), kinds.get(type(e.value)) or _no(ast.unparse(e)), "float" if isinstance(e.value, float) else "any")
 
     def on_name(self, e):
         return self.names[e.id] if e.id in self.names else _no(f"unknown name {e.id}")
@@ -289,7 +304,10 @@ class _Compiler:
             _no(op.__name__)
         if "decimal" in kinds and op is not ast.Div:
             return Val(_BINARY[op](a.column.cast("decimal(38,10)"), b.column.cast("decimal(38,10)")), "decimal")
-        return Val(_BINARY[op](a.column, b.column), "decimal" if "decimal" in kinds else "number")
+        if op is ast.Pow and all(isinstance(x, ast.Constant) and type(x.value) is int for x in (e.left, e.right)) and 0 <= e.right.value < 64 and abs(e.left.value ** e.right.value) < 1 << 63:
+            return Val(F.lit(e.left.value**e.right.value), "number")
+        floats = op in (ast.Div, ast.Pow) or "float" in (a.item, b.item)
+        return Val(_BINARY[op](a.column, b.column), "decimal" if "decimal" in kinds else "number", "float" if floats else "any")
 
     def dates(self, op, a: Val, b: Val) -> Val:
         if a.kind in ("date", "timestamp") and b.kind in ("date", "timestamp") and op is ast.Sub:
@@ -503,7 +521,7 @@ class _Compiler:
         return Val(v.column.cast("int").cast("long") if v.kind == "bool" else v.column.try_cast("long"), "number")
 
     def call_float(self, e):
-        return Val(self.args(e)[0].column.try_cast("double"), "number")
+        return Val(self.args(e)[0].column.try_cast("double"), "number", "float")
 
     def call_bool(self, e):
         return Val(_truth(self.args(e)[0]), "bool")
@@ -537,6 +555,8 @@ class _Compiler:
     def call_round(self, e):
         v, *n = self.args(e, 1, 2)
         digits = self.literal(e, 1, "ndigits", 0)
+        if n and v.item == "float":
+            _no("round of a float to digits, which goes by its binary value")
         out = F.bround(v.column, digits)
         return Val(out if n else out.cast("long"), "decimal" if v.kind == "decimal" and n else "number")
 
@@ -896,7 +916,12 @@ def compile_transformer(source: str, value: Column, kind: str = "any") -> Column
     if len(body) != 1 or not isinstance(body[0], ast.FunctionDef) or body[0].name != "transform" or len(body[0].args.args) != 1 or body[0].decorator_list:
         raise SecurityViolation("exactly one def transform(v) is allowed")
     f = body[0]
-    return _Compiler({f.args.args[0].arg: Val(value, kind)}).block(f.body).column
+    try:
+        return _Compiler({f.args.args[0].arg: Val(value, kind)}).block(f.body).column
+    except SecurityViolation:
+        raise
+    except Exception as e:  # what the compiler has no form for, such as values of kinds that do not go together
+        raise SecurityViolation(f"{type(e).__name__}: {e}") from e
 
 
 #: Functions an expression of the SQL tier may call.

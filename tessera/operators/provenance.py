@@ -71,10 +71,16 @@ def chain_head(rows: DataFrame, group: list[str], order: str, content: str) -> D
     return links.select(*group, head.alias("head"))
 
 
-def broken_links(receipts: DataFrame, group: str, order: str) -> DataFrame:
-    """Receipts whose predecessor_hash is not the chain_hash before them."""
-    before = F.lag("chain_hash").over(Window.partitionBy(group).orderBy(order))
-    return receipts.withColumn("_b", before).where(F.col("_b").isNotNull() & ((F.col("predecessor_hash") != F.col("_b")) | ~F.col("predecessor_hash").rlike("^[0-9a-f]{64}$"))).drop("_b")
+def broken_links(receipts: DataFrame, group: str, order: str, first: str | None = None) -> DataFrame:
+    """Receipts whose predecessor_hash is not the chain_hash before them, or is none; with ``first``, also those that
+    begin a group and do not name it as their predecessor."""
+    own = Window.partitionBy(group).orderBy(order)
+    rows = receipts.withColumn("_b", F.lag("chain_hash").over(own)).withColumn("_n", F.row_number().over(own))
+    form = F.coalesce(F.col("predecessor_hash").rlike("^[0-9a-f]{64}$"), F.lit(False))
+    wrong = (F.col("_n") > 1) & (~F.col("predecessor_hash").eqNullSafe(F.col("_b")) | ~form)
+    if first is not None:
+        wrong = wrong | (F.col("_n") == 1) & ~F.col("predecessor_hash").eqNullSafe(F.lit(first))
+    return rows.where(wrong).drop("_b", "_n")
 
 
 def fingerprint(rows: DataFrame, order: str, line: str, size: int = 1000) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import fallback as B
 from ..functions import transform as T
 from ..operators import matching as M
 from ..operators import provenance as H
@@ -97,3 +98,12 @@ def merkle_root(t):
 def hash_chain(t):
     """A chain of receipts for each customer: sequential by nature within one, side by side over them."""
     return H.chain_head(t.orders.select("o_custkey", "o_orderkey", "o_orderpriority"), ["o_custkey"], "o_orderkey", "o_orderpriority")
+
+
+@query("""
+WITH o AS (SELECT o_orderkey, o_orderpriority, CAST(left(o_orderpriority, 1) AS INTEGER) - 3 AS d, split_part(o_orderpriority, '-', 2) AS rest FROM orders)
+SELECT o_orderkey, CASE WHEN d <> 0 THEN array_to_string(list_transform(range(1, len(rest) + 1, 2), lambda i: substr(rest, CAST(i AS INTEGER), 1)), '') || CAST(CAST(floor(10.0 / d) AS INTEGER) AS VARCHAR) END AS value, CASE WHEN d = 0 THEN 'transform_error' END AS reason FROM o""")
+def transform_fallback(t):
+    """A transformer that has no column form, walked in Arrow batches; what it raises sends the row to quarantine."""
+    source = "def transform(v):\n    head, rest = v.rsplit('-', 1)\n    return rest[::2] + str(10 // (int(head) - 3))"
+    return B.transformed(t.orders.select("o_orderkey", "o_orderpriority"), source, "o_orderpriority", "string").select("o_orderkey", "value", "reason")

@@ -15,6 +15,8 @@ READ_ONLY = {
     "mysql": ("SELECT @@read_only", lambda v: bool(v) and str(v) not in ("0", "OFF", "off")),
     "oracle": ("SELECT OPEN_MODE FROM V$DATABASE", lambda v: "READ ONLY" in str(v).upper()),
 }
+#: Words by which an error tells that another attempt will not help.
+LASTING = ("syntax", "does not exist", "not found", "password", "authentication", "permission", "access denied", "not authorized", "unknown column")
 #: Rows fetched at once, and attempts at a connection.
 FETCH, ATTEMPTS = 5000, 3
 
@@ -24,12 +26,13 @@ class ReadOnlyError(RuntimeError):
 
 
 def with_retry(action: Callable, attempts: int = ATTEMPTS, wait: Callable[[int], float] = lambda n: min(2**n, 5), sleep: Callable[[float], None] = time.sleep):
-    """The result of an action that may fail to connect: tried again after 1, 2, 4 and then 5 seconds.  Tasks of a scan are Spark's to retry."""
+    """The result of an action that may fail to connect: tried again after 1, 2, 4 and then 5 seconds, unless the error says that it will
+    last, such as wrong SQL or a refused password.  Tasks of a scan are Spark's to retry."""
     for n in range(attempts):
         try:
             return action()
-        except Exception:
-            if n + 1 == attempts:
+        except Exception as e:
+            if n + 1 == attempts or any(w in str(e).lower() for w in LASTING):
                 raise
             sleep(wait(n))
     raise ValueError("no attempts")

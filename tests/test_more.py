@@ -298,3 +298,22 @@ def test_transformers_refuse():
     for body in ("return open('x')", "return v.__class__", "import os", "return eval(v)", "while True: pass", "return [x for x in v for y in v]", "return f'{v:{v}}'", "return re.sub(v, '', v)", "return json.dumps([v])", "return sorted(v, key=len)", "return lambda x: x", "return v.format_map({})", "return unknown"):
         with pytest.raises(transform.SecurityViolation):
             transform.compile_transformer(f"def transform(v):\n    {body}", F.lit("x"), "string")
+
+
+def test_links_without_a_predecessor(spark):
+    a, b = "a" * 64, "b" * 64
+    rows = spark.createDataFrame([("g", 1, "GENESIS", a), ("g", 2, None, b), ("g", 3, b, a), ("h", 1, None, a), ("h", 2, a, b)], "g string, o int, predecessor_hash string, chain_hash string")
+    assert [(r.g, r.o) for r in provenance.broken_links(rows, "g", "o").collect()] == [("g", 2)]
+    assert sorted((r.g, r.o) for r in provenance.broken_links(rows, "g", "o", "GENESIS").collect()) == [("g", 2), ("h", 1)]
+
+
+def test_lasting_errors_are_not_tried_again():
+    tries = []
+
+    def refused():
+        tries.append(1)
+        raise RuntimeError("FATAL: password authentication failed")
+
+    with pytest.raises(RuntimeError):
+        migration.with_retry(refused, sleep=lambda s: None)
+    assert len(tries) == 1
