@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -47,15 +48,21 @@ def layers(edges: DataFrame, nodes: DataFrame, depends: bool = True, rounds: lis
 
     ``depends``: source needs target, so targets come first.  ``rounds`` collects a mark for each round.
     """
-    rounds = [] if rounds is None else rounds
-    steps = Steps(edges)
     a, b = ("source_id", "target_id") if depends else ("target_id", "source_id")
     ids = nodes.select("id").distinct()
-    e = edges.select(F.col(a).alias("id"), F.col(b).alias("need")).where("id <> need").distinct().join(ids, "id", "left_semi")
+    e = edges.select(F.col(a).alias("id"), F.col(b).alias("need"), F.lit(1).cast("long").alias("d")).where("id <> need").distinct()
+    layer = F.when(F.col("layer") < _NEVER, F.col("layer").cast("int"))
+    return ids.join(_heaviest(e, ids, [] if rounds is None else rounds).select("id", layer.alias("layer")), "id", "left")
+
+
+def _heaviest(edges: DataFrame, ids: DataFrame, rounds: list) -> DataFrame:
+    """(id, layer): the greatest sum of ``d`` along needs (id, need, d) below each of ``ids``; ``_NEVER`` or no row where there is a cycle."""
+    steps = Steps(edges)
+    e = edges.join(ids, "id", "left_semi")
     e = e.join(ids.select(F.col("id").alias("need"), F.lit(True).alias("known")), "need", "left")
     open_ = ids.join(e.where("known is null").select("id").distinct().withColumn("lost", F.lit(True)), "id", "left")
     open_ = steps.put(open_.select("id", F.when(F.col("lost"), _NEVER).otherwise(0).cast("long").alias("b")))
-    e = steps.put(e.where("known").select("id", "need", F.lit(1).cast("long").alias("d")))
+    e = steps.put(e.where("known").select("id", "need", "d"))
     done: list[DataFrame] = []
     later: list[DataFrame] = []
     while not open_.isEmpty():
@@ -93,8 +100,7 @@ def layers(edges: DataFrame, nodes: DataFrame, depends: bool = True, rounds: lis
         below = found.select(F.col("id").alias("to"), "layer")
         got = ptr.join(below, "to", "left").select("id", F.greatest("b", F.coalesce("layer", F.lit(_NEVER)) + F.col("d")).alias("layer"))
         found = steps.put(found.union(got))
-    layer = F.when(F.col("layer") < _NEVER, F.col("layer").cast("int"))
-    return ids.join(found.select("id", layer.alias("layer")), "id", "left")
+    return found
 
 
 def condensation(edges: DataFrame, nodes: DataFrame, rounds: list | None = None) -> DataFrame:
@@ -130,6 +136,100 @@ def condensation(edges: DataFrame, nodes: DataFrame, rounds: list | None = None)
     return out.join(places, "scc").select("id", "scc", "layer", "position")
 
 
+class _Search:
+    """Longest simple paths inside one strongly connected component, by numbers of nodes."""
+
+    def __init__(self, edges: list[tuple[str, str]], cap: int, budget: int) -> None:
+        self.names = sorted({x for e in edges for x in e})
+        at = {n: i for i, n in enumerate(self.names)}
+        self.out = [0] * len(self.names)
+        for a, b in edges:
+            self.out[at[a]] |= 1 << at[b]
+        self.cap, self.budget, self.exact = cap, budget, True
+
+    def pairs(self) -> list[tuple[str, str, int]]:
+        """(from, to, nodes on the longest simple path)."""
+        n = len(self.names)
+        return [(self.names[u], self.names[v], best) for u in range(n) for v, best in (self._subsets(u) if n <= SUBSETS else self._walks(u)).items()]
+
+    def _subsets(self, u: int) -> dict[int, int]:
+        """Which nodes can end a path over exactly a set of nodes, for all sets, by size."""
+        ends, best = {1 << u: 1 << u}, {u: 1}
+        for size in range(1, min(len(self.names), self.cap)):
+            longer: dict[int, int] = {}
+            for mask, lasts in ends.items():
+                for v in _bits(lasts):
+                    for w in _bits(self.out[v] & ~mask):
+                        longer[mask | 1 << w] = longer.get(mask | 1 << w, 0) | 1 << w
+            for lasts in longer.values():
+                for w in _bits(lasts):
+                    best[w] = size + 1
+            ends = longer
+        return best
+
+    def _walks(self, u: int) -> dict[int, int]:
+        """Depth-first over simple paths of at most ``cap`` nodes; ``exact`` falls if the budget ends first."""
+        best, steps = {u: 1}, 0
+        stack = [(u, 1 << u, 1)]
+        while stack:
+            v, mask, size = stack.pop()
+            steps += 1
+            if steps > self.budget:
+                self.exact = False
+                break
+            best[v] = max(best.get(v, 0), size)
+            if size < self.cap:
+                stack += [(w, mask | 1 << w, size + 1) for w in _bits(self.out[v] & ~mask)]
+        return best
+
+
+def _bits(x: int):
+    while x:
+        low = x & -x
+        yield low.bit_length() - 1
+        x ^= low
+
+
+#: Nodes of a component up to which all sets of its nodes are looked at, and up to which it is searched at all; steps from a node.
+SUBSETS, SEARCHED, STEPS = 12, 64, 100_000
+
+
+def longest_simple_path(edges: DataFrame, nodes: DataFrame, entries: DataFrame, cap: int = 40, searched: int = SEARCHED, budget: int = STEPS) -> DataFrame:
+    """One row (longest, exact): nodes on the longest simple path from an entry, at most ``cap``, of a graph with cycles.
+
+    A path never comes back to a strongly connected component, so it is a way through components with a simple path in each.
+    Components of up to ``searched`` nodes are searched, each in a task of its own: those of up to ``SUBSETS`` nodes over
+    all sets of nodes, larger ones depth-first with a budget of steps.  ``exact`` is false where a budget ended or a component was
+    too large (there, only its nodes and edges count); the length is one that exists then, and may not be the longest,
+    unless it is ``cap``.
+    """
+    steps = Steps(edges)
+    ids = nodes.select("id").distinct()
+    order = steps.put(condensation(edges, ids).select("id", "scc"))
+    ends = [order.select(F.col("id").alias(f"{k}_id"), F.col("scc").alias(k)) for k in ("source", "target")]
+    all_ = steps.put(edges.select("source_id", "target_id").where("source_id <> target_id").distinct().join(ends[0], "source_id").join(ends[1], "target_id"))
+    sizes = order.groupBy("scc").agg(F.count(F.lit(1)).alias("n"))
+    inner = all_.where("source = target").join(sizes.where(f"n <= {searched}").withColumnRenamed("scc", "source"), "source")
+
+    def search(table: pa.Table) -> pa.Table:
+        s = _Search(list(zip(table["source_id"].to_pylist(), table["target_id"].to_pylist(), strict=True)), cap, budget)
+        rows = s.pairs()
+        return pa.table({"u": pa.array([r[0] for r in rows], pa.string()), "v": pa.array([r[1] for r in rows], pa.string()), "n": pa.array([r[2] for r in rows], pa.int64()), "exact": pa.array([s.exact] * len(rows), pa.bool_())})
+
+    found = inner.select("source", "source_id", "target_id").groupBy("source").applyInArrow(search, "u string, v string, n long, exact boolean")
+    one = order.join(sizes.where(f"n = 1 or n > {searched}"), "scc").select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(1).cast("long").alias("n"), (F.col("n") == 1).alias("exact"))
+    pair = all_.where("source = target").join(sizes.where(f"n > {searched}").withColumnRenamed("scc", "source"), "source").select(F.col("source_id").alias("u"), F.col("target_id").alias("v"), F.lit(2).cast("long").alias("n"), F.lit(False).alias("exact"))
+    ways = steps.put(found.union(one).union(pair))
+    # a node is there twice: where a path comes into its component and where it leaves it
+    into, leave = lambda c: F.concat(F.lit("i"), c), lambda c: F.concat(F.lit("o"), c)
+    e = ways.select(into("u").alias("id"), leave("v").alias("need"), F.col("n").alias("d"))
+    e = steps.put(e.union(all_.where("source <> target").select(leave("source_id"), into("target_id"), F.lit(0).cast("long"))))
+    twice = order.select(into("id").alias("id")).union(order.select(leave("id")))
+    best = _heaviest(e, twice, []).join(entries.select(into("id").alias("id")).distinct(), "id", "left_semi").agg(F.coalesce(F.max("layer"), F.lit(0)).alias("n"))
+    whole = ways.agg(F.coalesce(F.min("exact"), F.lit(True)).alias("whole"))
+    return best.crossJoin(whole).select(F.least("n", F.lit(cap)).cast("int").alias("longest"), (F.col("whole") | (F.col("n") >= cap)).alias("exact"))
+
+
 def distances(edges: DataFrame, entries: DataFrame, rounds: list | None = None) -> DataFrame:
     """(id, depth): the fewest edges from an entry to each node it reaches; entries are at 0.
 

@@ -101,3 +101,27 @@ def test_distances(spark):
             depth |= {x: max(depth.values()) + 1 for x in front}
         got = {x.id: x.depth for x in deep.distances(e, spark.createDataFrame([(x,) for x in entries], "id string")).collect()}
         assert got == depth
+
+
+def test_longest_simple_path(spark):
+    r = random.Random(11)
+    for size, n_edges in ((12, 26),):
+        nodes = [f"n{i}" for i in range(size)]
+        edges = [(r.choice(nodes), r.choice(nodes)) for _ in range(n_edges)]
+        e, ids = frames(spark, nodes, edges)
+        start = ids.where("id in ('n0', 'n3')")
+        want = graph.longest_path([(a, b) for a, b in edges if a != b], ["n0", "n3"])
+        got = deep.longest_simple_path(e, ids, start).first()
+        assert tuple(got) == (want, True)
+    # whole components, by all three ways of searching
+    edges = [(f"n{i}", f"n{j}") for i in range(13) for j in range(13) if i != j and r.random() < 0.25]
+    names = sorted({x for e in edges for x in e})
+    a, b = deep._Search(edges, 40, 10**9), deep._Search(edges, 40, 10**9)
+    for u in range(len(names)):
+        assert a._subsets(u) == b._walks(u)
+    assert graph.longest_path(edges, ["n0"]) == max(a._subsets(names.index("n0")).values())
+    e, ids = frames(spark, ["a", "b", "c"], [("a", "b"), ("b", "a"), ("b", "c")])
+    assert tuple(deep.longest_simple_path(e, ids, ids.where("id = 'a'"), searched=1).first()) == (3, False)
+    short = deep._Search(edges, 40, 5)
+    short.pairs()
+    assert short._walks(0) and not short.exact
