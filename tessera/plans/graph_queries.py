@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import deep as D
 from ..operators import graph as G
+from ..operators.profile import orphan_keys
 from .base import query
 
 NODES = """nodes AS (
@@ -135,9 +136,11 @@ def graph_topo_layers_whole(t):
 
 @query("SELECT CAST(i AS INTEGER) AS position, name FROM (VALUES (0,'part'),(1,'region'),(2,'nation'),(3,'customer'),(4,'orders'),(5,'supplier'),(6,'lineitem')) v(i, name)")
 def fk_topo_order(t):
+    """The order of import by those foreign keys that hold in the tables: a key with an orphan is none."""
     names = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
-    keys = [("nation", "region"), ("customer", "nation"), ("supplier", "nation"), ("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier")]
-    return t.spark.createDataFrame(list(enumerate(G.fk_order(names, keys))), "position int, name string")
+    keys = [("nation", "n_regionkey", "region", "r_regionkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
+    holds = [(c, p) for c, ck, p, pk in keys if orphan_keys(getattr(t, c), getattr(t, p), [(ck, pk)]).isEmpty()]
+    return t.spark.createDataFrame(list(enumerate(G.fk_order(names, holds))), "position int, name string")
 
 
 @query(f"WITH RECURSIVE {CYCLES}, r AS (SELECT id AS a, id AS b FROM pn UNION SELECT r.a, target_id FROM r JOIN pc ON r.b = source_id) SELECT x.a AS id, min(x.b) AS scc FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY x.a")

@@ -101,12 +101,18 @@ def confidence_decay(t):
     return t.events.select("event_id", F.round(K.confidence(F.col("value") / 100, status, F.col("event_id") % 12 + 1, F.col("event_id") % 4), 9).alias("confidence"))
 
 
-@query("""
-WITH a AS (SELECT unnest(['VARCHAR(20)', 'string', 'SMALLINT', 'integer', 'INT', 'BIGINT', 'DATE', '']) AS legacy), b AS (SELECT unnest(['TEXT', 'STRING', 'SMALLINT', 'INTEGER', 'BIGINT', 'DATE', '']) AS target), w AS (SELECT * FROM (VALUES ('SMALLINT', 1), ('INTEGER', 2), ('INT', 2), ('BIGINT', 3)) v(n, w))
-SELECT legacy, target, legacy <> '' AND target <> '' AND (upper(legacy) = upper(target) OR (regexp_matches(upper(legacy), '^(VARCHAR|STRING|CHAR)') AND target IN ('STRING', 'TEXT', 'CLOB')) OR coalesce(y.w >= x.w, false)) AS lossless FROM a CROSS JOIN b LEFT JOIN w x ON x.n = upper(legacy) LEFT JOIN w y ON y.n = upper(target)""")
+LEGACY_TYPES = ["VARCHAR(20)", "string", "SMALLINT", "integer", "INT", "BIGINT", "DATE", ""]
+TARGET_TYPES = ["TEXT", "STRING", "SMALLINT", "INTEGER", "BIGINT", "DATE", ""]
+
+
+@query(f"""
+WITH p AS (SELECT p_partkey, {LEGACY_TYPES}[p_partkey % 8 + 1] AS legacy, {TARGET_TYPES}[p_partkey // 8 % 7 + 1] AS target FROM part), w AS (SELECT * FROM (VALUES ('SMALLINT', 1), ('INTEGER', 2), ('INT', 2), ('BIGINT', 3)) v(n, w))
+SELECT p_partkey, legacy, target, legacy <> '' AND target <> '' AND (upper(legacy) = upper(target) OR (regexp_matches(upper(legacy), '^(VARCHAR|STRING|CHAR)') AND target IN ('STRING', 'TEXT', 'CLOB')) OR coalesce(y.w >= x.w, false)) AS lossless FROM p LEFT JOIN w x ON x.n = upper(legacy) LEFT JOIN w y ON y.n = upper(target)""")
 def lossless_pairs(t):
-    rows = [(a, b) for a in ["VARCHAR(20)", "string", "SMALLINT", "integer", "INT", "BIGINT", "DATE", ""] for b in ["TEXT", "STRING", "SMALLINT", "INTEGER", "BIGINT", "DATE", ""]]
-    return t.spark.createDataFrame(rows, "legacy string, target string").withColumn("lossless", K.lossless(F.col("legacy"), F.col("target")))
+    """Pairs of types, one for each part: whether a column may go from the first to the second."""
+    pick = lambda types, i: F.element_at(F.array(*map(F.lit, types)), (i + 1).cast("int"))
+    p = t.part.select("p_partkey", pick(LEGACY_TYPES, F.col("p_partkey") % 8).alias("legacy"), pick(TARGET_TYPES, F.expr("p_partkey div 8 % 7")).alias("target"))
+    return p.withColumn("lossless", K.lossless(F.col("legacy"), F.col("target")))
 
 
 @query("""

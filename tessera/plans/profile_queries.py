@@ -95,20 +95,14 @@ def probe_encoding(t):
     return out.withColumn("samples", F.array_join(F.transform("samples", F.md5), ","))
 
 
-@query()
-def probe_plan_greedy(t):
-    """Probe plan under a budget for the columns of customer (a driver-side plan of schema size)."""
-    cand = [(f"{c}:{p}", P.information_gain([0.7, 0.2, 0.1], [[1 - s, s], [s, 1 - s], [0.55, 0.45]]), P.PROBE_COSTS[p]) for c in t.customer.columns for p, s in (("null_distribution", 0.1), ("sentinel_value", 0.2), ("encoding_anomaly", 0.25))]
-    taken, deferred = P.greedy_plan(cand, 4000, 120)
-    return t.spark.createDataFrame([(x, True) for x in taken] + [(x, False) for x in deferred], "probe string, scheduled boolean")
-
-
 COLUMNS = {"region": ["r_regionkey", "r_name"], "nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "supplier": ["s_suppkey", "s_name", "s_nationkey", "s_acctbal"], "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]}
 _STATES = "CASE WHEN share > 0.9 THEN 'ok' WHEN share > 0.2 THEN 'low_confidence' WHEN share > 0.002 THEN 'ambiguous' ELSE 'no_match' END"
 _SHARES = " UNION ALL ".join(f"SELECT '{t}' AS table_name, '{c}' AS column_name, count(DISTINCT {c}) / count(*) AS share, {i} AS place FROM {t}" for i, (t, c) in enumerate((t, c) for t, cs in COLUMNS.items() for c in cs))
 _JOINT = ["b0 * {0} AS j0{1}, b1 * {2} AS j1{1}, b2 * {3} AS j2{1}".format(*x) for x in (("(1.0 - signal)", "a", "signal", "CAST(0.55 AS DOUBLE)"), ("signal", "c", "(1.0 - signal)", "CAST(0.45 AS DOUBLE)"))]
 _POST = lambda o: " + ".join(f"(j{i}{o} / p{o}) * ln(j{i}{o} / p{o} + 1e-12)" for i in range(3))
-PLAN_SQL = f"""WITH RECURSIVE m AS (SELECT table_name, column_name, place, {_STATES} AS status FROM ({_SHARES})),
+def plan_sql(budget: int, most: int) -> str:
+    """The plan of ``mappings``, walked probe by probe."""
+    return f"""WITH RECURSIVE m AS (SELECT table_name, column_name, place, {_STATES} AS status FROM ({_SHARES})),
 st AS (SELECT * FROM (VALUES {", ".join(f"('{s}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE))" for s, (a, b, c) in N.BELIEFS.items() if s != "no_match")}) v(status, b0, b1, b2)),
 ca AS (SELECT * FROM (VALUES {", ".join(f"('{c}', {i}, CAST({x} AS DOUBLE), {P.PROBE_COSTS[c]})" for i, (c, x) in enumerate(N.SIGNALS.items()))}) v(category, ordinal, signal, cost)),
 j AS (SELECT *, {_JOINT[0]}, {_JOINT[1]} FROM st, ca), k AS (SELECT *, j0a + j1a + j2a AS pa, j0c + j1c + j2c AS pc FROM j),
@@ -116,15 +110,14 @@ e AS (SELECT status, category, ordinal, cost, -(b0 * ln(b0 + 1e-12) + b1 * ln(b1
 pr AS (SELECT status, category, ordinal, cost, CASE WHEN status = 'ok' THEN tanh(0.5 + v) * 0.5 + 0.5 ELSE least(1.0, tanh(0.5 + v) * 0.5 + 0.65) END AS priority FROM e),
 c AS (SELECT row_number() OVER (ORDER BY round(priority, 12) DESC, cost, place, ordinal) AS i, table_name, column_name, category, priority, cost FROM m JOIN pr USING (status)),
 w AS (SELECT CAST(0 AS BIGINT) AS i, 0 AS used, 0 AS n, '' AS state UNION ALL
-  SELECT c.i, used + CASE WHEN n < 120 AND used + cost <= 30000 THEN cost ELSE 0 END, n + CASE WHEN n < 120 AND used + cost <= 30000 THEN 1 ELSE 0 END, CASE WHEN n >= 120 THEN 'cut' WHEN used + cost <= 30000 THEN 'scheduled' ELSE 'deferred' END FROM w JOIN c ON c.i = w.i + 1)
+  SELECT c.i, used + CASE WHEN n < {most} AND used + cost <= {budget} THEN cost ELSE 0 END, n + CASE WHEN n < {most} AND used + cost <= {budget} THEN 1 ELSE 0 END, CASE WHEN n >= {most} THEN 'cut' WHEN used + cost <= {budget} THEN 'scheduled' ELSE 'deferred' END FROM w JOIN c ON c.i = w.i + 1)
 SELECT table_name, column_name, category, round(priority, 9) AS priority, CAST(cost AS BIGINT) AS cost, state, CASE WHEN state = 'scheduled' THEN CAST(n - 1 AS BIGINT) END AS place, CASE WHEN state = 'scheduled' THEN CAST(used AS BIGINT) END AS used,
-  CASE WHEN state = 'deferred' THEN 'deferred: budget 30000ms exhausted (' || used || ' used, this probe needs ' || cost || ')' END AS reason FROM w JOIN c USING (i)
+  CASE WHEN state = 'deferred' THEN 'deferred: budget {budget}ms exhausted (' || used || ' used, this probe needs ' || cost || ')' END AS reason FROM w JOIN c USING (i)
 UNION ALL SELECT table_name, column_name, NULL, NULL, NULL, 'excluded', NULL, NULL, 'no match, nothing to probe' FROM m WHERE status = 'no_match'"""
 
 
-@query(PLAN_SQL)
-def probe_plan_profiled(t):
-    """The probe plan of the columns of six tables, whose status comes from the share of distinct values in each."""
+def mappings(t):
+    """The columns of six tables, whose status comes from the share of distinct values in each."""
     parts = []
     for name, columns in COLUMNS.items():
         one = getattr(t, name).agg(*[(F.count_distinct(c) / F.count(F.lit(1))).alias(c) for c in columns])
@@ -132,5 +125,17 @@ def probe_plan_profiled(t):
     order = {c: i for i, c in enumerate(c for cs in COLUMNS.values() for c in cs)}
     place = F.create_map(*[F.lit(x) for kv in order.items() for x in kv])[F.col("column_name")]
     status = F.when(F.col("share") > 0.9, "ok").when(F.col("share") > 0.2, "low_confidence").when(F.col("share") > 0.002, "ambiguous").otherwise("no_match")
-    m = reduce(lambda a, b: a.union(b), parts).select("table_name", "column_name", status.alias("status"), place.alias("place"))
-    return N.probe_plan(m).withColumn("priority", F.round("priority", 9))
+    return reduce(lambda a, b: a.union(b), parts).select("table_name", "column_name", status.alias("status"), place.alias("place"))
+
+
+@query(plan_sql(30_000, 120))
+def probe_plan_profiled(t):
+    """The probe plan of the columns under the usual budget."""
+    return N.probe_plan(mappings(t)).withColumn("priority", F.round("priority", 9))
+
+
+@query(f"SELECT table_name || '.' || column_name || ':' || category AS probe, state = 'scheduled' AS scheduled FROM ({plan_sql(4000, 6)}) WHERE category IS NOT NULL")
+def probe_plan_greedy(t):
+    """Which probes of the columns run under a tight budget."""
+    plan = N.probe_plan(mappings(t), 4000, 1).where("category is not null")
+    return plan.select(F.concat("table_name", F.lit("."), "column_name", F.lit(":"), "category").alias("probe"), (F.col("state") == "scheduled").alias("scheduled"))
