@@ -11,6 +11,7 @@ from ..functions import redact as R
 from ..operators import cdc as C
 from ..operators.graph import shared_dir
 from ..operators.ordered import previous
+from ..sources import observe as O
 from ..sources import replication as W
 from ..streaming.store import BucketStore
 from .base import query
@@ -135,8 +136,11 @@ def credential_classify(t):
 
 @query("SELECT CASE WHEN event_type = 'click' THEN 'http_request' WHEN event_type = 'purchase' THEN 'sql_query' WHEN event_type = 'view' THEN 'dns_lookup' ELSE 'process_exec' END AS kind, count(*) AS received, count(*) FILTER (WHERE value > 50) AS kept, count(*) FILTER (WHERE NOT value > 50) AS filtered FROM events GROUP BY 1")
 def observe_counters(t):
-    kind = F.when(F.col("event_type") == "click", "http_request").when(F.col("event_type") == "purchase", "sql_query").when(F.col("event_type") == "view", "dns_lookup").otherwise("process_exec")
-    return t.events.groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("received"), F.count_if(F.col("value") > 50).alias("kept"), F.count_if(~(F.col("value") > 50)).alias("filtered"))
+    """Events as JSON lines of a collector, of which a label lets some through."""
+    holds = F.when(F.col("event_type") == "click", "http_request").when(F.col("event_type") == "purchase", "sql").when(F.col("event_type") == "view", "dns").otherwise("process_exec")
+    passes = F.when(F.col("value") > 50, "true").otherwise("false")
+    lines = t.events.select(F.format_string('{"pod": {"name": "p%s", "labels": {"observe": "%s"}}, "%s": {"id": %s}}', F.col("user_id").cast("string"), passes, holds, F.col("event_id").cast("string")).alias("value"))
+    return O.counters(O.json_lines(lines))
 
 
 def order_messages(t):

@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: What an event of a pod holds, and its kind; the first one there is.
+TETRAGON = (("process_kprobe", "syscall"), ("dns", "dns_lookup"), ("process_exec", "process_exec"), ("http_request", "http_request"), ("sql", "sql_query"))
+
+
 def json_lines(df: DataFrame, column: str = "value") -> DataFrame:
     """Adds ``v`` (VARIANT); blank and malformed lines go."""
     return df.withColumn("v", F.try_parse_json(column)).where(F.col("v").isNotNull())
@@ -26,7 +30,7 @@ def debezium(lines: DataFrame) -> DataFrame:
 
 def tetragon(lines: DataFrame, label: str = "observe") -> DataFrame:
     """Events of pods that carry the label, by the first of kprobe, dns, exec, http and sql that they hold."""
-    kind = F.coalesce(*[F.when(_at(f"$.{k}", "variant").isNotNull(), n) for k, n in (("process_kprobe", "syscall"), ("dns", "dns_lookup"), ("process_exec", "process_exec"), ("http_request", "http_request"), ("sql", "sql_query"))])
+    kind = F.coalesce(*[F.when(_at(f"$.{k}", "variant").isNotNull(), n) for k, n in TETRAGON])
     gate = F.coalesce(_at(f"$.pod.labels['{label}']"), _at(f"$.process.pod.labels['{label}']")) == "true"
     return lines.where(gate).select(kind.alias("kind"), _at("$.pod.name").alias("service"), "v").where("kind is not null")
 
@@ -50,11 +54,19 @@ def vsam_payload(raw: Column) -> Column:
 
 def git_numstat(lines: DataFrame, order: str = "line_no") -> DataFrame:
     """Rows of ``git log --numstat`` with ``COMMIT:hash|author|date|subject`` heads: one row for each changed source file."""
-    from pyspark.sql.window import Window
+    from ..operators.ordered import greatest_before
 
-    head = F.when(F.startswith("value", F.lit("COMMIT:")), F.substring("value", 8, 1 << 20))
-    w = Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    rows = lines.withColumn("_h", F.last(head, ignorenulls=True).over(w)).where(~F.startswith("value", F.lit("COMMIT:")))
+    is_head = F.startswith("value", F.lit("COMMIT:"))
+    head = F.when(is_head, F.struct(F.col(order).alias("at"), F.substring("value", 8, 1 << 20).alias("text")))
+    rows = greatest_before(lines, [], [order], head, "_h").where(~is_head).withColumn("_h", F.col("_h.text"))
     f, h = F.split("value", "\t"), F.split("_h", r"\|")
     rows = rows.where(F.size(f) == 3).select(h[0].alias("commit"), h[1].alias("author"), h[2].alias("date"), F.coalesce(f[0].try_cast("int"), F.lit(0)).alias("added"), F.coalesce(f[1].try_cast("int"), F.lit(0)).alias("deleted"), f[2].alias("path"))
     return rows.where(F.col("path").rlike(r"\.(py|tsx?|jsx?)$"))
+
+
+def counters(lines: DataFrame, label: str = "observe") -> DataFrame:
+    """(kind, received, kept, filtered): events of pods by kind, and how many of them the label lets through."""
+    kinds = [F.when(_at(f"$.{k}", "variant").isNotNull(), n) for k, n in TETRAGON]
+    gate = F.coalesce(F.coalesce(_at(f"$.pod.labels['{label}']"), _at(f"$.process.pod.labels['{label}']")) == "true", F.lit(False))
+    own = lines.select(F.coalesce(*kinds).alias("kind"), gate.alias("kept")).where("kind is not null")
+    return own.groupBy("kind").agg(F.count(F.lit(1)).alias("received"), F.count_if("kept").alias("kept"), F.count_if(~F.col("kept")).alias("filtered"))

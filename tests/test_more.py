@@ -317,3 +317,13 @@ def test_lasting_errors_are_not_tried_again():
     with pytest.raises(RuntimeError):
         migration.with_retry(refused, sleep=lambda s: None)
     assert len(tries) == 1
+
+
+def test_numstat_and_counters(spark):
+    text = ["COMMIT:h1|ann|2024-01-01|first", "3\t1\ta.py", "-\t-\tb.png", "COMMIT:h2|bob|2024-01-02|second", "x\t2\tc.ts", "", "5\t0\td.js"]
+    lines = spark.createDataFrame(list(enumerate(text)), "line_no long, value string").repartition(4)
+    got = sorted((r.commit, r.author, r.added, r.deleted, r.path) for r in observe.git_numstat(lines).collect())
+    assert got == [("h1", "ann", 3, 1, "a.py"), ("h2", "bob", 0, 2, "c.ts"), ("h2", "bob", 5, 0, "d.js")]
+    events = ['{"pod": {"labels": {"observe": "true"}}, "dns": {}}', '{"pod": {"labels": {}}, "dns": {}}', '{"dns": {}}', '{"pod": {"labels": {"observe": "true"}}}', "bad"]
+    raw = observe.json_lines(spark.createDataFrame([(x,) for x in events], "value string"))
+    assert [tuple(r) for r in observe.counters(raw).collect()] == [("dns_lookup", 3, 1, 2)]
