@@ -16,18 +16,21 @@ is lost, and pairs are never all written out.
   their count among these nodes, each order by its own row of a count sketch of fixed size.  Two sets
   that link share a shingle of their first ``t + 1`` under every order.  The first order proposes
   pairs; a pair that shares no prefix shingle under one of the others is dropped before its sets are
-  compared.
-* Nodes that share a prefix shingle are first compared with a few pivots each (the
-  nodes of lowest priority); linked nodes merge.  A shingle whose nodes are all in
+  compared, and so is one whose sets surely differ too much: each set has a bitmap of the parity of its
+  shingles by hash, and two sets differ in as many shingles as their bitmaps do in bits, or in more.
+* The nodes that share a prefix shingle are a list.  Equal lists are one.  All pairs of a tiny
+  list are compared at once.  The nodes of others are first compared with a few pivots (the
+  nodes of lowest priority); linked nodes merge.  A list whose nodes are all in
   one component is finished.  What is left is compared exactly: all pairs across
-  components for short lists.  The nodes outside a long list's largest component are
-  compared with that whole component and with each other once, in blocks, and not
+  components for short lists.  Long lists get more pivots first; then the nodes outside a long list's largest
+  component are compared with that whole component and with each other once, in blocks, and not
   list by list; pairs pass the filters of size and of all orders there too.
 """
 
 from __future__ import annotations
 
 import uuid
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -41,9 +44,9 @@ from .textkit import U, item_sketch, membership, mix, sequences, shingle_set, te
 
 #: Pivots of a list in each round; later rounds only concern nodes that are not yet linked.
 PIVOTS = (4, 24)
-#: Lists of up to this many nodes are finished pair by pair.
-SHORT = 24
-#: Nodes of a block in the exhaustive comparison, and of a list that one task takes.
+#: Lists of up to this many nodes are finished pair by pair: at once, and after one round of pivots.
+TINY, SHORT = 8, 24
+#: Nodes of a block in the exhaustive comparison, and of a list that one row holds.
 BLOCK, LANE = 512, 1024
 #: Prefix shingles, and nodes, that a task packs at once.
 PACK, NODES = 1 << 20, 60_000
@@ -93,6 +96,95 @@ def jaccard_links(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def parity(shingles: np.ndarray) -> bytes:
+    """A bit for each of 2 ** k hash values, at least as many as shingles: whether an odd number of them has it."""
+    width = 1 << max(6, (len(shingles) - 1).bit_length())
+    odd = np.bincount((mix(shingles ^ U(0x1D8E4E27C47D124F)) & U(width - 1)).astype(np.int64), minlength=width) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def may_link(x: bytes, m: int, y: bytes, n: int, percent: int) -> bool:
+    """False only where sets of ``m`` and ``n`` shingles with these parities surely do not link."""
+    a, b, width = int.from_bytes(x, "little"), int.from_bytes(y, "little"), 8 * min(len(x), len(y))
+    while a >> width:
+        a = a >> width ^ a & (1 << width) - 1
+    while b >> width:
+        b = b >> width ^ b & (1 << width) - 1
+    differ = (a ^ b).bit_count()
+    return 100 * (m + n - differ) >= percent * (m + n + differ)
+
+
+def _meet(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted arrays, not empty, have an element in common."""
+    return bool((b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a).any())
+
+
+LISTS = "token long, cut long, lane int, many int, nodes binary, sizes binary"
+
+
+def _packed(most: int):
+    """Of rows (token, node, m) sorted by token and node: the lists of two nodes or more, packed.  A list of more than
+    ``most`` nodes is cut into several rows, numbered by lane, that have the token as ``cut``."""
+    fields = [f.split() for f in LISTS.split(", ")]
+
+    def run(batches):
+        held, lane = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)], 0
+
+        def row(a: int, b: int, cut: bool) -> tuple:
+            t = int(held[0][a])
+            return t, t if cut else None, lane, b - a, held[1][a:b].astype("<i8").tobytes(), held[2][a:b].astype("<i4").tobytes()
+
+        for batch in chain(batches, [None]):
+            if batch is not None:
+                more = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+                held = [np.concatenate([old, x]) for old, x in zip(held, more, strict=True)]
+            t, out, a = held[0], [], 0
+            if not len(t):
+                continue
+            edges = np.append(np.flatnonzero(np.append(True, t[1:] != t[:-1])), len(t)).tolist()
+            for a, b in pairwise(edges):
+                while b - a > most:
+                    out.append(row(a, a + most, True))
+                    lane, a = lane + 1, a + most
+                if b == len(t) and batch is not None:  # the last list may go on in the next batch
+                    break
+                if b - a > 1 or lane:
+                    out.append(row(a, b, lane > 0))
+                lane, a = 0, b
+            held = [x[a:] for x in held]
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, _KINDS[k]) for c, (_, k) in zip(zip(*out, strict=True), fields, strict=True)], [f for f, _ in fields])
+
+    return run
+
+
+def _unpacked(batches):
+    """The rows (token, lane, cut, many, node, m) of packed lists."""
+    for batch in batches:
+        token, cut, lane, many = (batch.column(i) for i in range(4))
+        at = pa.array(np.repeat(np.arange(batch.num_rows), many.to_numpy()))
+        node, m = (np.frombuffer(b"".join(batch.column(i).to_pylist()), k) for i, k in ((4, "<i8"), (5, "<i4")))
+        yield pa.RecordBatch.from_arrays([token.take(at), lane.take(at), cut.take(at), many.take(at), pa.array(node), pa.array(m)], ["token", "lane", "cut", "many", "node", "m"])
+
+
+def _all_pairs(percent: int):
+    """All pairs of the nodes of each packed list whose sizes fit."""
+
+    def run(batches):
+        ends: dict[int, tuple] = {}
+        for batch in batches:
+            us, vs = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for k, nodes, sizes in zip(*(batch.column(i).to_pylist() for i in (3, 4, 5)), strict=True):
+                i, j = ends.get(k) or ends.setdefault(k, np.triu_indices(k, 1))
+                node, m = np.frombuffer(nodes, "<i8"), np.frombuffer(sizes, "<i4").astype(np.int64)
+                ok = (100 * np.minimum(m[i], m[j]) >= percent * np.maximum(m[i], m[j])) & (node[i] != node[j])
+                us.append(node[i][ok])
+                vs.append(node[j][ok])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], ["u", "v"])
+
+    return run
+
+
 def _own(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
@@ -244,8 +336,10 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             nodes = [node_of(s) if len(s) else None for s in out]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.int64()), pa.array([s.astype("<u8").tobytes() for s in out], pa.binary())], ["id", "node", "items"])
 
-    found_sets = own.where("id is not null").mapInArrow(sets, "id long, node long, items binary").join(wanted, ["id", "node"])
-    plain = scratch.put(found_sets.dropDuplicates(["node"]).select(F.col("id").alias("node"), "items"), "plain")
+    # met by id alone, so that sets move once
+    found_sets = own.where("id is not null").mapInArrow(sets, "id long, node long, items binary")
+    found_sets = found_sets.join(wanted.withColumnRenamed("node", "own"), "id").where("node >= own and node <= own").dropDuplicates(["id", "node"])
+    plain = scratch.put(found_sets.select(F.col("id").alias("node"), "items"), "plain")
     held.unpersist()
     sketch = item_sketch(plain.select("items"), sketch_bits, ORDERS)
     ranks = spark.sparkContext.broadcast(sketch)
@@ -254,25 +348,44 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
     def ordered_prefixes(batches):
         for batch in batches:
             s = [np.frombuffer(raw, "<u8") for raw in batch.column(1).to_pylist()]
-            cols = [pa.array([np.sort(prefix(x, ranks.value, o, percent)).view(np.int64) for x in s], pa.list_(pa.int64())) for o in range(ORDERS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in s], pa.int32()), batch.column(1), *cols], ["node", "m", "items", *names])
+            lists_ = pa.array([np.sort(prefix(x, ranks.value, 0, percent)).view(np.int64) for x in s], pa.list_(pa.int64()))
+            # of the other orders 32 bits will do: they only filter
+            cols = [pa.array([np.unique(prefix(x, ranks.value, o, percent).astype("<u4")).tobytes() for x in s], pa.binary()) for o in range(1, ORDERS)]
+            cols = [batch.column(0), pa.array([len(x) for x in s], pa.int32()), batch.column(1), pa.array([parity(x) for x in s], pa.binary()), lists_, *cols]
+            yield pa.RecordBatch.from_arrays(cols, ["node", "m", "items", "parity", *names])
 
     # bucketed by node, so that later joins do not move the sets
     name = f"tessera_sets_{scratch.root.rpartition('-')[2]}"
-    schema = "node long, m int, items binary, " + ", ".join(f"{c} array<long>" for c in names)
+    schema = "node long, m int, items binary, parity binary, prefix0 array<long>, " + ", ".join(f"{c} binary" for c in names[1:])
     plain.mapInArrow(ordered_prefixes, schema).write.option("path", f"{scratch.root}/sets").bucketBy(parts, "node").sortBy("node").saveAsTable(name)
     nodes = spark.table(name)
-    items, filters = nodes.select("node", "items"), nodes.select("node", *names[1:])
+    marks = ["m", "parity", *names[1:]]
+    items, filters = nodes.select("node", "items"), nodes.select("node", *marks)
     scratch.drop("plain")
-    listed = nodes.select(F.explode("prefix0").alias("token"), "node", "m")
-    lanes = listed.groupBy("token").agg(F.ceil(F.count(F.lit(1)) / LANE).cast("int").alias("lanes"), F.count(F.lit(1)).alias("many")).where("many > 1").drop("many")
-    # a list longer than LANE is dealt over several tasks
-    lists = scratch.put(listed.join(lanes, "token").withColumn("lane", F.pmod(F.xxhash64("node"), F.col("lanes")).cast("int")), "lists")
+    listed = nodes.select(F.explode("prefix0").alias("token"), "node", "m").repartition("token").sortWithinPartitions("token", "node")
+    # equal lists are one, by the smallest of their tokens
+    lists = listed.mapInArrow(_packed(LANE), LISTS).groupBy("cut", "lane", "many", "nodes", "sizes").agg(F.min("token").alias("token"))
+    lists = scratch.put(lists.select(*(f.split()[0] for f in LISTS.split(", "))), "lists")
     ranks.unpersist()
+    tiny = F.expr(f"cut is null and many <= {min(TINY, SHORT)}")
+    open_ = lists.where(~tiny).mapInArrow(_unpacked, "token long, lane int, cut long, many int, node long, m int")
+    open_ = open_.select("token", "lane", "cut", F.expr(f"cut is not null or many > {SHORT}").alias("long"), "node", "m")
+    # a list longer than LANE is dealt over several tasks
+    lanes = lists.where("cut is not null").groupBy("cut").agg((F.max("lane") + 1).alias("lanes"))
+    open_ = open_.withColumn("lanes", F.lit(1)) if lanes.isEmpty() else open_.join(lanes, "cut", "left").withColumn("lanes", F.coalesce("lanes", F.lit(1)))
+    open_ = open_.drop("cut")
 
     def everywhere(df: DataFrame) -> DataFrame:
         return df.withColumn("lane", F.explode(F.sequence(F.lit(0), F.col("lanes") - 1))).drop("lanes")
 
+    def alike(batches):
+        for batch in batches:
+            c = {n: batch.column(n).to_pylist() for n in batch.schema.names}
+            ok = [may_link(*x, percent) for x in zip(c["a_parity"], c["a_m"], c["b_parity"], c["b_m"], strict=True)]
+            for o in names[1:]:
+                ok = [k and _meet(np.frombuffer(x, "<u4"), np.frombuffer(y, "<u4")) for k, x, y in zip(ok, c[f"a_{o}"], c[f"b_{o}"], strict=True)]
+            yield batch.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
     def verify(batches):
         for batch in batches:
             pairs = zip(batch.column(2), batch.column(3), strict=True)
@@ -280,48 +393,54 @@ def ngram_jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["u", "v"]).filter(pa.array(ok, pa.bool_()))
 
     def links(pairs: DataFrame) -> DataFrame:
-        """Pairs (u, v) that pass the filters of the other orders and then the exact comparison."""
-        a = filters.select(F.col("node").alias("u"), *(F.col(c).alias(f"a_{c}") for c in names[1:]))
-        b = filters.select(F.col("node").alias("v"), *(F.col(c).alias(f"b_{c}") for c in names[1:]))
-        p = pairs.distinct().join(a, "u").join(b, "v")
-        for c in names[1:]:
-            p = p.where(F.arrays_overlap(f"a_{c}", f"b_{c}"))
-        p = scratch.put(p.select("u", "v"), f"pairs{r}")
+        """Pairs (u, v) that pass the filters of differences and of the other orders and then the exact comparison."""
+        a = filters.select(F.col("node").alias("u"), *(F.col(c).alias(f"a_{c}") for c in marks))
+        b = filters.select(F.col("node").alias("v"), *(F.col(c).alias(f"b_{c}") for c in marks))
+        p = scratch.put(pairs.distinct().join(a, "u").join(b, "v").mapInArrow(alike, "u long, v long").distinct(), f"pairs{r}")
         p = p.join(items.withColumnRenamed("node", "u").withColumnRenamed("items", "x"), "u")
         p = p.join(items.withColumnRenamed("node", "v").withColumnRenamed("items", "y"), "v")
         return p.select("u", "v", "x", "y").mapInArrow(verify, "u long, v long")
 
     fits = F.expr(f"100 * least(m, n) >= {percent} * greatest(m, n)")
     ends = [F.least("node", "other").alias("u"), F.greatest("node", "other").alias("v")]
-    every = scratch.put(lists.select("node").distinct(), "every")
-    component = every.select("node", F.col("node").alias("component"))
-    edges, open_ = None, lists
+
+    def with_pivots(held: DataFrame) -> DataFrame:
+        prio = F.xxhash64(F.lit(r), "node")
+        pick = held.groupBy("token", F.pmod(prio, F.lit(PIVOTS[r])).alias("k")).agg(F.min(F.struct(prio.alias("p"), "node", "m", "component")).alias("q"), F.max("lanes").alias("lanes"))
+        pick = everywhere(pick.select("token", "lanes", F.col("q.node").alias("other"), F.col("q.m").alias("n"), F.col("q.component").alias("c")))
+        return held.join(pick, ["token", "lane"]).where("component != c").where(fits).select(*ends)
+
+    # nodes without a row are components of their own
+    component = spark.createDataFrame([], "node long, component long")
     for r in range(len(PIVOTS) + 1):
-        held = open_.join(component, "node")
-        if r < len(PIVOTS):
-            prio = F.xxhash64(F.lit(r), "node")
-            pick = held.groupBy("token", F.pmod(prio, F.lit(PIVOTS[r])).alias("k")).agg(F.min(F.struct(prio.alias("p"), "node", "m", "component")).alias("q"), F.max("lanes").alias("lanes"))
-            pick = everywhere(pick.select("token", "lanes", F.col("q.node").alias("other"), F.col("q.m").alias("n"), F.col("q.component").alias("c")))
-            found = links(held.join(pick, ["token", "lane"]).where("component != c").where(fits).select(*ends))
+        if r == 0:
+            found = links(lists.where(tiny).mapInArrow(_all_pairs(percent), "u long, v long").union(with_pivots(open_.withColumn("component", F.col("node")))))
         else:
-            size = held.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"), F.max("lanes").alias("lanes"))
-            main = size.groupBy("token").agg(F.sum("c").alias("many"), F.max_by("component", F.struct("c", "component")).alias("main"), F.max("lanes").alias("lanes"))
-            held = held.drop("lanes").join(everywhere(main), ["token", "lane"])
-            loose = held.where(F.expr(f"many <= {SHORT}")).select("token", "node", "m", "component")
+            held = open_ if r == 1 else open_.where("long")
+            held = held.drop("component").join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            held = scratch.put(held, f"held{r}")
+            live = held.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("lanes").alias("lanes")).where("lo != hi")
+            open_ = scratch.put(held.join(everywhere(live), ["token", "lane"], "left_semi"), f"open{r}")
+            scratch.drop(f"held{r}")
+            if open_.isEmpty():
+                break
+        if r == 1:
+            loose = open_.where("not long").select("token", "node", "m", "component")
             other = loose.select("token", F.col("node").alias("other"), F.col("m").alias("n"), F.col("component").alias("c"))
             pairs = loose.join(other, "token").where("node < other and component != c").where(fits).select(*ends)
-            # long lists are left to the blocks
-            strays = held.where(F.expr(f"many > {SHORT} and component != main")).select("node", "component", "main").distinct()
+            found = links(pairs.union(with_pivots(open_.where("long"))))
+        elif r > 1:
+            size = open_.groupBy("token", "component").agg(F.count(F.lit(1)).alias("c"), F.max("lanes").alias("lanes"))
+            main = size.groupBy("token").agg(F.max_by("component", F.struct("c", "component")).alias("main"), F.max("lanes").alias("lanes"))
+            strays = open_.drop("lanes").join(everywhere(main), ["token", "lane"]).where("component != main").select("node", "component", "main").distinct()
             strays = scratch.put(strays, "strays")
-            found = links(pairs).union(_in_blocks(strays, component, nodes, names, percent))
+            members = component.union(strays.select("main", "main")).distinct()
+            found = _in_blocks(strays, members, nodes, names, percent)
         found = scratch.put(found, f"found{r}")
-        edges = found if edges is None else edges.union(found)
-        comps = connected_components(edges, scratch, f"cc{r}")
-        component = scratch.put(every.join(comps, "node", "left").select("node", F.coalesce("component", "node").alias("component")), f"component{r}")
-        edges = component.select(F.col("node").alias("u"), F.col("component").alias("v"))
-        if r < len(PIVOTS):
-            live = lists.join(component, "node").groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max("lanes").alias("lanes")).where("lo != hi")
-            open_ = scratch.put(lists.join(everywhere(live), ["token", "lane"], "left_semi"), f"open{r}")
+        if found.isEmpty():
+            continue
+        edges = component.toDF("u", "v").union(found)
+        component = scratch.put(connected_components(edges, scratch, f"cc{r}"), f"component{r}")
 
     spark.sql(f"DROP TABLE IF EXISTS {name}")
     scratch.drop("sets")
@@ -359,19 +478,22 @@ def _in_blocks(strays: DataFrame, component: DataFrame, nodes: DataFrame, names:
         got = [of[1][a:b] for a, b in zip(lo, hi, strict=True) if b > a]
         return np.bincount(np.concatenate(got), minlength=count) if got else np.zeros(count, np.int64)
 
+    def part(row: dict, c: str) -> np.ndarray:
+        return np.asarray(row[c]) if c == names[0] else np.frombuffer(row[c], "<u4")
+
     def compare(frames):
         for pdf in frames:
             out = []
             for strays_, rows in zip(pdf["strays"], pdf["rows"], strict=True):
                 sets = [np.frombuffer(r["items"], "<u8") for r in rows]
                 size, comp = np.array([len(s) for s in sets]), np.array([r["component"] for r in rows])
-                whole, orders = index(sets), [index([np.asarray(r[c]) for r in rows]) for c in names]
+                whole, orders = index(sets), [index([part(r, c) for r in rows]) for c in names]
                 for x in strays_:
                     s = np.frombuffer(x["items"], "<u8")
                     open_ = (comp != x["component"]) & (100 * np.minimum(size, len(s)) >= percent * np.maximum(size, len(s)))
                     for c, of in zip(names, orders, strict=True):
                         if open_.any():
-                            open_ &= hits(of, np.asarray(x[c]), len(rows)) > 0
+                            open_ &= hits(of, part(x, c), len(rows)) > 0
                     if open_.any():
                         both = hits(whole, s, len(rows))
                         ok = np.flatnonzero(open_ & (100 * both >= percent * (size + len(s) - both)))

@@ -10,10 +10,11 @@ from html.parser import HTMLParser
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import bpe, html_text, langid, licenses, ngram_join, packing, queries, sharding, suffix_dedup, vectors
+from tessera.llm import bpe, html_text, langid, licenses, ngram_join, packing, queries, scratch, sharding, suffix_dedup, vectors
 from tessera.llm.ngram_join import ngram_jaccard_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -79,6 +80,61 @@ def test_ngram_join(spark, monkeypatch, short):
     assert sorted((r.doc_id, r.component_id) for r in twice) == [(5, 5), (5, 5), (9, 5)]
 
 
+def test_ngram_join_lists(spark, monkeypatch):
+    """Lists with the same nodes are kept and compared once; long ones are cut into rows and still compared whole."""
+    rng = np.random.default_rng(3)
+    rows = []
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(200)]
+        for k in range(9):
+            mine = list(words)
+            for at in rng.choice(200, int(rng.integers(0, 9)), replace=False):
+                mine[at] = f"x{g}-{k}-{at}"
+            rows.append((100 * g + k, " ".join(mine)))
+    sets = {i: shingles(t) for i, t in rows}
+    linked = [(a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    want, put, sizes = closed(list(sets), linked), scratch.Scratch.put, {}
+
+    def counted(self, df, name):
+        out = put(self, df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(scratch.Scratch, "put", counted)
+    got = ngram_jaccard_components(frame(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want and len(set(want.values())) > 12
+    assert sizes["lists"] < len(rows) * 4
+    monkeypatch.setattr(ngram_join, "LANE", 3)
+    monkeypatch.setattr(ngram_join, "SHORT", 2)
+    monkeypatch.setattr(ngram_join, "BLOCK", 4)
+    got = ngram_jaccard_components(frame(spark, rows)).collect()
+    assert {r.doc_id: r.component_id for r in got} == want
+
+
+def test_ngram_join_parts():
+    """Packed lists against plain grouping, over any cut into batches; parities never part sets that link."""
+    rng = np.random.default_rng(4)
+    t = np.sort(rng.integers(0, 12, 60))
+    for most, step in ((3, 1), (4, 7), (100, 60), (1, 5)):
+        batches = [pa.RecordBatch.from_arrays([pa.array(t[i : i + step]), pa.array(np.arange(60)[i : i + step]), pa.array(np.arange(60, dtype=np.int32)[i : i + step])], ["token", "node", "m"]) for i in range(0, 60, step)]
+        out = [r for b in ngram_join._packed(most)(batches) for r in b.to_pylist()]
+        lists = {}
+        for r in out:
+            assert r["many"] == len(r["nodes"]) // 8 <= most and (r["cut"] is None or r["cut"] == r["token"])
+            lists.setdefault(r["token"], []).extend(np.frombuffer(r["nodes"], "<i8").tolist())
+        assert lists == {k: np.flatnonzero(t == k).tolist() for k in set(t.tolist()) if (t == k).sum() > 1}
+        assert {r["token"] for r in out if r["cut"] is not None} == {k for k in set(t.tolist()) if (t == k).sum() > most}
+    kept = parted = 0
+    for _ in range(2000):
+        whole = rng.integers(0, 1 << 63, int(rng.integers(1, 400)), dtype=np.uint64)
+        a = np.unique(whole[: max(1, int(len(whole) * rng.uniform(0.7, 1)))])
+        b = np.unique(whole[int(len(whole) * rng.uniform(0, 0.3)) :])
+        links, may = ngram_join.jaccard_links(a, b, 85), ngram_join.may_link(ngram_join.parity(a), len(a), ngram_join.parity(b), len(b), 85)
+        assert may or not links
+        kept, parted = kept + links, parted + (not may)
+    assert kept > 200 and parted > 800
+
+
 def test_suffix_subtrees():
     """The parts of the operator against plain loops, on words that collide in half of their bits."""
     rng = np.random.default_rng(0)
