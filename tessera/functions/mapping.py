@@ -84,10 +84,18 @@ def property_checks(df: DataFrame, before: str, after: str, *, inverse: Column |
     return df.agg(*checks)
 
 
-def pg_timestamp(micros: Column) -> Column:
-    """Microseconds since the year 2000 as ISO 8601 text in UTC."""
-    at = F.timestamp_micros(micros + F.lit(946684800000000))
-    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.when(F.pmod(micros, F.lit(1_000_000)) != 0, F.concat(F.lit("."), F.lpad(F.pmod(micros, F.lit(1_000_000)).cast("string"), 6, "0"))).otherwise(""), F.lit("+00:00"))
+def pg_timestamp(micros: Column, timespec: str = "auto") -> Column:
+    """Microseconds since the year 2000 as ISO 8601 text in UTC.
+
+    ``timespec`` as in Python's ``isoformat``: ``auto`` leaves out a fraction of zero, ``microseconds`` always writes six digits.
+    """
+    if timespec not in ("auto", "microseconds"):
+        raise ValueError(f"timespec {timespec!r}")
+    at, rest = F.timestamp_micros(micros + F.lit(946684800000000)), F.pmod(micros, F.lit(1_000_000))
+    # years beyond 9999 come with a sign
+    text = F.regexp_replace(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), r"^\+", "")
+    fraction = F.concat(F.lit("."), F.lpad(rest.cast("string"), 6, "0"))
+    return F.concat(text, fraction if timespec == "microseconds" else F.when(rest != 0, fraction).otherwise(""), F.lit("+00:00"))
 
 
 def padded_zone(text: Column) -> Column:
