@@ -73,14 +73,18 @@ def scored(stats: DataFrame, score: Callable[[pd.DataFrame], pd.Series]) -> Data
     return stats.withColumn("score", run(F.struct(*names)))
 
 
-def property_checks(df: DataFrame, before: str, after: str, *, inverse: Column | None = None, precision: int | None = None) -> DataFrame:
-    """One row with the rows that break each property of a transformer: null_passthrough, no_null_emission, reversibility, within_target_precision."""
+def property_checks(df: DataFrame, before: str, after: str, *, inverse: Column | None = None, precision: int | None = None, from_above: bool = False) -> DataFrame:
+    """One row with the rows that break each property of a transformer: null_passthrough, no_null_emission, reversibility, within_target_precision.
+
+    Values of a magnitude below ``10 ** precision`` are within it; with ``from_above``, all that are not greater than ``10 ** precision - 1``.
+    """
     a, b = F.col(before), F.col(after)
     checks = [F.count_if(a.isNull() & b.isNotNull()).alias("null_passthrough"), F.count_if(a.isNotNull() & b.isNull()).alias("no_null_emission")]
     if inverse is not None:
         checks.append(F.count_if(~inverse.eqNullSafe(a)).alias("reversibility"))
     if precision is not None:
-        checks.append(F.count_if(F.abs(b) > float(10**precision - 1)).alias("within_target_precision"))
+        beyond = b > float(10**precision - 1) if from_above else F.abs(b) >= float(10**precision)
+        checks.append(F.count_if(beyond).alias("within_target_precision"))
     return df.agg(*checks)
 
 
