@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import fcntl
 import functools
 import sqlite3
 import uuid
@@ -18,13 +20,30 @@ v AS (SELECT *, CASE WHEN k % 97 = 0 THEN 'shared' ELSE CAST(k AS VARCHAR) END A
 w AS (SELECT *, good AND row_number() OVER (PARTITION BY batch_no, ref, good ORDER BY k) = 1 AS written FROM v)"""
 
 
+def opened(path: str) -> sqlite3.Connection:
+    """A connection whose transactions outlive its process, as the journal is kept, but not a power failure, as nothing waits for the disk."""
+    con = sqlite3.connect(path, timeout=300, isolation_level=None)
+    con.execute("PRAGMA synchronous = OFF")
+    con.execute("PRAGMA journal_mode = PERSIST")
+    return con
+
+
+@contextlib.contextmanager
+def turn(path: str):
+    """A lock that wakes the next writer at once; without it, or where files cannot be locked so, SQLite's own lock is polled."""
+    with open(path, "a") as f:
+        with contextlib.suppress(OSError):
+            fcntl.flock(f, fcntl.LOCK_EX)
+        yield
+
+
 def sqlite_target(path: str, ddl: str, table: str) -> Target:
     """A table of an SQLite file that all tasks reach."""
-    connect = functools.partial(sqlite3.connect, path, timeout=300, isolation_level=None)
+    connect = functools.partial(opened, path)
     con = connect()
     con.execute(ddl)
     con.close()
-    return Target(connect, table, begin=("BEGIN IMMEDIATE",))
+    return Target(connect, table, begin=("BEGIN IMMEDIATE",), stepwise=True, turn=functools.partial(turn, f"{path}.turn"))
 
 
 @query(f"""WITH {ROWS} SELECT batch_no, count(*) AS n_rows, count(*) FILTER (WHERE written) AS n_written, count(*) FILTER (WHERE NOT written) AS n_quarantined, true AS conserved,

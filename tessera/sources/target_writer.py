@@ -1,7 +1,8 @@
 """Writing batches to a target database from tasks, with row isolation and a ledger.
 
 A batch is one transaction of one task.  It is first written as a whole; if the target refuses it, halves are tried
-under savepoints, in row order, down to the rows at fault, so k bad rows among n cost about k log n statements.  In the
+under savepoints, in row order, down to the rows at fault, so k bad rows among n cost about k log n statements.  Where
+a refused row undoes only itself (``stepwise``), one pass does: k + 1 statements, and no row is sent twice.  In the
 same transaction the batch enters a ledger with its counts, quarantined rows and receipt.  A task that is retried,
 run twice or resumed finds the ledger's row and writes nothing; one that dies leaves nothing behind.
 
@@ -10,8 +11,10 @@ Any driver of Python's database interface (PEP 249) will do; ``connect`` is call
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import json
+import operator
 import re
 import time
 from collections.abc import Callable, Iterable, Iterator, Sequence
@@ -47,7 +50,9 @@ class Target:
 
     ``connect`` gives a connection that leaves transactions to its user; ``begin`` are statements at the start of
     each (``BEGIN IMMEDIATE``, ``SET CONSTRAINTS ALL DEFERRED``).  ``bulk`` writes many rows at once (see ``copy_rows``); where
-    it fails, rows are inserted.  ``adapt`` turns a value into one that the driver takes.
+    it fails, rows are inserted.  ``adapt`` turns a value into one that the driver takes.  ``stepwise`` says that ``executemany``
+    draws rows from an iterator as it sends them, one by one, and that a refused row leaves those before it (SQLite does).
+    ``turn`` is held for the time of a transaction, where a target takes one at a time and would let others poll.
     """
 
     connect: Callable[[], object]
@@ -62,6 +67,8 @@ class Target:
     retries: int = 3
     sleep: Callable[[float], None] = time.sleep
     mark: str = '"'
+    stepwise: bool = False
+    turn: Callable[[], contextlib.AbstractContextManager] = contextlib.nullcontext
 
     def marks(self, n: int) -> str:
         return ", ".join([self.placeholder] * n)
@@ -141,7 +148,8 @@ class BatchWriter:
         content = hashlib.sha256("\n".join(map(repr, rows)).encode()).hexdigest()
         for attempt in range(t.retries + 1):
             try:
-                return self._once(batch_id, rows, keys, content)
+                with t.turn():
+                    return self._once(batch_id, rows, keys, content)
             except (TargetWriteError, TargetSchemaError):
                 raise
             except Exception as e:  # a lost connection, or another task at the same batch: begin anew
@@ -193,6 +201,8 @@ class BatchWriter:
         t = self.target
         if rows and t.bulk is not None and self._try(cursor, lambda: t.bulk(cursor, t.table, self.columns, rows)) is None:
             return []
+        if t.stepwise and (entries := self._pass(cursor, rows, keys)) is not None:
+            return entries
         entries, pending = [], [(0, len(rows))]
         while pending:
             a, b = pending.pop()
@@ -211,10 +221,34 @@ class BatchWriter:
                 t.sleep(min(2**tries, 5))
                 error = self._try(cursor, lambda: cursor.execute(self.insert, rows[a]))  # noqa: B023
             if error is not None:
-                kind = "target_constraint_violation" if is_constraint(error) else "target_connection_error"
-                entries.append({"row_offset": a, "pk_hash": hashlib.sha256(keys[a].encode()).hexdigest(), "category": kind, "detail": str(error), "retry_count": tries})
+                entries.append(self._entry(a, keys, error, is_constraint(error), tries))
         return entries
 
+    def _entry(self, at: int, keys: list[str], error: Exception, constraint: bool, tries: int = 0) -> dict:
+        kind = "target_constraint_violation" if constraint else "target_connection_error"
+        return {"row_offset": at, "pk_hash": hashlib.sha256(keys[at].encode()).hexdigest(), "category": kind, "detail": str(error), "retry_count": tries}
+
+    def _pass(self, cursor, rows: list[tuple], keys: list[str]) -> list[dict] | None:
+        """As ``_rows``, going on behind each row that breaks a constraint; None, with nothing written, at any other error."""
+        entries, left = [], iter(rows)
+        cursor.execute("SAVEPOINT pass")
+        while True:
+            before = operator.length_hint(left)
+            try:
+                cursor.executemany(self.insert, left)
+            except Exception as e:
+                if not getattr(self.con, "in_transaction", True):
+                    raise _Lost(str(e)) from e
+                after = operator.length_hint(left)
+                if after == before or not is_constraint(e):
+                    cursor.execute("ROLLBACK TO SAVEPOINT pass")
+                    return None
+                entries.append(self._entry(len(rows) - after - 1, keys, e, True))
+            else:
+                if self.target.release:
+                    cursor.execute("RELEASE SAVEPOINT pass")
+                return entries
+
     def _try(self, cursor, action: Callable) -> Exception | None:
         """What the action raises; its rows are undone then, and only they."""
         cursor.execute("SAVEPOINT part")
