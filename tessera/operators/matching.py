@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .graph import Steps
+
 
 def cosine(a: Column, b: Column) -> Column:
     """Double precision; a zero vector counts as of length one."""
@@ -22,37 +25,158 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / (norm(a) * norm(b))
 
 
-#: Vectors of a block.
-BLOCK = 1024
+#: Legacy vectors of a unit, targets of a part, of a tile (compared at once), groups of a tile, vectors of a packed row, pairs whose similarity is computed in full at once.
+UNIT, PART, TILE, GROUPS, CHUNK, PAIRS = 8192, 1 << 17, 1024, 64, 16, 1 << 16
 
 
-def top_candidates(legacy: DataFrame, target: DataFrame, id_col: str, vec_col: str, k: int) -> DataFrame:
+def top_candidates(legacy: DataFrame, target: DataFrame, id_col: str, vec_col: str, k: int, digits: int | None = 6) -> DataFrame:
     """(legacy, rank, target, sim): the k most similar targets of each legacy vector, ties to the smaller id.
 
-    Both sides are packed in blocks; every pair of blocks is one product, of which each legacy vector keeps k.
+    All pairs, side by side: a task compares a unit of legacy vectors with a part of the targets, tile by tile.  Products
+    in single precision, with a bound on their error, leave out what cannot be among the k; the rest is compared by
+    ``Nearest`` in double precision.  Of equal targets the k of smallest id are compared, equal legacy vectors once.
+    Similarities with a vector that is not finite are NaN and come first, with none or an empty one null and last.
     """
+    kind = "float" if all(df.schema[vec_col].dataType.simpleString() == "array<float>" for df in (legacy, target)) else "double"
+    steps = Steps(legacy)
+
+    def side(df: DataFrame) -> DataFrame:
+        v = F.col(vec_col).cast(f"array<{kind}>")
+        odd = F.exists(v, lambda x: F.isnan(x) | (F.abs(x) == float("inf")))
+        state = F.when(v.isNull() | (F.size(v) == 0), 2).when(F.coalesce(odd, F.lit(False)), 1).otherwise(0)
+        return df.select(F.col(id_col).cast("long").alias("id"), v.alias("v"), state.alias("state"))
+
+    def packed(df: DataFrame) -> tuple[DataFrame, int]:
+        rows = steps.put(df.select("id", "v").mapInArrow(pack, "n int, ids binary, vs binary"))
+        return rows, rows.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+    def dealt(rows: DataFrame, own: str, n: int, other: str, m: int, place: int) -> DataFrame:
+        own_, other_ = F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias(other)
+        return rows.select(own_, other_, F.lit(place).alias("side"), "ids", "vs").select("u", "p", "side", "ids", "vs")
+
+    left, right = side(legacy), side(target)
+    own = steps.put(left.where("state = 0").withColumn("row", F.monotonically_increasing_id()).withColumn("rep", F.min("row").over(Window.partitionBy("v"))))
+    nth = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    (x, n), (y, m) = packed(own.where("row = rep").select(F.col("rep").alias("id"), "v")), packed(right.where("state = 0").withColumn("nth", nth).where(F.col("nth") <= k))
+    units, parts = max(1, -(-n // UNIT)), max(1, -(-m // PART))
+    pairs = dealt(x, "u", units, "p", parts, 0).union(dealt(y, "p", parts, "u", units, 1)).repartition("u", "p").sortWithinPartitions("u", "p", "side")
+    hits = pairs.mapInArrow(nearest(k, np.float32 if kind == "float" else np.float64), "rep long, target long, sim double")
+    hits = own.select(F.col("id").alias("legacy"), "rep").join(hits, "rep").select("legacy", "target", "sim")
+
+    # pairs without a similarity: any target of the same state will do, so k of each are enough
+    some = right.withColumn("nth", F.row_number().over(Window.partitionBy("state").orderBy("id"))).where(F.col("nth") <= k)
+    none = left.select(F.col("id").alias("legacy"), F.col("state").alias("s")).crossJoin(F.broadcast(some.select(F.col("id").alias("target"), "state")))
+    worst = F.greatest("s", "state")
+    hits = hits.union(none.where(worst > 0).select("legacy", "target", F.when(worst == 1, float("nan")).alias("sim")))
+    rank = F.row_number().over(Window.partitionBy("legacy").orderBy(F.desc("sim"), "target"))
+    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("legacy", "rank", "target", (F.round("sim", digits) if digits is not None else F.col("sim")).alias("sim"))
 
-    def blocks(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), lambda x: x.cast("double")).alias("v"))
-        n = rows.agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("n"))
-        rows = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.greatest(F.lit(1), F.lit(n.first().n))).cast("int"))
-        return rows.groupBy("b").agg(F.collect_list(F.struct("id", "v")).alias(name))
 
-    left, right = blocks(legacy, "x"), blocks(target, "y")
-    n = right.count()
-    units = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(max(0, n - 1))))).join(right.withColumnRenamed("b", "j"), "j").select("x", "y")
+def pack(batches):
+    """Rows (id, v) as rows of ``CHUNK`` vectors in binary, so that they travel and are read as such."""
+    for batch in batches:
+        ids, vs = batch.column(0).to_numpy(), batch.column(1)
+        if not len(ids):
+            continue
+        flat, lengths = vs.flatten(), vs.value_lengths()
+        if flat.null_count or pc.min_max(lengths)["min"] != pc.min_max(lengths)["max"]:
+            raise ValueError("vectors of other lengths, or with null components")
+        rows = flat.to_numpy(zero_copy_only=False).reshape(len(ids), -1)
+        out = [(len(ids[a : a + CHUNK]), ids[a : a + CHUNK].tobytes(), rows[a : a + CHUNK].tobytes()) for a in range(0, len(ids), CHUNK)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], ["n", "ids", "vs"])
 
-    def product(batches):
-        for batch in batches:
-            for x_, y_ in zip(batch.column(0), batch.column(1), strict=True):
-                (a, x), (b, y) = ((np.array([r["id"] for r in rows]), unit(np.array([r["v"] for r in rows], float))) for rows in (x_.as_py(), y_.as_py()))
-                sim = x @ y.T
-                near = np.lexsort((np.broadcast_to(b, sim.shape), -sim))[:, :k]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(a, near.shape[1])), pa.array(b[near].ravel()), pa.array(np.take_along_axis(sim, near, 1).ravel())], ["legacy", "target", "sim"])
 
-    hits = units.mapInArrow(product, "legacy long, target long, sim double")
-    rank = F.row_number().over(Window.partitionBy("legacy").orderBy(F.desc("sim"), "target"))
-    return hits.withColumn("rank", rank).where(F.col("rank") <= k).select("legacy", "rank", "target", F.round("sim", 6).alias("sim"))
+def nearest(k: int, kind: type):
+    """A function of batches of packed rows (u, p, side, ids, vs), sorted, that gives each unit's hits in each part."""
+
+    def vectors(held: list[tuple[bytes, bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        ids = np.frombuffer(b"".join(i for i, _ in held), np.int64)
+        return ids, np.vstack([np.frombuffer(v, kind).reshape(len(i) // 8, -1) for i, v in held]).astype(np.float64)
+
+    def run(batches):
+        key, unit_, held, size = None, None, [], 0
+
+        def end():
+            if unit_ is not None:
+                if held:
+                    unit_.add(*vectors(held))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in unit_.hits()], ["rep", "target", "sim"])
+
+        for batch in batches:
+            for u, p, side, ids, vs in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (u, p) != key:
+                    yield from end()
+                    key, unit_, held, size = (u, p), None, [], 0
+                if side and unit_ is None:
+                    if not held:  # no legacy vector has come
+                        continue
+                    unit_, held, size = Nearest(*vectors(held), k), [], 0
+                held.append((ids, vs))
+                size += len(ids) // 8
+                if unit_ is not None and size >= TILE:
+                    unit_.add(*vectors(held))
+                    held, size = [], 0
+        yield from end()
+
+    return run
+
+
+class Nearest:
+    """The k most similar of the targets seen so far, for each of some legacy vectors."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int) -> None:
+        self.ids, self.x, self.k = ids, x, k
+        self.square = summed(x * x)
+        self.turned = np.ascontiguousarray(unit(x).astype(np.float32).T)
+        #: more than a product of unit vectors in single precision can be off
+        self.error = (x.shape[1] + 8) * 2.0**-23
+        self.near = None
+        self.sims, self.targets = np.full((len(ids), k), -np.inf), np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def add(self, ids: np.ndarray, y: np.ndarray) -> None:
+        m, groups = len(self.ids), max(GROUPS, 2 * self.k)
+        each = -(-len(ids) // groups)
+        if self.near is None or len(self.near) != groups * each:
+            self.near = np.empty((groups * each, m), np.float32)
+        np.matmul(unit(y).astype(np.float32), self.turned, out=self.near[: len(ids)])
+        self.near[len(ids) :] = -np.inf
+        near = self.near.reshape(groups, each, m)
+        top = near.max(axis=1)
+        floor = self.sims[:, -1] - self.error
+        if np.isinf(floor).any():
+            # k groups reach the k-th of their maxima, so k targets do
+            floor = np.maximum(floor, np.partition(top, groups - self.k, axis=0)[groups - self.k] - 2 * self.error)
+        floor = floor.astype(np.float32)
+        g, i = np.nonzero(top >= floor)
+        square = summed(y * y)
+        for a in range(0, len(g), max(1, PAIRS // each)):
+            g_, i_ = g[a : a + max(1, PAIRS // each)], i[a : a + max(1, PAIRS // each)]
+            at, j = np.nonzero(near[g_, :, i_] >= floor[i_, None])
+            i_, j = i_[at], g_[at] * each + j
+            real = j < len(ids)
+            self._merge(i_[real], j[real], ids, y, square)
+
+    def _merge(self, i: np.ndarray, j: np.ndarray, ids: np.ndarray, y: np.ndarray, square: np.ndarray) -> None:
+        if not len(i):
+            return
+        length = np.sqrt(self.square[i] * square[j])
+        sim = np.clip(summed(self.x[i] * y[j]) / np.where(length == 0, 1.0, length), -1.0, 1.0)
+        seen = np.unique(i)
+        row = np.concatenate([np.repeat(seen, self.k), i])
+        sims, targets = np.concatenate([self.sims[seen].ravel(), sim]), np.concatenate([self.targets[seen].ravel(), ids[j]])
+        order = np.lexsort((targets, -sims, row))
+        first = np.searchsorted(row[order], seen)
+        best = order[(first[:, None] + np.arange(self.k))]
+        self.sims[seen], self.targets[seen] = sims[best], targets[best]
+
+    def hits(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        found = self.sims > -np.inf
+        return np.repeat(self.ids, self.k)[found.ravel()], self.targets[found], self.sims[found]
+
+
+def summed(products: np.ndarray) -> np.ndarray:
+    """Sums of the rows from left to right, as SQL adds them, so that equal pairs tie wherever they are computed."""
+    return np.cumsum(products, axis=1)[:, -1]
 
 
 def unit(x: np.ndarray) -> np.ndarray:
