@@ -64,13 +64,18 @@ EMB = "e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), p
 @query(f"WITH {EMB} SELECT legacy, CAST(rank AS INTEGER) AS rank, target, round(sim, 6) AS sim FROM k WHERE rank <= 3")
 def embedding_top3(t):
     """The three most similar target columns (odd ids) for each legacy column (even ids): the two sides of a mapping."""
+    return candidates(t, 3)
+
+
+def candidates(t, k, digits=6):
     e = t.embeddings.select("vec_id", "embedding")
-    return M.top_candidates(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "vec_id", "embedding", 3)
+    return M.top_candidates(e.where("vec_id % 2 = 0"), e.where("vec_id % 2 = 1"), "vec_id", "embedding", k, digits)
 
 
 @query(f"WITH {EMB}, s AS (SELECT legacy, max(sim) FILTER (WHERE rank = 1) AS a, max(sim) FILTER (WHERE rank = 2) AS b FROM k GROUP BY legacy) SELECT legacy, CASE WHEN a < 0.6 THEN 'no_match' WHEN a - b < 0.05 THEN 'ambiguous' WHEN a >= 0.85 THEN 'ok' ELSE 'low_confidence' END AS status FROM s")
 def mapping_status(t):
-    top = embedding_top3(t)
+    """What the best two similarities of a legacy column say, which are not rounded for it."""
+    top = candidates(t, 2, None)
     a = F.max(F.when(F.col("rank") == 1, F.col("sim")))
     b = F.max(F.when(F.col("rank") == 2, F.col("sim")))
     return top.groupBy("legacy").agg(M.status(a, b).alias("status"))
