@@ -26,7 +26,7 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 #: Legacy vectors of a unit, targets of a part, of a tile (compared at once), groups of a tile, vectors of a packed row, pairs whose similarity is computed in full at once.
-UNIT, PART, TILE, GROUPS, CHUNK, PAIRS = 8192, 1 << 17, 1024, 64, 16, 1 << 16
+UNIT, PART, TILE, GROUPS, CHUNK, PAIRS = 8192, 1 << 17, 1024, 64, 4, 1 << 16
 
 
 def top_candidates(legacy: DataFrame, target: DataFrame, id_col: str, vec_col: str, k: int, digits: int | None = 6) -> DataFrame:
